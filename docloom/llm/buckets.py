@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Buckets up to this size are joined with themselves; larger ones are compared tile by tile.
-SMALL = 32
+#: Buckets are looked at through one member in SAMPLE; those with MANY of them are compared tile by tile, the others joined
+#: with themselves. It only decides which way a bucket goes: both ways find the same links.
+SAMPLE, MANY = 8, 4
 #: Members of a tile's side; a task holds two sides at most.
 SIDE = 1024
 
 
-def sized(members: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
-    """members that share their bucket with another one: (those of small buckets, those of large ones with `_n`)."""
-    n = members.groupBy(*key).agg(F.count("*").alias("_n")).where("_n > 1")
-    shared = members.join(n, key)
-    return shared.where(F.col("_n") <= SMALL).drop("_n"), shared.where(F.col("_n") > SMALL)
+def sized(members: DataFrame, key: list[str], by: str) -> tuple[DataFrame, DataFrame]:
+    """members by the size of their bucket: (those of small ones, those of large ones with the exact size `_n`)."""
+    seen = members.where(F.pmod(F.xxhash64(by), F.lit(SAMPLE)) == 0).groupBy(*key).agg(F.count("*").alias("_n"))
+    hot = seen.where(F.col("_n") >= MANY).select(*key)
+    large = members.join(hot, key, "left_semi")
+    return members.join(hot, key, "left_anti"), large.join(large.groupBy(*key).agg(F.count("*").alias("_n")), key)
 
 
 def tiles(large: DataFrame, key: list[str], by: str) -> DataFrame:

@@ -84,7 +84,7 @@ def _links(group: pd.DataFrame, distance: int) -> pd.DataFrame:
 def fingerprint_links(nodes: DataFrame, n_blocks: int, distance: int = DISTANCE) -> DataFrame:
     """nodes (fp, rep), fp unique -> (src, dst) of reps: every pair in small buckets, a spanning forest of each tile of large ones."""
     key = ["choice", "bits"]
-    small, large = sized(block_keys(nodes, n_blocks, distance), key)
+    small, large = sized(block_keys(nodes, n_blocks, distance), key, "fp")
     a, b = small.select(*key, F.col("fp").alias("fa"), F.col("rep").alias("src")), small.select(*key, F.col("fp").alias("fb"), F.col("rep").alias("dst"))
     near = F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= distance
     pairs = a.join(b, (a.choice == b.choice) & (a.bits == b.bits) & (F.col("fa") < F.col("fb")) & near).select("src", "dst")
