@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-NAMES = ["quality", "simhash", "packing", "bpe", "urls", "toxicity", "lines"]
+NAMES = ["quality", "simhash", "packing", "bpe", "urls", "toxicity", "lines", "suffix"]
 _MODULES = [import_module(f"{__package__}.{n}") for n in NAMES]
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in getattr(m, "ORACLES", {}).items()}
