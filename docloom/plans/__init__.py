@@ -1,10 +1,5 @@
 """Queries over the test tables, with their SQL."""
 
-from pyspark.sql import DataFrame, SparkSession
+from .reference import ORACLES, QUERIES, flagship
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+__all__ = ["ORACLES", "QUERIES", "flagship"]
