@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 #: with themselves. It only decides which way a bucket goes: both ways find the same links.
 SAMPLE, MANY = 8, 4
 #: Members of a tile's side; a task holds two sides at most.
-SIDE = 1024
+SIDE = 512
 
 
 def sized(members: DataFrame, key: list[str], by: str) -> tuple[DataFrame, DataFrame]:
@@ -41,22 +43,47 @@ def tiles(large: DataFrame, key: list[str], by: str) -> DataFrame:
     )
 
 
-class Forest:
-    """Union-find over 0..n-1; join() tells whether the two were apart."""
+def stars(linked: np.ndarray, ids: np.ndarray) -> pd.DataFrame:
+    """(src, dst): from each member of a tile to one it is connected with, by the symmetric matrix `linked`; at most one row a member."""
+    label = np.arange(len(ids))
+    while True:
+        new = np.minimum(label, np.where(linked, label, len(ids)).min(axis=1, initial=len(ids)))
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    own = label != np.arange(len(ids))
+    return pd.DataFrame({"src": ids[own], "dst": ids[label[own]]}, dtype="int64")
 
-    def __init__(self, n: int):
-        self.up = list(range(n))
 
-    def find(self, x: int) -> int:
-        up = self.up
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
+def similar_stars(sets: list[set], ids: np.ndarray, least: float) -> pd.DataFrame:
+    """(src, dst): from each member of a tile to the first one of its component, by Jaccard similarities of `least` or more.
 
-    def join(self, x: int, y: int) -> bool:
-        x, y = self.find(x), self.find(y)
-        if x == y:
-            return False
-        self.up[max(x, y)] = min(x, y)
-        return True
+    Breadth first: a set is compared with all others, those it reaches are expanded in turn, and a tile is done as soon
+    as no set is left unreached. Copies of one text take a few comparisons each, unrelated sets all of them.
+    """
+    number: dict = {}
+    members = [np.array([number.setdefault(x, len(number)) for x in s], np.int64) for s in sets]
+    size, flat = np.array([len(x) for x in members]), np.concatenate(members)
+    starts, own, root = np.cumsum(size) - size, np.zeros(len(number), np.int32), np.full(len(sets), -1)
+    for first in range(len(sets)):
+        if root[first] >= 0:
+            continue
+        root[first], todo = first, [first]
+        while todo and (root < 0).any():
+            i = todo.pop()
+            own[members[i]] = 1
+            both = np.add.reduceat(own[flat], starts)
+            own[members[i]] = 0
+            near = np.flatnonzero((root < 0) & (both >= least * (size + size[i] - both)))
+            root[near] = first
+            todo += near.tolist()
+    moved = root != np.arange(len(sets))
+    return pd.DataFrame({"src": ids[moved], "dst": ids[root[moved]]}, dtype="int64")
+
+
+def jaccard_reaches(a: set, b: set, least: float) -> bool:
+    if min(len(a), len(b)) < least * max(len(a), len(b)):
+        return False
+    both = len(a & b)
+    return both >= least * (len(a) + len(b) - both)

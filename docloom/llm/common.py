@@ -18,11 +18,28 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/") if named else OWN_DIR
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage, survives the loss of executors, is read by several branches."""
-    path = f"{shared_dir(df.sparkSession)}/docloom/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Spark's own switch that drops a query's shuffle files when the query ends.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored(df: DataFrame, what: str, compression: str = "snappy") -> DataFrame:
+    """df as a Parquet table in the shared folder: cuts the lineage, survives the loss of executors, is read by several branches.
+
+    The shuffle files that made it aren't needed any more and go at once.
+    """
+    spark = df.sparkSession
+    path, before = f"{shared_dir(spark)}/docloom/{what}-{uuid.uuid4().hex}", spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def sent_if_small(df: DataFrame, rows: int) -> DataFrame:
+    """df, to be sent to every task if it has at most `rows` rows, else to be joined by key. df should be cheap to read, as a stored table."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -5,17 +5,20 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .buckets import Forest, sized, tiles
-from .common import WHITE, stored, table
+from .buckets import MANY, SAMPLE, jaccard_reaches, similar_stars, tiles
+from .common import WHITE, sent_if_small, stored, table
 from .components import components
 
 #: Characters of a shingle (a shorter line is one shingle), and the Jaccard similarity from which lines are linked.
 SHINGLE, SIMILAR = 9, 0.8
-#: A pair at that similarity shares a band with probability 1 - (1 - 0.8 ** ROWS) ** BANDS = 0.998, a more similar one with more.
-BANDS, ROWS = 12, 4
+#: A pair at that similarity shares a band with probability 1 - (1 - 0.8 ** ROWS) ** BANDS = 0.995, a more similar one with more.
+BANDS, ROWS = 10, 4
+#: Rows of numbers up to which a side of a join is sent to every task.
+SENT = 500_000
 _SEEDS = np.random.default_rng(20).integers(1, 1 << 32, (BANDS * ROWS, 2), dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -49,10 +52,7 @@ def shingles(line: str) -> set[str]:
 
 
 def similar(a: set[str], b: set[str]) -> bool:
-    if min(len(a), len(b)) < SIMILAR * max(len(a), len(b)):
-        return False
-    both = len(a & b)
-    return both >= SIMILAR * (len(a) + len(b) - both)
+    return jaccard_reaches(a, b, SIMILAR)
 
 
 def _members(lines: DataFrame) -> DataFrame:
@@ -80,29 +80,58 @@ def _verified(pairs: DataFrame) -> DataFrame:
 
 
 def _tile(group: pd.DataFrame) -> pd.DataFrame:
-    """A spanning forest of the tile's links; pairs that are connected already aren't compared."""
-    ids, own, sets = group["id"].to_numpy(), group["_own"].to_numpy(), [shingles(x) for x in group["line"]]
-    rows = np.flatnonzero(own == own.min())
-    cols = rows if own.min() == own.max() else np.flatnonzero(own != own.min())
-    f, out = Forest(len(ids)), []
-    for i in rows.tolist():
-        for j in cols.tolist():
-            if i != j and f.find(i) != f.find(j) and similar(sets[i], sets[j]):
-                f.join(i, j)
-                out.append((ids[i], ids[j]))
-    return pd.DataFrame(out, columns=["src", "dst"], dtype="int64")
+    return similar_stars([shingles(x) for x in group["line"]], group["id"].to_numpy(), SIMILAR)
+
+
+def _met(members: DataFrame, hot: DataFrame) -> DataFrame:
+    """(band, id) -> (src, dst, null) for every pair of a band with few ids, once for each band, and (id, null, band) for members of hot ones.
+
+    One sort by band, no join of bands with themselves; members of hot bands are dealt out by id.
+    """
+
+    def run(batches):
+        rest = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        for b in batches:
+            crowded = b.filter(b.column(2))
+            yield pa.RecordBatch.from_arrays([crowded.column(1), pa.nulls(crowded.num_rows, pa.int64()), crowded.column(0)], ["src", "dst", "band"])
+            b = b.filter(pc.invert(b.column(2)))
+            band, ids = (np.concatenate([r, c.to_numpy()]) for r, c in zip(rest, b.columns[:2], strict=True))
+            open_at = int(np.searchsorted(band, band[-1])) if len(band) else 0
+            rest = (band[open_at:], ids[open_at:])
+            yield pairs(band[:open_at], ids[:open_at])
+        yield pairs(*rest)
+
+    def pairs(band, ids):
+        out, step = [], 1
+        while len(band) > step:  # the pairs that lie `step` rows apart
+            same = np.flatnonzero(band[step:] == band[:-step])
+            if not len(same):
+                break
+            out.append((np.minimum(ids[same], ids[same + step]), np.maximum(ids[same], ids[same + step])))
+            step += 1
+        src, dst = (np.concatenate([o[i] for o in out]) if out else np.zeros(0, np.int64) for i in range(2))
+        return pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst), pa.nulls(len(src), pa.int64())], ["src", "dst", "band"])
+
+    rows = members.join(hot.withColumn("hot", F.lit(True)), "band", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    dealt = rows.repartition(F.when(F.col("hot"), F.xxhash64("id")).otherwise(F.col("band")))
+    return dealt.sortWithinPartitions("hot", "band").select("band", "id", "hot").mapInArrow(run, "src long, dst long, band long")
 
 
 def line_links(lines: DataFrame) -> DataFrame:
-    """lines (id, line), each text once -> (src, dst): links enough to connect all lines that similar ones connect."""
-    small, large = sized(stored(_members(lines), "line-bands"), ["band"], "id")
-    a, b = small.select("band", F.col("id").alias("src")), small.select("band", F.col("id").alias("dst"))
-    near = a.join(b, (a.band == b.band) & (F.col("src") < F.col("dst"))).select("src", "dst").distinct()
-    near = stored(near, "line-pairs")
-    needed = near.select(F.col("src").alias("id")).union(near.select("dst")).union(large.select("id")).distinct()
-    texts = stored(lines.select("id", "line").join(needed, "id", "left_semi"), "line-texts")
+    """lines (id, line), each text once -> (src, dst): links enough to connect all lines that similar ones connect.
+
+    Bands that many lines share are found through one line in SAMPLE and compared tile by tile; pairs of the other bands
+    are made by one sort. Both ways verify texts.
+    """
+    seen = _members(lines.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0)).groupBy("band").agg(F.count("*").alias("n"))
+    hot = stored(seen.where(F.col("n") >= MANY).select("band"), "line-hot-bands")
+    met = stored(_met(_members(lines), sent_if_small(hot, SENT)), "line-meetings")
+    near, large = met.where("band IS NULL").select("src", "dst").distinct(), met.where("band IS NOT NULL").select("band", F.col("src").alias("id"))
+    needed = stored(met.select(F.col("src").alias("id")).union(met.where("dst IS NOT NULL").select("dst")).distinct(), "line-needed")
+    texts = stored(lines.select("id", "line").join(sent_if_small(needed, SENT), "id", "left_semi"), "line-texts", "zstd")
     pairs = near.join(texts.select(F.col("id").alias("src"), F.col("line").alias("a")), "src").join(texts.select(F.col("id").alias("dst"), F.col("line").alias("b")), "dst")
-    dealt = tiles(large, ["band"], "id").join(texts, "id").groupBy("band", "_i", "_j").applyInPandas(_tile, "src long, dst long")
+    sizes = large.groupBy("band").agg(F.count("*").alias("_n"))
+    dealt = tiles(large.join(sizes, "band"), ["band"], "id").join(texts, "id").groupBy("band", "_i", "_j").applyInPandas(_tile, "src long, dst long")
     return _verified(pairs).unionByName(dealt)
 
 
@@ -126,12 +155,12 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     """
     places = _places(docs)
     lines = places.groupBy("line").agg(F.min("at").alias("first"), F.count("*").alias("n"))
-    lines = stored(lines.select(F.monotonically_increasing_id().alias("id"), "line", *_twice_hashed(F.col("line")), "first", "n"), "lines")
+    lines = stored(lines.select(F.monotonically_increasing_id().alias("id"), "line", *_twice_hashed(F.col("line")), "first", "n"), "lines", "zstd")
     found = components(line_links(lines))
     own = lines.select("id", "h1", "h2", "first", "n").join(found, lines.id == found.node, "left")
     own = stored(own.where("n > 1 OR component IS NOT NULL").select("h1", "h2", "first", F.coalesce("component", "id").alias("component")), "line-components")
     stays = own.groupBy("component").agg(F.min("first").alias("stays"))
-    judged = own.join(stays, "component").select("h1", "h2", "stays")
+    judged = sent_if_small(stored(own.join(stays, "component").select("h1", "h2", "stays"), "lines-judged"), SENT // 5)
     gone = places.select("doc_id", "line_no", "at", *_twice_hashed(F.col("line"))).join(judged, ["h1", "h2"]).where("at <> stays")
     return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
 
