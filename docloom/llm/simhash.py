@@ -11,8 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .buckets import Forest, sized, tiles
-from .common import stored, table
+from .buckets import jaccard_reaches, similar_stars, sized, stars, tiles
+from .common import sent_if_small, stored, table
 from .components import components
 
 #: Shingle length in words, hash seed and distance of the contract.
@@ -69,20 +69,13 @@ def block_keys(nodes: DataFrame, n_blocks: int, distance: int = DISTANCE) -> Dat
 
 
 def _links(group: pd.DataFrame, distance: int) -> pd.DataFrame:
-    """A spanning forest of the tile's links, in linear memory."""
-    fp, rep, own = group["fp"].to_numpy().view(np.uint64), group["rep"].to_numpy(), group["_own"].to_numpy()
-    rows = np.flatnonzero(own == own.min())
-    cols = rows if own.min() == own.max() else np.flatnonzero(own != own.min())
-    f, out = Forest(len(fp)), []
-    for i in rows:
-        for j in cols[np.bitwise_count(fp[cols] ^ fp[i]) <= distance]:
-            if f.join(int(i), int(j)):
-                out.append((rep[i], rep[j]))
-    return pd.DataFrame(out, columns=["src", "dst"], dtype="int64")
+    """A tile's links as stars."""
+    fp = group["fp"].to_numpy().view(np.uint64)
+    return stars(np.bitwise_count(fp[:, None] ^ fp[None, :]) <= distance, group["rep"].to_numpy())
 
 
 def fingerprint_links(nodes: DataFrame, n_blocks: int, distance: int = DISTANCE) -> DataFrame:
-    """nodes (fp, rep), fp unique -> (src, dst) of reps: every pair in small buckets, a spanning forest of each tile of large ones."""
+    """nodes (fp, rep), fp unique -> (src, dst) of reps: every pair in small buckets, stars in each tile of large ones."""
     key = ["choice", "bits"]
     small, large = sized(block_keys(nodes, n_blocks, distance), key, "fp")
     a, b = small.select(*key, F.col("fp").alias("fa"), F.col("rep").alias("src")), small.select(*key, F.col("fp").alias("fb"), F.col("rep").alias("dst"))
@@ -110,8 +103,68 @@ def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIST
     )
 
 
-#: The pipeline's stage: shingles of five words. At 64 bits a Jaccard similarity of 0.8 lies near this distance.
-STAGE_SHINGLE, STAGE_DISTANCE = 5, 3
+#: The pipeline's stage: fingerprints of distinct words within this distance meet, shingles of so many words with this
+#: Jaccard similarity decide. Rows up to which ids are sent to every task.
+STAGE_DISTANCE, STAGE_SHINGLE, STAGE_SIMILAR, SENT = 5, 5, 0.8, 500_000
+
+
+def word_shingles(text: str | None) -> set[bytes]:
+    """Shingles of five lower-case words; fewer words: the whole sequence."""
+    found = (text or "").encode().lower().split()
+    return {b" ".join(found[i : i + STAGE_SHINGLE]) for i in range(max(1, len(found) - STAGE_SHINGLE + 1))}
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, t1, t2, fp): two hashes of a text's words, and the fingerprint of its distinct words, which few edits move little."""
+
+    def batches(it):
+        for b in it:
+            rows = []
+            for t in b.column(1):
+                found = (t.as_py() or "").encode().lower().split()
+                key = xxhash.xxh128_digest(b" ".join(found))
+                rows.append((*np.frombuffer(key, np.int64), fingerprint(b" ".join(sorted(set(found))).decode(), 1)))
+            t1, t2 = (pa.array([r[i] for r in rows], pa.int64()) for i in range(2))
+            fp = pa.array(np.array([r[2] for r in rows], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), t1, t2, fp], ["doc_id", "t1", "t2", "fp"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(batches, "doc_id long, t1 long, t2 long, fp long")
+
+
+def _tile(group: pd.DataFrame) -> pd.DataFrame:
+    return similar_stars([word_shingles(x) for x in group["text"]], group["rep"].to_numpy(), STAGE_SIMILAR)
+
+
+def near_duplicate_groups(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text, ...) -> (doc_id, component_id) of rows with a doc_id, by texts rather than fingerprints alone.
+
+    Equal texts (up to case and white space; all without a word are equal) are one node. Nodes whose distinct-word
+    fingerprints differ in STAGE_DISTANCE bits at most meet by blocks, and are linked if their five-word shingles have a
+    Jaccard similarity of 0.8 or more.
+    """
+    texts = stored(_texts(docs.where("doc_id IS NOT NULL")), "near-texts")
+    nodes = stored(texts.groupBy("t1", "t2").agg(F.min("doc_id").alias("rep"), F.min("fp").alias("fp")), "near-nodes")
+    key = ["choice", "bits"]
+    small, large = sized(block_keys(nodes.select("fp", "rep"), blocks_for(nodes.count(), STAGE_DISTANCE), STAGE_DISTANCE), key, "rep")
+    large = stored(large, "near-large")
+    a, b = small.select(*key, F.col("fp").alias("fa"), F.col("rep").alias("src")), small.select(*key, F.col("fp").alias("fb"), F.col("rep").alias("dst"))
+    near = F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= STAGE_DISTANCE
+    pairs = stored(a.join(b, (a.choice == b.choice) & (a.bits == b.bits) & (F.col("src") < F.col("dst")) & near).select("src", "dst").distinct(), "near-pairs")
+    needed = stored(pairs.select(F.col("src").alias("doc_id")).union(pairs.select("dst")).union(large.select("rep")).distinct(), "near-needed")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(sent_if_small(needed, SENT), "doc_id", "left_semi")
+    rows = stored(rows.groupBy("doc_id").agg(F.min("text").alias("text")), "near-compared", "zstd")
+
+    def verify(batches):
+        for b in batches:
+            keep = [jaccard_reaches(word_shingles(x.as_py()), word_shingles(y.as_py()), STAGE_SIMILAR) for x, y in zip(b.column(2), b.column(3), strict=True)]
+            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    both = pairs.join(rows.select(F.col("doc_id").alias("src"), F.col("text").alias("a")), "src").join(rows.select(F.col("doc_id").alias("dst"), F.col("text").alias("b")), "dst")
+    links = both.select("src", "dst", "a", "b").mapInArrow(verify, "src long, dst long")
+    crowd = tiles(large, key, "rep").join(rows.withColumnRenamed("doc_id", "rep"), "rep").groupBy(*key, "_i", "_j").applyInPandas(_tile, "src long, dst long")
+    found = components(links.unionByName(crowd))
+    node = nodes.join(found, nodes.rep == found.node, "left").select("t1", "t2", F.coalesce("component", "rep").alias("component_id"))
+    return texts.join(node, ["t1", "t2"]).select("doc_id", "component_id")
 
 
 def keep_first_of_group(docs: DataFrame) -> DataFrame:
@@ -119,9 +172,9 @@ def keep_first_of_group(docs: DataFrame) -> DataFrame:
 
     Rows that repeat a doc_id stay or go together.
     """
-    groups = simhash_groups(docs, STAGE_SHINGLE, STAGE_DISTANCE)
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs.doc_id == gone["_gone"], "left_anti")
+    groups = near_duplicate_groups(docs)
+    gone = stored(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "near-gone")
+    return docs.join(sent_if_small(gone, SENT), docs.doc_id == F.col("_gone"), "left_anti")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
