@@ -8,61 +8,59 @@ before the strings known so far, which yields common-prefix lengths in increasin
 
 from __future__ import annotations
 
-import gc
 import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import sent_if_small, stored, table
 
 WINDOW, ANCHOR = 50, 16
 #: Bytes of distinct stretches in a shard, about; an anchor with more than HOT distinct stretches is dealt to several shards.
 SHARD, HOT = 1 << 20, 2048
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-#: Text that is hashed at once.
-PART = 1 << 20
+#: Text that is hashed at once, and copies up to which their ids are sent to every task.
+PART, SENT = 1 << 20, 500_000
 
 
-def anchors(text: bytes, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, place) of the anchor of each window of the text; the leftmost of equal hashes."""
+def anchors(text: bytes, window: int = WINDOW) -> np.ndarray:
+    """The anchor hash of each window of the text."""
     n = len(text) - window + 1
     if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64)
     if n > PART:
-        parts = [anchors(text[i : i + PART + window - 1], window) for i in range(0, n, PART)]
-        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] + i * PART for i, p in enumerate(parts)])
-    raw = np.frombuffer(text + b"\0" * 8, np.uint8)
-    words = np.ndarray((len(text) + 1,), "<u8", raw.tobytes(), strides=(1,)).astype(np.uint64)
+        return np.concatenate([anchors(text[i : i + PART + window - 1], window) for i in range(0, n, PART)])
+    words = np.ndarray((len(text) - 7,), "<u8", text, strides=(1,)).astype(np.uint64)
     m = len(text) - ANCHOR + 1
     h = words[:m] * _A
     h = ((h ^ (h >> np.uint64(29))) * _B) + words[ANCHOR - 8 : ANCHOR - 8 + m]
     h = (h ^ (h >> np.uint64(32))) * _A
     h ^= h >> np.uint64(29)
     width, span = window - ANCHOR + 1, 1
-    least, at = h, np.arange(m, dtype=np.int32)
-    while span < width:
+    while span < width:  # least hash of `span` neighbours
         step = min(span, width - span)
-        k = len(least) - step
-        right = least[step:] < least[:k]
-        at = np.where(right, at[step:], at[:k])
-        least = np.where(right, least[step:], least[:k])
+        h = np.minimum(h[:-step], h[step:])
         span += step
-    return least, at.astype(np.int64)
+    return h
+
+
+def runs(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first window, number of windows) of each run of windows with one anchor hash."""
+    if not len(h):
+        return h, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    return h[first], first, np.diff(np.append(first, len(h)))
 
 
 def stretches(text: bytes, wanted: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first window, number of windows) of each run of windows that share one anchor among the sorted `wanted`."""
-    h, at = anchors(text, window)
+    """The runs whose anchor is among the sorted `wanted`."""
+    h, first, n = runs(anchors(text, window))
     if not len(h) or not len(wanted):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    n = np.diff(np.append(first, len(at)))
-    k = np.minimum(np.searchsorted(wanted, h[first]), len(wanted) - 1)
-    keep = wanted[k] == h[first]
-    return h[first][keep], first[keep], n[keep]
+        return h[:0], first[:0], n[:0]
+    keep = wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h
+    return h[keep], first[keep], n[keep]
 
 
 def bounded_order(t: np.ndarray, depth: int) -> np.ndarray:
@@ -134,32 +132,40 @@ def window_minima(texts: list[bytes], docs: np.ndarray, window: int = WINDOW) ->
     return [of[e - s : e - window] for e, s in zip(ends, size, strict=True)]
 
 
-def _release(df: DataFrame) -> DataFrame:
-    """Lets Spark drop the shuffle files of finished jobs before the next large shuffle, instead of at its periodic clean-up."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return df
+def _text_key() -> list[Column]:
+    """Two hashes that stand for a text."""
+    t = F.col("text").cast("string")
+    return [F.xxhash64(t).alias("t1"), F.xxhash64(t, F.lit(1)).alias("t2")]
+
 
+def _copies(docs: DataFrame) -> DataFrame:
+    """(doc_id, t1, t2) of texts that a smaller doc_id has too: all their windows are repeats, so they need no comparison."""
+    rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), *_text_key())
+    least = rows.groupBy("t1", "t2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    return rows.join(least, ["t1", "t2"]).where("doc_id > first").select("doc_id", "t1", "t2").distinct()
 
-def _utf8(docs: DataFrame) -> DataFrame:
-    return docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), F.encode(F.col("text").cast("string"), "UTF-8").alias("b"))
 
+def _utf8(docs: DataFrame, copies: DataFrame) -> DataFrame:
+    """(doc_id, b: the text's bytes) of the texts that aren't copies."""
+    rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), F.encode(F.col("text").cast("string"), "UTF-8").alias("b"), *_text_key())
+    return rows.join(sent_if_small(copies, SENT), ["doc_id", "t1", "t2"], "left_anti").select("doc_id", "b")
 
-def _anchor_rows(docs: DataFrame, window: int) -> DataFrame:
+
+def _anchor_rows(texts: DataFrame, window: int) -> DataFrame:
     """(h, doc_id): a document's distinct anchors."""
 
     def run(batches):
         for b in batches:
             for at in range(0, b.num_rows, 128):
                 part = b.slice(at, 128)
-                found = [np.unique(anchors(x.as_py(), window)[0]) for x in part.column(1)]
+                found = [np.unique(runs(anchors(x.as_py(), window))[0]) for x in part.column(1)]
                 ids = np.repeat(part.column(0).to_numpy(), [len(f) for f in found])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(ids)], ["h", "doc_id"])
 
-    return _utf8(docs).mapInArrow(run, "h long, doc_id long")
+    return texts.mapInArrow(run, "h long, doc_id long")
 
 
-def _stretch_rows(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
+def _stretch_rows(texts: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
     """(h, doc_id, start, s): the stretches of each document around its wanted anchors (doc_id, hs)."""
 
     def run(batches):
@@ -175,7 +181,7 @@ def _stretch_rows(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
                     out += [text[i : i + k + window - 1] for i, k in zip(first.tolist(), n.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(starts)), pa.array(out, pa.binary())], ["h", "doc_id", "start", "s"])
 
-    return _utf8(docs).join(wanted, "doc_id").select("doc_id", "b", "hs").mapInArrow(run, "h long, doc_id long, start long, s binary")
+    return texts.join(wanted, "doc_id").select("doc_id", "b", "hs").mapInArrow(run, "h long, doc_id long, start long, s binary")
 
 
 def _shard_minima(rows: DataFrame, shard: list[str], window: int) -> DataFrame:
@@ -190,12 +196,15 @@ def _shard_minima(rows: DataFrame, shard: list[str], window: int) -> DataFrame:
     return rows.groupBy(*shard).applyInArrow(run, "h long, k long, minima array<long>")
 
 
-def _minima(distinct: DataFrame, window: int) -> DataFrame:
-    """distinct (h, k, s, doc0): stretches by anchor -> (h, k, doc0, minima); null minima: doc0 for every window."""
-    n = distinct.groupBy("h").agg(F.count("*").alias("n"))
-    total = distinct.agg(F.sum(F.length("s"))).first()[0] or 0
-    shards = int(total // SHARD + 1)
-    met = stored(distinct.join(n.where("n > 1"), "h"), "stretches-met")
+def _minima(cut: DataFrame, window: int) -> DataFrame:
+    """cut (h, k, doc_id, s, ...): stretches by anchor -> (h, k, doc0, minima); null minima: doc0 for every window.
+
+    k is a hash of s, so (h, k) stands for a stretch. Only anchors with several stretches need their bytes.
+    """
+    distinct = stored(cut.groupBy("h", "k").agg(F.min("doc_id").alias("doc0")), "stretches-distinct")
+    n = stored(distinct.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "anchors-several")
+    met = stored(cut.join(n, "h").groupBy("h", "k", "s", "n").agg(F.min("doc_id").alias("doc0")), "stretches-met", "zstd")
+    shards = int((met.agg(F.sum(F.length("s"))).first()[0] or 0) // SHARD + 1)
     cold = _shard_minima(met.where(F.col("n") <= HOT).withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards))), ["shard"], window)
     hot = met.where(F.col("n") > HOT).withColumn("part", F.pmod(F.xxhash64("k", F.lit(3)), F.ceil(F.col("n") / HOT)))
     local = _shard_minima(hot, ["h", "part"], window).join(hot.select("h", "k", "s"), ["h", "k"])
@@ -203,26 +212,27 @@ def _minima(distinct: DataFrame, window: int) -> DataFrame:
     least = windows.groupBy("h", "w").agg(F.min("doc").alias("least"))
     merged = windows.join(least, ["h", "w"]).groupBy("h", "k").agg(F.array_sort(F.collect_list(F.struct("i", "least"))).alias("m"))
     found = cold.unionByName(merged.select("h", "k", F.col("m.least").alias("minima")))
-    return distinct.select("h", "k", "doc0").join(found, ["h", "k"], "left")
+    return distinct.join(found, ["h", "k"], "left")
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def repeated_spans(docs: DataFrame, copies: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs (doc_id, text, ...) -> (doc_id, spans: array of (start, stop)): bytes covered by a window that a smaller doc_id has too.
+    Texts that are copies of a smaller doc_id's are left out, as they are covered whole.
 
     Spans may touch or overlap. Steps, each written to the shared folder: anchors that two documents have; for each
     document those of its anchors; distinct stretches around them with their least document; per shard the least
     document of each window; back to the occurrences. Copies collapse to one stretch before shards are formed. Rows of
     one doc_id are one document; rows with a null doc_id or text take no part.
     """
-    rows = _anchor_rows(docs, window)
+    texts = _utf8(docs, copies)
+    rows = _anchor_rows(texts, window)
     met = rows.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h")
-    met = _release(stored(met, "anchors-met"))
-    wanted = _anchor_rows(docs, window).join(met, "h").groupBy("doc_id").agg(F.collect_set("h").alias("hs"))
-    wanted = _release(stored(wanted, "anchors-wanted"))
-    cut = _stretch_rows(docs, wanted, window).withColumn("k", F.xxhash64("s", F.lit(5)))
-    cut = _release(stored(cut, "stretches"))
-    distinct = stored(cut.groupBy("h", "k", "s").agg(F.min("doc_id").alias("doc0")), "stretches-distinct")
-    minima = _release(stored(_minima(distinct, window), "stretch-minima"))
+    met = stored(met, "anchors-met")
+    wanted = _anchor_rows(texts, window).join(met, "h").groupBy("doc_id").agg(F.collect_set("h").alias("hs"))
+    wanted = stored(wanted, "anchors-wanted")
+    cut = _stretch_rows(texts, wanted, window).withColumn("k", F.xxhash64("s", F.lit(5)))
+    cut = stored(cut, "stretches", "zstd")
+    minima = stored(_minima(cut, window), "stretch-minima")
     places = cut.select("h", "k", "doc_id", "start", (F.length("s") - (window - 1)).alias("n")).join(minima, ["h", "k"]).where("minima IS NOT NULL OR doc0 < doc_id")
 
     def run(batches):
@@ -270,11 +280,15 @@ def passages(docs: DataFrame, window: int = WINDOW, keep_text: bool = False) ->
     Null texts count as empty. Every row gives a row; rows with a null doc_id lose nothing. Other columns aren't read
     (with keep_text they are in `_row`, and bytes of a character that a cut leaves incomplete go with it).
     """
-    gone = stored(repeated_spans(docs, window), "spans")
-    _release(gone)
+    copies = stored(_copies(docs), "text-copies")
+    spans = stored(repeated_spans(docs, copies, window), "spans")
     own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if keep_text else F.lit(None).cast("int")
     text = F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8")
-    rows = docs.select(own.alias("_row"), F.col("doc_id").cast("long"), text.alias("b")).join(gone, "doc_id", "left")
+    rows = docs.select(own.alias("_row"), F.col("doc_id").cast("long"), text.alias("b"), *_text_key())
+    rows = rows.join(sent_if_small(copies.withColumn("copy", F.lit(True)), SENT), ["doc_id", "t1", "t2"], "left").join(spans, "doc_id", "left")
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.length("b").cast("long").alias("stop")))
+    none = F.array().cast(spans.schema["spans"].dataType)
+    rows = rows.withColumn("spans", F.when(F.col("copy"), F.when(F.length("b") >= window, whole).otherwise(none)).otherwise(F.coalesce("spans", none)))
 
     def pairs(column):
         return [merged_spans([(x["start"], x["stop"]) for x in s]) if s else [] for s in column.to_pylist()]
