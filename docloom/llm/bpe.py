@@ -15,7 +15,7 @@ from .common import table
 from .vocab import read_ranks, split_pattern, vocabulary_file
 
 #: Text that is worked on at once, distinct pieces of a recursive query, chunks and pieces that a worker remembers, tokens of a decoding query.
-CHARS, PIECES, CHUNKS, KNOWN, TOKENS = 1 << 22, 1 << 15, 150_000, 400_000, 1 << 21
+CHARS, PIECES, CHUNKS, KNOWN, TOKENS = 1 << 22, 1 << 14, 150_000, 400_000, 1 << 18
 
 #: A word's rows are its tokens by position. Each round joins neighbours with the merge table, takes each word's pair of
 #: least rank (the leftmost of equals, as the number holds rank, then position), contracts it and closes the gap; words
@@ -29,12 +29,12 @@ WITH RECURSIVE s(round, w, pos, tok) AS (
       SELECT w, CAST(min(k) >> 32 AS INT) AS merged, CAST(min(k) & 4294967295 AS INT) AS at
       FROM (
         SELECT x.w, (CAST(m.merged AS BIGINT) << 32) | x.pos AS k
-        FROM s x JOIN s y ON x.w = y.w AND x.pos + 1 = y.pos JOIN merges m ON x.tok = m.a AND y.tok = m.b)
+        FROM s x JOIN s y ON (CAST(x.w AS BIGINT) << 32 | (x.pos + 1)) = (CAST(y.w AS BIGINT) << 32 | y.pos) JOIN merges m ON x.tok = m.a AND y.tok = m.b)
       GROUP BY w) b ON s.w = b.w
     WHERE s.pos <> b.at + 1)
-SELECT w, tok FROM (SELECT *, max(round) OVER (PARTITION BY w) AS final FROM s) WHERE round = final ORDER BY w, pos"""
+SELECT s.w, tok FROM s JOIN (SELECT w, max(round) AS last FROM s GROUP BY w) f ON s.w = f.w AND s.round = f.last ORDER BY s.w, pos"""
 
-DECODE = "SELECT d, string_agg(hex, '' ORDER BY pos) AS hex FROM ids JOIN vocab USING (tok) GROUP BY d ORDER BY d"
+DECODE = "SELECT d, array_to_string(list(hex ORDER BY pos), '') AS hex FROM ids JOIN vocab USING (tok) GROUP BY d ORDER BY d"
 
 
 @lru_cache(maxsize=1)
@@ -99,37 +99,43 @@ def decode_ids(lists: list[np.ndarray], file: str) -> list[bytes]:
 
 class _Memory:
     """The ids, as bytes, of the chunks and pieces that a worker has met. A chunk ends before a single space between two
-    characters that aren't white space: the pattern always starts a match there, so each chunk is split and encoded by itself."""
+    characters that aren't white space: the pattern always starts a match there, so each chunk is split and encoded by itself.
+    Chunks are kept without that space, those that start a text apart from them."""
 
     def __init__(self, file: str):
         import regex
 
         self.file = file
-        self.cut = regex.compile(r"(?<=\S)(?= \S)")
+        self.odd = regex.compile(r"(?<!\S) | (?!\S)")
+        self.cut = regex.compile(r"(?<=\S) (?=\S)")
         self.pattern = regex.compile(split_pattern().replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
         self.chunks: dict[str, bytes] = {}
+        self.starts: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
     def split(self, text: str) -> list[str]:
-        parts = text.split(" ")
-        if any(not p or p[0].isspace() or p[-1].isspace() for p in parts):
-            return self.cut.split(text)
-        return [parts[0], *[" " + p for p in parts[1:]]]
+        return self.cut.split(text) if self.odd.search(text) else text.split(" ")
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.chunks) > CHUNKS:
-            self.chunks = {}
+        if len(self.chunks) + len(self.starts) > CHUNKS:
+            self.chunks, self.starts = {}, {}
         if len(self.pieces) > KNOWN:
             self.pieces = {}
-        split = [self.split(t) if t else [] for t in texts]
-        new = {c: self.pattern.findall(c) for c in {c for s in split for c in s if c not in self.chunks}}
-        todo = list({p for ps in new.values() for p in ps if p not in self.pieces})
+        heads, tails = [], []
+        for t in texts:
+            head, *tail = self.split(t)
+            heads.append(head)
+            tails.append(tail)
+        new = {}
+        for known, met, before in ((self.starts, set(heads), ""), (self.chunks, set().union(*tails), " ")):
+            new.update({(before, c): self.pattern.findall(before + c) for c in met - known.keys()})
+        todo = list({p for ps in new.values() for p in ps} - self.pieces.keys())
         for p, ids in zip(todo, encode_pieces([p.encode() for p in todo], self.file), strict=True):
             self.pieces[p] = ids.tobytes()
-        for c, ps in new.items():
-            self.chunks[c] = b"".join([self.pieces[p] for p in ps])
+        for (before, c), ps in new.items():
+            (self.chunks if before else self.starts)[c] = b"".join([self.pieces[p] for p in ps])
         get = self.chunks.__getitem__
-        return [np.frombuffer(b"".join(map(get, s)), np.int32) for s in split]
+        return [np.frombuffer(self.starts[h] + b"".join(map(get, t)), np.int32) for h, t in zip(heads, tails, strict=True)]
 
 
 @lru_cache(maxsize=1)
@@ -137,6 +143,12 @@ def _memory(file: str) -> _Memory:
     return _Memory(file)
 
 
+@lru_cache(maxsize=1)
+def _names(file: str):
+    """Gives an id's decimal digits."""
+    return [str(i) for i in range(max(_database(file)[1].values()) + 1)].__getitem__
+
+
 def _parts(b: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
     """Rows of a batch in parts of about CHARS characters."""
     keys, texts, n = [], [], 0
@@ -185,7 +197,7 @@ def round_trip(docs: DataFrame, file: str) -> DataFrame:
     """docs -> (doc_id, n_tokens, ids_sha256, decoded_sha256): encodes and decodes in one pass, so ids need not leave the task."""
 
     def run(batches):
-        memory = _memory(file)
+        memory, names = _memory(file), _names(file)
         for b in batches:
             for keys, texts in _parts(b):
                 ids = memory.encode(texts)
@@ -193,7 +205,7 @@ def round_trip(docs: DataFrame, file: str) -> DataFrame:
                 columns = [
                     pa.array(keys, pa.int64()),
                     pa.array([len(x) for x in ids], pa.int64()),
-                    pa.array([hashlib.sha256(",".join(map(str, x.tolist())).encode()).hexdigest() for x in ids]),
+                    pa.array([hashlib.sha256(",".join(map(names, x.tolist())).encode()).hexdigest() for x in ids]),
                     pa.array([hashlib.sha256(x).hexdigest() for x in back]),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
