@@ -12,14 +12,16 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import sent_if_small, stored, table
 
-WINDOW, ANCHOR = 50, 16
-#: Bytes of distinct stretches in a shard, about; an anchor with more than HOT distinct stretches is dealt to several shards.
-SHARD, HOT = 1 << 20, 2048
+#: A multiple of 8; the longer the anchor, the fewer texts share it by chance, and the shorter the stretches.
+WINDOW, ANCHOR = 50, 24
+#: Bytes of distinct stretches in a shard, about; an anchor with more than HOT distinct stretches, a few hundredths of a shard, is dealt to several.
+SHARD, HOT = 1 << 20, 512
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 #: Text that is hashed at once, and copies up to which their ids are sent to every task.
 PART, SENT = 1 << 20, 500_000
@@ -35,7 +37,8 @@ def anchors(text: bytes, window: int = WINDOW) -> np.ndarray:
     words = np.ndarray((len(text) - 7,), "<u8", text, strides=(1,)).astype(np.uint64)
     m = len(text) - ANCHOR + 1
     h = words[:m] * _A
-    h = ((h ^ (h >> np.uint64(29))) * _B) + words[ANCHOR - 8 : ANCHOR - 8 + m]
+    for at in range(8, ANCHOR, 8):
+        h = ((h ^ (h >> np.uint64(29))) * _B) + words[at : at + m]
     h = (h ^ (h >> np.uint64(32))) * _A
     h ^= h >> np.uint64(29)
     width, span = window - ANCHOR + 1, 1
@@ -71,7 +74,7 @@ def bounded_order(t: np.ndarray, depth: int) -> np.ndarray:
     for i in range(reach):
         key = key << 9 | padded[i : i + n]
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)  # equal keys may come in any order: only the first `depth` symbols matter
         if reach >= depth:
             return order
         sorted_key = key[order]
@@ -102,7 +105,7 @@ def common_prefix_runs(t: np.ndarray, order: np.ndarray, depth: int) -> np.ndarr
         owner = np.repeat(np.arange(len(left)), size)
         place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(left, size)
         to = first_to[place]
-        by = np.argsort(to, kind="stable")
+        by = np.argsort(to)
         to, owner = to[by], owner[by]
         symbol = before[psi[to]]
         cut = np.flatnonzero((to[1:] != to[:-1] + 1) | (owner[1:] != owner[:-1]) | (symbol[1:] != symbol[:-1]))
@@ -237,21 +240,25 @@ def repeated_spans(docs: DataFrame, copies: DataFrame, window: int = WINDOW) ->
 
     def run(batches):
         for b in batches:
-            docs, starts, n, doc0 = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            out = [[], [], []]
-            for i, m in enumerate(b.column(4)):
-                if not m.is_valid:
-                    first, last = [0], [n[i]]
-                else:
-                    less = np.concatenate([[False], m.values.to_numpy() < docs[i], [False]])
-                    first, last = np.flatnonzero(less[1:] & ~less[:-1]), np.flatnonzero(less[:-1] & ~less[1:])
-                for x, y in zip(first, last, strict=True):
-                    out[0].append(docs[i])
-                    out[1].append(starts[i] + x)
-                    out[2].append(starts[i] + y + window - 1)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["doc_id", "start", "stop"])
-
-    spans = places.select("doc_id", "start", "n", "doc0", "minima").mapInArrow(run, "doc_id long, start long, stop long")
+            whole = b.filter(pc.is_null(b.column(4)))
+            docs, starts, n = (whole.column(i).to_numpy() for i in range(3))
+            out = [(docs, starts, starts + n + window - 1)]
+            rest = b.filter(pc.is_valid(b.column(4)))
+            docs, starts, n = (rest.column(i).to_numpy() for i in range(3))
+            ends = np.cumsum(n)
+            owner = np.repeat(np.arange(len(n)), n)
+            less = rest.column(4).flatten().to_numpy() < docs[owner]
+            edge = np.zeros(len(less) + 1, bool)  # between windows of two stretches
+            edge[np.concatenate([ends - n, ends])] = True
+            up, down = np.concatenate([[False], less]), np.concatenate([less, [False]])
+            first, last = np.flatnonzero(down & (~up | edge)), np.flatnonzero(up & (~down | edge))
+            of = owner[first]
+            at = starts[of] - (ends - n)[of]
+            out.append((docs[of], at + first, at + last + window - 1))
+            columns = [np.concatenate(x) for x in zip(*out, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["doc_id", "start", "stop"])
+
+    spans = places.select("doc_id", "start", F.col("n").cast("long"), "doc0", "minima").mapInArrow(run, "doc_id long, start long, stop long")
     return spans.groupBy("doc_id").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
 
 
