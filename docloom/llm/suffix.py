@@ -20,8 +20,10 @@ from .common import sent_if_small, stored, table
 
 #: A multiple of 8; the longer the anchor, the fewer texts share it by chance, and the shorter the stretches.
 WINDOW, ANCHOR = 50, 24
-#: Bytes of distinct stretches in a shard, about; an anchor with more than HOT distinct stretches, a few hundredths of a shard, is dealt to several.
-SHARD, HOT = 1 << 20, 512
+#: Bytes of distinct stretches in a shard, about. An anchor with more distinct stretches than a shard holds (HOT, each of
+#: about 64 bytes) is dealt to several shards, so that a task's memory is bounded.
+SHARD = 1 << 19
+HOT = SHARD // 64
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 #: Text that is hashed at once, and copies up to which their ids are sent to every task.
 PART, SENT = 1 << 20, 500_000
