@@ -103,9 +103,13 @@ def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIST
     )
 
 
-#: The pipeline's stage: fingerprints of distinct words within this distance meet, shingles of so many words with this
-#: Jaccard similarity decide. Rows up to which ids are sent to every task.
-STAGE_DISTANCE, STAGE_SHINGLE, STAGE_SIMILAR, SENT = 5, 5, 0.8, 500_000
+#: The pipeline's stage: shingles of so many words with this Jaccard similarity decide. Rows up to which ids are sent to every task.
+STAGE_SHINGLE, STAGE_SIMILAR, SENT = 5, 0.8, 500_000
+#: A pair at that similarity shares a band with probability 1 - (1 - 0.8 ** STAGE_ROWS) ** STAGE_BANDS = 0.9998, a more similar
+#: one with more, whether words were changed, appended or cut off.
+STAGE_BANDS, STAGE_ROWS = 16, 4
+_SEEDS = np.random.default_rng(9).integers(1, 1 << 32, (2, STAGE_BANDS * STAGE_ROWS), dtype=np.uint64).astype(np.uint32) | np.uint32(1)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def word_shingles(text: str | None) -> set[bytes]:
@@ -114,21 +118,42 @@ def word_shingles(text: str | None) -> set[bytes]:
     return {b" ".join(found[i : i + STAGE_SHINGLE]) for i in range(max(1, len(found) - STAGE_SHINGLE + 1))}
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * _MIX
+    return x ^ (x >> np.uint64(29))
+
+
+def stage_bands(found: list[bytes]) -> np.ndarray:
+    """STAGE_BANDS band values of a text's lower-case words, from MinHash over its shingles; the band's number is in the lowest bits."""
+    h = np.fromiter(map(xxhash.xxh64_intdigest, found, repeat(SEED)), np.uint64, len(found))
+    k = min(STAGE_SHINGLE, len(h))
+    n = max(1, len(h) - k + 1)
+    shingle = np.zeros(n, np.uint64)
+    for i in range(k):
+        shingle = _mixed(shingle + h[i : i + n])
+    shingle, least = (shingle >> np.uint64(32)).astype(np.uint32), np.full(STAGE_BANDS * STAGE_ROWS, 0xFFFFFFFF, np.uint32)
+    for i in range(0, n, ROWS):
+        least = np.minimum(least, (shingle[i : i + ROWS, None] * _SEEDS[0] + _SEEDS[1]).min(axis=0))
+    out = np.zeros(STAGE_BANDS, np.uint64)
+    for row in least.reshape(STAGE_BANDS, STAGE_ROWS).T:
+        out = _mixed(out ^ row.astype(np.uint64)) + np.uint64(1)
+    return (out & ~np.uint64(15) | np.arange(STAGE_BANDS, dtype=np.uint64)).view(np.int64)
+
+
 def _texts(docs: DataFrame) -> DataFrame:
-    """(doc_id, t1, t2, fp): two hashes of a text's words, and the fingerprint of its distinct words, which few edits move little."""
+    """(doc_id, t1, t2, bands): two hashes of a text's words, and its band values."""
 
     def batches(it):
         for b in it:
-            rows = []
+            keys, bands = [], []
             for t in b.column(1):
                 found = (t.as_py() or "").encode().lower().split()
-                key = xxhash.xxh128_digest(b" ".join(found))
-                rows.append((*np.frombuffer(key, np.int64), fingerprint(b" ".join(sorted(set(found))).decode(), 1)))
-            t1, t2 = (pa.array([r[i] for r in rows], pa.int64()) for i in range(2))
-            fp = pa.array(np.array([r[2] for r in rows], np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), t1, t2, fp], ["doc_id", "t1", "t2", "fp"])
+                keys.append(np.frombuffer(xxhash.xxh128_digest(b" ".join(found)), np.int64))
+                bands.append(stage_bands(found))
+            t1, t2 = (pa.array([k[i] for k in keys], pa.int64()) for i in range(2))
+            yield pa.RecordBatch.from_arrays([b.column(0), t1, t2, pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "t1", "t2", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(batches, "doc_id long, t1 long, t2 long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(batches, "doc_id long, t1 long, t2 long, bands array<long>")
 
 
 def _tile(group: pd.DataFrame) -> pd.DataFrame:
@@ -138,18 +163,16 @@ def _tile(group: pd.DataFrame) -> pd.DataFrame:
 def near_duplicate_groups(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, ...) -> (doc_id, component_id) of rows with a doc_id, by texts rather than fingerprints alone.
 
-    Equal texts (up to case and white space; all without a word are equal) are one node. Nodes whose distinct-word
-    fingerprints differ in STAGE_DISTANCE bits at most meet by blocks, and are linked if their five-word shingles have a
-    Jaccard similarity of 0.8 or more.
+    Equal texts (up to case and white space; all without a word are equal) are one node. Nodes that share a MinHash band
+    over five-word shingles meet, and are linked if those shingles have a Jaccard similarity of 0.8 or more.
     """
     texts = stored(_texts(docs.where("doc_id IS NOT NULL")), "near-texts")
-    nodes = stored(texts.groupBy("t1", "t2").agg(F.min("doc_id").alias("rep"), F.min("fp").alias("fp")), "near-nodes")
-    key = ["choice", "bits"]
-    small, large = sized(block_keys(nodes.select("fp", "rep"), blocks_for(nodes.count(), STAGE_DISTANCE), STAGE_DISTANCE), key, "rep")
+    nodes = stored(texts.groupBy("t1", "t2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "near-nodes")
+    key = ["band"]
+    small, large = sized(nodes.select(F.explode("bands").alias("band"), "rep"), key, "rep")
     large = stored(large, "near-large")
-    a, b = small.select(*key, F.col("fp").alias("fa"), F.col("rep").alias("src")), small.select(*key, F.col("fp").alias("fb"), F.col("rep").alias("dst"))
-    near = F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= STAGE_DISTANCE
-    pairs = stored(a.join(b, (a.choice == b.choice) & (a.bits == b.bits) & (F.col("src") < F.col("dst")) & near).select("src", "dst").distinct(), "near-pairs")
+    a, b = small.select("band", F.col("rep").alias("src")), small.select("band", F.col("rep").alias("dst"))
+    pairs = stored(a.join(b, (a.band == b.band) & (F.col("src") < F.col("dst"))).select("src", "dst").distinct(), "near-pairs")
     needed = stored(pairs.select(F.col("src").alias("doc_id")).union(pairs.select("dst")).union(large.select("rep")).distinct(), "near-needed")
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(sent_if_small(needed, SENT), "doc_id", "left_semi")
     rows = stored(rows.groupBy("doc_id").agg(F.min("text").alias("text")), "near-compared", "zstd")

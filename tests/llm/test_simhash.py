@@ -123,3 +123,34 @@ def test_stage_links_texts_by_their_shingles(make, monkeypatch):
         assert truth[got[i]] == truth[i]
     assert len({got[i] for i in truth}) <= 12
     assert (got[1000], got[1001], got[1002], got[1003], got[1004]) == (1000, 1001, 1000, 1003, 1003)
+
+
+def stage_brute(rows):
+    sets, up = [simhash.word_shingles(t) for _, t in rows], list(range(len(rows)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                up[max(a, b)] = min(a, b)
+    return {rows[i][0]: rows[find(i)][0] for i in range(len(rows))}
+
+
+def test_stage_equals_brute_force_for_changed_appended_and_truncated_copies(make):
+    rng = random.Random(7)
+    word = lambda: f"w{rng.randrange(3000)}"
+    texts = []
+    for _ in range(60):
+        base = [word() for _ in range(rng.randrange(80, 400))]
+        n = len(base)
+        changed = [word() if rng.random() < 1 / 60 else x for x in base]
+        texts += [base, changed, base + [word() for _ in range(n * 15 // 100)], base[: n - n * 15 // 100], base[: n * 7 // 10]]
+    rows = [(i, " ".join(x)) for i, x in enumerate(texts)]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicate_groups(make(rows)).collect()}
+    want = stage_brute(rows)
+    assert got == want and sum(want[i] != i for i in want) > 150
