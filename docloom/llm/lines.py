@@ -15,8 +15,8 @@ from .components import components
 
 #: Characters of a shingle (a shorter line is one shingle), and the Jaccard similarity from which lines are linked.
 SHINGLE, SIMILAR = 9, 0.8
-#: A pair at that similarity shares a band with probability 1 - (1 - 0.8 ** ROWS) ** BANDS = 0.995, a more similar one with more.
-BANDS, ROWS = 10, 4
+#: A pair at that similarity shares a band with probability 1 - (1 - 0.8 ** ROWS) ** BANDS = 0.998, a more similar one with more.
+BANDS, ROWS = 12, 4
 #: Rows of numbers up to which a side of a join is sent to every task.
 SENT = 500_000
 _SEEDS = np.random.default_rng(20).integers(1, 1 << 32, (BANDS * ROWS, 2), dtype=np.uint64).astype(np.uint32) | np.uint32(1)

@@ -92,3 +92,8 @@ def test_bands_find_pairs_at_the_threshold():
             x = lines.bands([a, b])
             found += bool((x[0] == x[1]).any())
     assert total > 50 and found >= 0.98 * total
+
+
+def test_a_pair_at_the_threshold_shares_a_band_in_998_of_1000():
+    x = lines.bands(["some line of text"])
+    assert 1 - (1 - lines.SIMILAR**lines.ROWS) ** x.shape[1] > 0.998
