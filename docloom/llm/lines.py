@@ -17,9 +17,20 @@ from .components import components
 SHINGLE, SIMILAR = 9, 0.8
 #: A pair at that similarity shares a band with probability 1 - (1 - 0.8 ** ROWS) ** BANDS = 0.998, a more similar one with more.
 BANDS, ROWS = 12, 4
+#: Lines under SHORT characters are also compared by shingles of SHORT_SHINGLE characters, so that one changed character leaves
+#: lines from 39 characters on similar, and one changed five-letter word lines from 75 on; the long shingles bear it from 89 and 125 on.
+SHORT, SHORT_SHINGLE = 128, 4
+#: Short shingles are shared by chance more often; longer bands keep such pairs apart. Recall at SIMILAR is 0.998 again.
+SHORT_BANDS, SHORT_ROWS = 21, 6
 #: Rows of numbers up to which a side of a join is sent to every task.
 SENT = 500_000
-_SEEDS = np.random.default_rng(20).integers(1, 1 << 32, (BANDS * ROWS, 2), dtype=np.uint64).astype(np.uint32) | np.uint32(1)
+
+
+def _seeds(seed: int, n: int) -> np.ndarray:
+    return np.random.default_rng(seed).integers(1, 1 << 32, (n, 2), dtype=np.uint64).astype(np.uint32) | np.uint32(1)
+
+
+_SEEDS, _SHORT_SEEDS = _seeds(20, BANDS * ROWS), _seeds(21, SHORT_BANDS * SHORT_ROWS)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -28,31 +39,46 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def bands(lines: list[str]) -> np.ndarray:
-    """(lines x BANDS) band values, the band's number in the lowest bits; every line has a character."""
-    points = np.frombuffer("".join(x.ljust(SHINGLE, "\0") for x in lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    n = np.array([max(len(x), SHINGLE) for x in lines])
+def _bands(lines: list[str], width: int, seeds: np.ndarray, rows: int, first: int) -> np.ndarray:
+    """(lines x bands) band values by shingles of `width`, the band's number from `first` on in the lowest bits; every line has a character."""
+    points = np.frombuffer("".join(x.ljust(width, "\0") for x in lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    n = np.array([max(len(x), width) for x in lines])
     ends = np.cumsum(n)
-    h = np.zeros(len(points) - SHINGLE + 1, np.uint64)
-    for k in range(SHINGLE):
+    h = np.zeros(len(points) - width + 1, np.uint64)
+    for k in range(width):
         h = h * np.uint64(1_000_003) + points[k : k + len(h)]
     inside = np.ones(len(points), bool)
-    for k in range(1, SHINGLE):
+    for k in range(1, width):
         inside[ends - k] = False
     h = (_mixed(h) >> np.uint64(32)).astype(np.uint32)[inside[: len(h)]]
-    starts = np.concatenate([[0], np.cumsum(n - SHINGLE + 1)[:-1]])
-    out = np.zeros((len(lines), BANDS), np.uint64)
-    for i, (a, b) in enumerate(_SEEDS):
-        out[:, i // ROWS] = _mixed(out[:, i // ROWS] ^ np.minimum.reduceat(h * a + b, starts).astype(np.uint64) + np.uint64(i))
-    return (out & ~np.uint64(15) | np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+    starts = np.concatenate([[0], np.cumsum(n - width + 1)[:-1]])
+    out = np.zeros((len(lines), len(seeds) // rows), np.uint64)
+    for i, (a, b) in enumerate(seeds):
+        out[:, i // rows] = _mixed(out[:, i // rows] ^ np.minimum.reduceat(h * a + b, starts).astype(np.uint64) + np.uint64(i))
+    return (out & ~np.uint64(63) | np.arange(first, first + out.shape[1], dtype=np.uint64)).view(np.int64)
+
+
+def bands(lines: list[str]) -> np.ndarray:
+    return _bands(lines, SHINGLE, _SEEDS, ROWS, 0)
+
+
+def short_bands(lines: list[str]) -> np.ndarray:
+    """For lines under SHORT characters."""
+    return _bands(lines, SHORT_SHINGLE, _SHORT_SEEDS, SHORT_ROWS, BANDS)
+
+
+def _cut(line: str, width: int) -> set[str]:
+    return {line[i : i + width] for i in range(max(1, len(line) - width + 1))}
 
 
-def shingles(line: str) -> set[str]:
-    return {line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
+def shingles(line: str) -> tuple[set[str], set[str] | None]:
+    """The long shingles, and the short ones of a line under SHORT characters."""
+    return _cut(line, SHINGLE), _cut(line, SHORT_SHINGLE) if len(line) < SHORT else None
 
 
-def similar(a: set[str], b: set[str]) -> bool:
-    return jaccard_reaches(a, b, SIMILAR)
+def similar(a: tuple[set[str], set[str] | None], b: tuple[set[str], set[str] | None]) -> bool:
+    """By the long shingles, or by the short ones if both lines have them."""
+    return jaccard_reaches(a[0], b[0], SIMILAR) or (a[1] is not None and b[1] is not None and jaccard_reaches(a[1], b[1], SIMILAR))
 
 
 def _members(lines: DataFrame) -> DataFrame:
@@ -62,8 +88,11 @@ def _members(lines: DataFrame) -> DataFrame:
         for b in batches:
             for at in range(0, b.num_rows, 1024):
                 part = b.slice(at, 1024)
-                values = bands(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(values), pa.list_(pa.int64()))], ["id", "bands"])
+                short = part.filter(pc.less(pc.utf8_length(part.column(1)), SHORT))
+                for rows, values in ((part, bands), (short, short_bands)):
+                    if rows.num_rows:
+                        found = pa.array(list(values(rows.column(1).to_pylist())), pa.list_(pa.int64()))
+                        yield pa.RecordBatch.from_arrays([rows.column(0), found], ["id", "bands"])
 
     return lines.select("id", "line").mapInArrow(run, "id long, bands array<long>").select(F.explode("bands").alias("band"), "id")
 
@@ -80,7 +109,8 @@ def _verified(pairs: DataFrame) -> DataFrame:
 
 
 def _tile(group: pd.DataFrame) -> pd.DataFrame:
-    return similar_stars([shingles(x) for x in group["line"]], group["id"].to_numpy(), SIMILAR)
+    width = SHINGLE if group["band"].iat[0] & 63 < BANDS else SHORT_SHINGLE
+    return similar_stars([_cut(x, width) for x in group["line"]], group["id"].to_numpy(), SIMILAR)
 
 
 def _met(members: DataFrame, hot: DataFrame) -> DataFrame:

@@ -97,3 +97,14 @@ def test_bands_find_pairs_at_the_threshold():
 def test_a_pair_at_the_threshold_shares_a_band_in_998_of_1000():
     x = lines.bands(["some line of text"])
     assert 1 - (1 - lines.SIMILAR**lines.ROWS) ** x.shape[1] > 0.998
+
+
+def test_one_edit_links_lines_of_40_to_100_characters(make):
+    rng, rows = random.Random(8), []
+    for k in range(120):
+        x = [rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(39)] + ["."] * (k % 2) + [rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(1 + k // 2)]
+        y = list(x)
+        y[rng.randrange(len(y))] = "Q"
+        rows += [(2 * k, "".join(x)), (2 * k + 1, "".join(y))]
+    got = {r.doc_id: r.n_removed for r in lines.line_dedup(make(rows)).collect()}
+    assert got == {i: i % 2 for i in range(240)}
