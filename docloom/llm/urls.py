@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import sent_if_small, stored, table
 
 #: Fixed values: (verdict, host, path) of the contract.
 RULES = [
@@ -17,7 +18,7 @@ RULES = [
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 ]
-#: Levels of a path that the tree tells apart; what lies deeper is one wildcard.
+#: Levels that oracle()'s SQL spells out; the tree itself follows paths to their end.
 DEPTH = 6
 #: A branch keeps its name if it has LEAST labelled pages and its share of good ones differs from its siblings' by Z standard errors.
 LEAST, Z = 20, 3.0
@@ -50,9 +51,9 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] =
 
 
 def segments(path: Column) -> Column:
-    """Path segments with runs of digits as wildcards; levels beyond DEPTH are left out."""
+    """Path segments with runs of digits as wildcards."""
     parts = F.filter(F.split(path, "/"), lambda s: s != "")
-    return F.slice(F.transform(parts, lambda s: F.regexp_replace(s, "[0-9]+", "*")), 1, DEPTH)
+    return F.transform(parts, lambda s: F.regexp_replace(s, "[0-9]+", "*"))
 
 
 def labelled(pages: DataFrame, labels: DataFrame) -> DataFrame:
@@ -74,14 +75,16 @@ def templates(paths: DataFrame) -> DataFrame:
 
     Level by level, a node's branches are compared with their siblings; those that don't differ merge into the wildcard.
     Sums per node are combined before each shuffle and joined back, so no node's branches are gathered in one task.
+    Below a node with fewer than 2 * LEAST labelled pages no branch can differ: its paths end in wildcards and are done.
     """
     paths = paths.withColumn("at", F.lit(""))
-    deepest = paths.agg(F.max(F.size("segs"))).first()[0] or 0
-    for d in range(deepest):
-        seg = F.get("segs", F.lit(d))
-        here = paths.where(F.size("segs") > d).withColumn("seg", seg)
-        branch = here.groupBy("host", "at", "seg").agg(F.sum("labels").alias("l"), F.sum("good").alias("g"))
+    done, d = [paths.where(F.size("segs") == 0)], 0
+    paths = paths.where(F.size("segs") > 0)
+    while not paths.isEmpty():
+        paths = paths.withColumn("seg", F.get("segs", F.lit(d)))
+        branch = paths.groupBy("host", "at", "seg").agg(F.sum("labels").alias("l"), F.sum("good").alias("g"))
         node = branch.groupBy("host", "at").agg(F.sum("l").alias("nl"), F.sum("g").alias("ng"))
+        node = sent_if_small(stored(node.where(F.col("nl") >= 2 * LEAST), "url-nodes"), BROADCAST_ROWS)
         rest_l, rest_g = F.col("nl") - F.col("l"), F.col("ng") - F.col("g")
         p, gap = F.col("ng") / F.col("nl"), F.abs(F.col("g") / F.col("l") - rest_g / rest_l)
         apart = (F.col("l") >= LEAST) & (rest_l >= LEAST)
@@ -92,12 +95,16 @@ def templates(paths: DataFrame) -> DataFrame:
             .select("host", "at", "seg", F.lit(True).alias("own"))
         )
         named = F.concat("at", F.lit("/"), F.when(F.col("own"), F.col("seg")).otherwise(F.lit("*")))
-        paths = (
-            paths.withColumn("seg", seg)
+        rest = F.concat("at", F.repeat(F.lit("/*"), F.size("segs") - d))
+        judged = (
+            paths.join(node.select("host", "at", F.lit(True).alias("wide")), ["host", "at"], "left")
             .join(own, ["host", "at", "seg"], "left")
-            .select("host", "segs", "n", "labels", "good", F.when(F.col("seg").isNotNull(), named).otherwise(F.col("at")).alias("at"))
+            .select("host", "segs", "n", "labels", "good", F.when(F.col("wide"), named).otherwise(rest).alias("at"), (F.col("wide").isNotNull() & (F.size("segs") > d + 1)).alias("open"))
         )
-        paths = stored(paths, "url-templates")
+        judged, d = stored(judged, "url-templates"), d + 1
+        done.append(judged.where("NOT open").drop("open"))
+        paths = judged.where("open").drop("open")
+    paths = stored(reduce(DataFrame.unionByName, done), "url-templates")
     every = paths.agg(((F.sum("good") + STRENGTH) / (F.sum("labels") + STRENGTH)).alias("p_all"))
     by_host = paths.groupBy("host").agg(F.sum("labels").alias("hl"), F.sum("good").alias("hg"))
     by_template = paths.groupBy("host", "at").agg(F.sum("labels").alias("tl"), F.sum("good").alias("tg"))

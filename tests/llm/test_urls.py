@@ -56,3 +56,29 @@ def test_toxic_and_repeated_labels_and_repeated_rows(spark):
 def test_sql(same_as_sql):
     for name, sql in urls.ORACLES.items():
         same_as_sql(urls.QUERIES[name], sql)
+
+
+def test_a_bad_branch_at_level_eight_equals_deeper_sql(spark, write, monkeypatch):
+    import duckdb
+
+    rng, pages, labels = random.Random(2), [], []
+    for i in range(900):
+        section = ["spam", "news", "blog"][i % 3]
+        pages.append((i, f"http://h.fr/a/b/c/d/e/f/g/{section}/{i}" if i < 600 else f"http://h.fr/a/b/c/d/e/f/g/{section}/x/{i}"))
+        labels.append((i, int(section != "spam" or rng.random() < 0.1), 0))
+    pages += [(900, "http://h.fr/" + "z/" * 9), (901, "http://h.fr/a/b/c"), (902, "http://k.fr/1/2/3/4/5/6/7/8")]
+    got = judge(spark, pages, labels)
+    assert all((got[i].verdict == "block") == (i % 3 == 0) for i in range(900))
+    assert got[0].template != got[600].template and got[900].template == "/*" * 9
+    monkeypatch.setattr(urls, "DEPTH", 12)
+    con = duckdb.connect()
+    for name, rows, schema in (("pages", pages, "page_id long, url string"), ("labels", labels, "doc_id long, quality int, toxic int")):
+        folder = write(spark.createDataFrame(rows, schema), name)
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{folder}/{name}.parquet/*.parquet')")
+    want = con.sql(urls.oracle()).df()
+    assert {(i, r.verdict, r.template) for i, r in got.items()} == set(zip(want.page_id, want.verdict, want.template, strict=True))
+
+
+def test_very_deep_paths_end_with_few_labels(spark):
+    got = judge(spark, [(i, "http://h.fr/" + "/".join(f"s{k}" for k in range(300 + i))) for i in range(3)], [(i, 0, 0) for i in range(3)])
+    assert {i: r.template.count("/*") for i, r in got.items()} == {0: 300, 1: 301, 2: 302}
