@@ -1,11 +1,12 @@
-"""Exact top-k search: an inverted index per shard with block-max pruning for BM25, merged under global statistics."""
+"""Exact top-k search: an inverted index per shard with block-max WAND pruning for BM25, merged under global statistics."""
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,166 +14,255 @@ from pyspark.sql import functions as F
 from .common import stored, table
 
 K1, B, TOP = 1.2, 0.75, 10
-#: Entries (distinct words of documents) in a shard, about; queries that a task runs; documents of a block.
-SHARD, QUERIES_AT_ONCE, BLOCK = 1 << 21, 8192, 64
+#: Words of the texts in a shard, about, and documents at most; documents of a block; texts that are split at once.
+SHARD, SHARD_DOCS, BLOCK, STEP = 1 << 21, 1 << 16, 64, 512
+#: A term's list is long if every LONG-th document of the shard has it. Long lists are kept as columns of a matrix of at most CELLS
+#: cells, the longest ones first. It only decides how a list is read.
+LONG, CELLS = 20, 1 << 23
+#: Distinct words of the queries that are sent to every task at once (16 bytes each); further queries wait for the next pass.
+QUERY_TERMS = 1 << 21
+#: Queries that are scored together.
+TOGETHER = 64
 #: Scores are compared after rounding to this many digits, ties by id.
 DIGITS = 6
+SLACK = 10.0**-DIGITS
 
 
-@lru_cache(maxsize=300_000)
-def _term(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word) - (1 << 63)
+def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number of each distinct word of a text, the word's hash, its count) over lower-case words of whole texts."""
+    lists = pc.ascii_split_whitespace(pc.utf8_lower(pc.fill_null(texts, "")))
+    own, flat = pc.list_parent_indices(lists), lists.flatten()
+    real = pc.not_equal(flat, "")
+    code = flat.filter(real).dictionary_encode()
+    own = own.filter(real).to_numpy()
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w) - (1 << 63) for w in code.dictionary.to_pylist()), np.int64, len(code.dictionary))
+    n = max(1, len(hashes))
+    pair, count = np.unique(own.astype(np.int64) * n + code.indices.to_numpy(), return_counts=True)
+    return pair // n, hashes[pair % n] if len(hashes) else pair, count
 
 
-def terms_of(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted term numbers, counts) of the lower-case words of a whole text."""
-    found = [_term(w) for w in text.lower().encode().split()]
-    return np.unique(np.array(found, np.int64), return_counts=True)
+def _id_text(docs: DataFrame, id_column: str) -> DataFrame:
+    return docs.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), F.col("text").cast("string").alias("text"))
 
 
 def term_rows(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """docs -> (id, length, terms, counts); rows with a null id are left out, null texts have no terms."""
+    """docs -> (id, terms, counts); rows with a null id are left out, null texts have no terms."""
 
     def run(batches):
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                p = b.slice(at, 512)
-                got = [terms_of(t or "") for t in p.column(1).to_pylist()]
-                columns = [
-                    p.column(0),
-                    pa.array([int(c.sum()) for _, c in got], pa.int64()),
-                    pa.array([t for t, _ in got], pa.list_(pa.int64())),
-                    pa.array([c for _, c in got], pa.list_(pa.int32())),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "length", "terms", "counts"])
+            for at in range(0, b.num_rows, STEP):
+                p = b.slice(at, STEP)
+                own, term, count = _words(p.column(1))
+                cuts = pa.array(np.searchsorted(own, np.arange(p.num_rows + 1)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (term, count.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([p.column(0), *lists], ["id", "terms", "counts"])
 
-    rows = docs.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "id long, length long, terms array<long>, counts array<int>")
+    return _id_text(docs, id_column).mapInArrow(run, "id long, terms array<long>, counts array<int>")
 
 
-class Index:
-    """Postings of one shard in blocks of documents, with each term's largest impact in each block.
+def shards(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """docs -> one row per shard: its postings, by term and then document, ready to be stored.
 
-    Documents are ordered by their most frequent and their least term first, so that a block holds documents of one
-    language and copies lie together, which keeps block maxima low for most queries.
+    A shard holds neighbouring rows of one task, so nothing is shuffled. Its documents are put in order of their most
+    frequent and their least term, so that a block holds documents of one language, copies lie together, and block
+    maxima stay low for most queries. Counts and lengths are kept rather than impacts, which need the whole table's mean.
     """
 
-    def __init__(self, ids: np.ndarray, lengths: np.ndarray, sizes: np.ndarray, terms: np.ndarray, counts: np.ndarray, mean: float):
-        self.vocabulary, term = np.unique(terms, return_inverse=True)
-        doc = np.repeat(np.arange(len(ids)), sizes)
-        full = sizes > 0
-        starts = (np.cumsum(sizes) - sizes)[full]
-        top, low = np.full(len(ids), -1), np.full(len(ids), -1)
-        if len(starts):
-            top[full] = np.maximum.reduceat(counts.astype(np.int64) << 32 | term, starts) & 0xFFFFFFFF
-            low[full] = np.minimum.reduceat(term, starts)
-        order = np.lexsort((ids, low, top))
-        place = np.empty(len(ids), np.int64)
-        place[order] = np.arange(len(ids))
-        self.ids = ids[order]
-        impact = counts * (K1 + 1) / (counts + K1 * (1 - B + B * lengths[doc] / mean))
-        doc = place[doc]
-        by = np.lexsort((doc, term))
-        self.doc, self.impact, term = doc[by].astype(np.int32), impact[by], term[by]
-        block = self.doc // BLOCK
-        cut = np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])]) if len(term) else np.zeros(0, bool)
-        self.first = np.flatnonzero(cut)  # of each (term, block)
-        self.size = np.diff(np.append(self.first, len(term)))
-        self.block = block[self.first]
-        self.most = np.maximum.reduceat(self.impact, self.first) if len(term) else np.zeros(0)
-        self.term_at = np.searchsorted(term[self.first], np.arange(len(self.vocabulary) + 1))
-        self.blocks = -(-len(ids) // BLOCK)
-
-    def search(self, terms: np.ndarray, weights: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the best `top` documents with a positive score: score descending, then id ascending.
-
-        A block's bound is the sum of its terms' weighted maxima. The blocks of the largest bounds are scored first,
-        which gives a threshold; then every block whose bound reaches it. No other block can hold a result.
+    def run(batches):
+        parts, docs, words = [], 0, 0
+        for b in batches:
+            for at in range(0, b.num_rows, STEP):
+                p = b.slice(at, STEP)
+                own, term, count = _words(p.column(1))
+                parts.append((p.column(0).to_numpy(), own + docs, term, count))
+                docs, words = docs + p.num_rows, words + int(count.sum())
+                if words >= SHARD or docs > SHARD_DOCS - STEP:
+                    yield _shard(parts)
+                    parts, docs, words = [], 0, 0
+        if docs:
+            yield _shard(parts)
+
+    schema = "ids array<long>, lengths array<int>, words long, vocabulary array<long>, df array<int>, doc binary, count binary"
+    return _id_text(docs, id_column).mapInArrow(run, schema)
+
+
+def _shard(parts: list[tuple]) -> pa.RecordBatch:
+    ids, own, term, count = (np.concatenate(x) for x in zip(*parts, strict=True))
+    vocabulary, term = np.unique(term, return_inverse=True)
+    size = np.bincount(own, minlength=len(ids))
+    full = size > 0
+    starts = (np.cumsum(size) - size)[full]
+    top, low = np.full(len(ids), -1), np.full(len(ids), -1)
+    if len(starts):
+        top[full] = np.maximum.reduceat(count << 32 | term, starts) & 0xFFFFFFFF
+        low[full] = np.minimum.reduceat(term, starts)
+    order = np.lexsort((ids, low, top))
+    place = np.empty(len(ids), np.int64)
+    place[order] = np.arange(len(ids))
+    lengths = np.bincount(own, count, len(ids)).astype(np.int32)[order]
+    by = np.argsort(term << 20 | place[own])
+    columns = [
+        pa.array([ids[order]], pa.list_(pa.int64())),
+        pa.array([lengths], pa.list_(pa.int32())),
+        pa.array([int(count.sum())], pa.int64()),
+        pa.array([vocabulary], pa.list_(pa.int64())),
+        pa.array([np.bincount(term, minlength=len(vocabulary)).astype(np.int32)], pa.list_(pa.int32())),
+        pa.array([place[own][by].astype("<u2").tobytes()], pa.binary()),
+        pa.array([count[by].astype("<u4").tobytes()], pa.binary()),
+    ]
+    return pa.RecordBatch.from_arrays(columns, ["ids", "lengths", "words", "vocabulary", "df", "doc", "count"])
+
+
+class Index:
+    """A shard, ready for search: short lists as postings, long lists as columns of a matrix with their maxima in each block."""
+
+    def __init__(self, ids: np.ndarray, lengths: np.ndarray, vocabulary: np.ndarray, df: np.ndarray, doc: np.ndarray, count: np.ndarray, mean: float):
+        self.ids, self.vocabulary, self.df = ids, vocabulary, df
+        self.at, self.doc = np.cumsum(df) - df, doc.astype(np.int64)
+        self.impact = count * (K1 + 1) / (count + (K1 * (1 - B + B * lengths / mean))[self.doc])
+        self.blocks = max(1, -(-len(ids) // BLOCK))
+        self.width = self.blocks * BLOCK
+        long = np.flatnonzero(df * LONG >= len(ids))
+        long = long[np.argsort(-df[long], kind="stable")][: CELLS // self.width]
+        self.column = np.full(len(df), -1)
+        self.column[long] = np.arange(len(long))
+        self.matrix = np.zeros((self.width, len(long)))
+        for k, t in enumerate(long):
+            own = slice(self.at[t], self.at[t] + df[t])
+            self.matrix[self.doc[own], k] = self.impact[own]
+        self.most = self.matrix.reshape(self.blocks, BLOCK, -1).max(axis=1).T.copy()
+        #: Blocks whose long lists were read, and all, over the queries so far.
+        self.read, self.all = 0, 0
+
+    def search(self, query: np.ndarray, at: np.ndarray, weights: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, id, score), by query: documents that can be among a query's best, given that a score below `least` (one per query) can't be.
+
+        query, at, weights: the queries' terms as places in the vocabulary. A query's lists stand from short to long. The
+        short ones are read; with the block maxima of the long ones they bound what a document of a block can score. The
+        pivot lies behind the last list that can be left out: a block in which no document's bound reaches the threshold
+        is skipped before its long lists are opened, the others are scored in full.
         """
-        at = np.searchsorted(self.vocabulary, terms)
-        here = at < len(self.vocabulary)
-        here[here] = self.vocabulary[at[here]] == terms[here]
-        at, weights = at[here], weights[here]
-        if not len(at):
-            return np.zeros(0, np.int64), np.zeros(0)
-        lo, n = self.term_at[at], self.term_at[at + 1] - self.term_at[at]
-        entry = np.arange(n.sum()) + np.repeat(lo - np.cumsum(n) + n, n)
-        weight, block = np.repeat(weights, n), self.block[entry]
-        bound = np.bincount(block, weight * self.most[entry], self.blocks)
-        lead = np.zeros(self.blocks, bool)
-        lead[np.argpartition(-bound, min(3, self.blocks - 1))[:4]] = True
-        docs, scores = self._score(entry, weight, lead[block])
-        if len(scores) >= top:
-            least = -np.partition(-scores, top - 1)[top - 1]
-            rest = ~lead & (bound >= least - 10.0**-DIGITS)
-        else:
-            rest = ~lead & (bound > 0)
-        if rest.any():
-            more = self._score(entry, weight, rest[block])
-            docs, scores = np.concatenate([docs, more[0]]), np.concatenate([scores, more[1]])
-        scores, ids = np.round(scores, DIGITS), self.ids[docs]
-        if len(scores) > top:
-            keep = scores >= -np.partition(-scores, top - 1)[top - 1]
-            scores, ids = scores[keep], ids[keep]
-        best = np.lexsort((ids, -scores))[:top]
-        return ids[best], scores[best]
-
-    def _score(self, entry: np.ndarray, weight: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        entry, weight = entry[chosen], weight[chosen]
-        n = self.size[entry]
-        posting = np.arange(n.sum()) + np.repeat(self.first[entry] - np.cumsum(n) + n, n)
-        score = np.bincount(self.doc[posting], np.repeat(weight, n) * self.impact[posting], len(self.ids))
-        docs = np.flatnonzero(score > 0)
-        return docs, score[docs]
-
-
-def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """(sizes, flat values) of a list column."""
-    a = column.combine_chunks()
-    a = a.chunk(0) if isinstance(a, pa.ChunkedArray) else a
-    return np.diff(a.offsets.to_numpy()), a.flatten().to_numpy()
+        column, n = self.column[at], len(least)
+        long = column >= 0
+        w = np.zeros((n, self.matrix.shape[1]))
+        w[query[long], column[long]] = weights[long]
+        query, at, weights = query[~long], at[~long], weights[~long]
+        size = self.df[at]
+        place = np.arange(size.sum()) + np.repeat(self.at[at] - np.cumsum(size) + size, size)
+        score = np.bincount(np.repeat(query * self.width, size) + self.doc[place], np.repeat(weights, size) * self.impact[place], n * self.width)
+        score = score.astype(float, copy=False).reshape(n, self.blocks, BLOCK)
+        reach = np.maximum(least - SLACK, 1e-300)
+        opened = score.max(axis=2) + w @ self.most >= reach[:, None]
+        self.read, self.all = self.read + int(opened.sum()), self.all + opened.size
+        for b in range(self.blocks):
+            rows = np.flatnonzero(opened[:, b])
+            if len(rows):
+                score[rows, b] += w[rows] @ self.matrix[b * BLOCK : (b + 1) * BLOCK].T
+        hit = opened[:, :, None] & (score >= reach[:, None, None])
+        row, block, doc = np.nonzero(hit)
+        score, doc = np.round(score[row, block, doc], DIGITS), block * BLOCK + doc
+        keep = (score > 0) & (score >= least[row])
+        return row[keep], self.ids[doc[keep]], score[keep]
+
+
+class Best:
+    """The best `top` of each of n queries so far: score descending, then id ascending."""
+
+    def __init__(self, n: int, top: int):
+        self.top, self.ids, self.scores = top, np.zeros((n, top), np.int64), np.zeros((n, top))
+
+    def least(self, part: slice) -> np.ndarray:
+        return self.scores[part, -1]
+
+    def add(self, first: int, row: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        cuts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1], [True]])) if len(row) else []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            q, s, i = first + row[a], scores[a:b], ids[a:b]
+            if b - a > 4 * self.top:
+                keep = s >= -np.partition(-s, self.top - 1)[self.top - 1]
+                s, i = s[keep], i[keep]
+            s, i = np.concatenate([s, self.scores[q]]), np.concatenate([i, self.ids[q]])
+            best = np.lexsort((i, -s))[: self.top]
+            self.scores[q], self.ids[q] = s[best], i[best]
+
+    def rows(self, names: np.ndarray) -> pa.RecordBatch:
+        q, k = np.nonzero(self.scores > 0)
+        return pa.RecordBatch.from_arrays([pa.array(names[q]), pa.array(self.ids[q, k]), pa.array(self.scores[q, k])], ["query_id", "doc_id", "score"])
+
+
+def _flat(column: pa.ChunkedArray) -> np.ndarray:
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
+
+
+def _asked(docs: DataFrame, queries: DataFrame, index: DataFrame, n: int) -> DataFrame:
+    """(id, terms, weights) of each query with a word that occurs: a word's count times its idf over the whole table."""
+    own = term_rows(queries).select("id", F.explode(F.arrays_zip("terms", "counts")).alias("t"))
+    own = own.groupBy("id", F.col("t.terms").alias("term")).agg(F.sum("t.counts").alias("count"))
+    df = index.select(F.explode(F.arrays_zip("vocabulary", "df")).alias("t")).groupBy(F.col("t.vocabulary").alias("term")).agg(F.sum("t.df").alias("df"))
+    weight = F.col("count") * F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    found = own.join(df, "term").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("term", weight.alias("weight")))).alias("t"))
+    return found.select("id", F.col("t.term").alias("terms"), F.col("t.weight").alias("weights"))
+
+
+def _search(index: DataFrame, asked: pa.Table, mean: float, top: int) -> tuple[DataFrame, object]:
+    """(query_id, doc_id, score): the best `top` of each task's shards, and the broadcast to be dropped when they are written."""
+    starts = np.concatenate([[0], np.cumsum(asked.column("terms").combine_chunks().value_lengths().to_numpy())]).astype(np.int64)
+    terms, code = np.unique(_flat(asked.column("terms")), return_inverse=True)
+    sent = index.sparkSession.sparkContext.broadcast((asked.column("id").to_numpy(), starts, terms, code.astype(np.int32), _flat(asked.column("weights"))))
+
+    def run(batches):
+        names, starts, terms, code, weights = sent.value
+        best = Best(len(names), top)
+        for b in batches:
+            for k in range(b.num_rows if len(names) else 0):
+                ids, lengths, vocabulary, df = (b.column(i)[k].values.to_numpy() for i in range(4))
+                doc, count = (np.frombuffer(b.column(i)[k].as_py(), t) for i, t in ((4, "<u2"), (5, "<u4")))
+                shard = Index(ids, lengths, vocabulary, df.astype(np.int64), doc, count, mean)
+                place = np.full(len(terms) + 1, -1)
+                at = np.searchsorted(terms, vocabulary)
+                at[terms[np.minimum(at, len(terms) - 1)] != vocabulary] = len(terms)
+                place[at] = np.arange(len(vocabulary))
+                place[len(terms)] = -1
+                for q in range(0, len(names), TOGETHER):
+                    to = min(q + TOGETHER, len(names))
+                    part = slice(starts[q], starts[to])
+                    here = place[code[part]]
+                    known = here >= 0
+                    query = np.repeat(np.arange(to - q), np.diff(starts[q : to + 1]))[known]
+                    best.add(q, *shard.search(query, here[known], weights[part][known], best.least(slice(q, to))))
+        yield best.rows(names)
+
+    rows = index.select("ids", "lengths", "vocabulary", "df", "doc", "count").where(F.size("vocabulary") > 0)
+    return rows.mapInArrow(run, "query_id long, doc_id long, score double"), sent
 
 
 def bm25_top(docs: DataFrame, queries: DataFrame, top: int = TOP) -> DataFrame:
     """docs, queries (doc_id, text, ...) -> (query_id, rank, doc_id, score): the best `top` documents of each query, exactly.
 
-    A query is all words of its text, each counted as often as it occurs. Document counts, frequencies and the mean
-    length are those of the whole table, so shards can be merged. Each task takes one shard and a block of queries; a
-    query meets each shard once and hands over `top` rows. Documents without a common word aren't results. Null texts
-    have no words; rows with null ids take no part; ids are taken to be unique. Other columns aren't read.
+    A query is all words of its text, each counted as often as it occurs; query rows of one id are one query. Document
+    counts, frequencies and the mean length are those of the whole table, so shards can be merged. The index is built
+    once, where the documents are read, and written to the shared folder. Queries go to every task in blocks of bounded
+    size; a task goes through its shards with the thresholds it has reached so far, and hands over `top` rows a query.
+    Tasks are twice the cluster's cores at most, so that what they hand over grows with the queries alone. Documents
+    without a common word aren't results. Null and empty texts have no words; rows with null ids take no part; document
+    rows that repeat an id are results of their own. Other columns aren't read. An empty table gives no rows.
     """
-    rows = stored(term_rows(docs), "terms")
-    asked = stored(term_rows(queries), "query-terms")
-    n, words, entries, n_asked = *rows.agg(F.count("*"), F.sum("length"), F.sum(F.size("terms"))).first(), asked.count()
-    mean = max(1.0, (words or 0) / max(1, n))
-    df = rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    parts = asked.select("id", F.explode(F.arrays_zip("terms", "counts")).alias("t")).select("id", F.col("t.terms").alias("term"), F.col("t.counts").alias("count"))
-    weighted = parts.join(df, "term").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("term", (F.col("count") * idf).alias("weight")))).alias("t"))
-    asked = stored(weighted.select("id", F.col("t.term").alias("terms"), F.col("t.weight").alias("weights")), "queries")
-    shards, parts = int((entries or 0) // SHARD + 1), n_asked // QUERIES_AT_ONCE + 1
-    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    left = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).withColumn("part", every(parts))
-    right = asked.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).withColumn("shard", every(shards))
-
-    def run(_, d: pa.Table, q: pa.Table) -> pa.Table:
-        out: list[list[np.ndarray]] = [[], [], []]
-        if d.num_rows and q.num_rows:
-            sizes, terms = _lists(d.column("terms"))
-            index = Index(d.column("id").to_numpy(), d.column("length").to_numpy(), sizes, terms, _lists(d.column("counts"))[1], mean)
-            sizes, terms = _lists(q.column("terms"))
-            weights, ends = _lists(q.column("weights"))[1], np.cumsum(sizes)
-            for key, a, b in zip(q.column("id").to_numpy(), ends - sizes, ends, strict=True):
-                ids, scores = index.search(terms[a:b], weights[a:b], top)
-                for o, x in zip(out, (np.full(len(ids), key), ids, scores), strict=True):
-                    o.append(x)
-        flat = [np.concatenate(o) if o else np.zeros(0) for o in out]
-        return pa.table({"query_id": flat[0].astype(np.int64), "doc_id": flat[1].astype(np.int64), "score": flat[2].astype(float)})
-
-    key = ["shard", "part"]
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(run, "query_id long, doc_id long, score double")
+    index = stored(shards(docs), "shards", "zstd")
+    n, words = index.agg(F.sum(F.size("ids")), F.sum("words")).first()
+    n, mean = n or 0, max(1.0, (words or 0) / max(1, n or 0))
+    asked = stored(_asked(docs, queries, index, n), "queries")
+    passes = (asked.agg(F.sum(F.size("terms"))).first()[0] or 0) // QUERY_TERMS + 1
+    index = index.coalesce(2 * docs.sparkSession.sparkContext.defaultParallelism)
+    found = []
+    for k in range(passes):
+        block = asked.where(F.pmod(F.xxhash64("id"), F.lit(passes)) == k).toArrow()  # bounded by QUERY_TERMS
+        if block.num_rows or not (found or k < passes - 1):
+            part, sent = _search(index, block, mean, top)
+            found.append(stored(part, "found"))
+            sent.destroy()
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).select("query_id", "rank", "doc_id", "score")
+    ranked = reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(best))
+    return ranked.where(F.col("rank") <= top).select("query_id", "rank", "doc_id", "score")
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
