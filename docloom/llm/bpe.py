@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from .common import table
 from .vocab import read_ranks, split_pattern, vocabulary_file
 
-#: Text that is worked on at once, distinct pieces of a recursive query, chunks and pieces that a worker remembers, tokens of a decoding query.
-CHARS, PIECES, CHUNKS, KNOWN, TOKENS = 1 << 22, 1 << 14, 150_000, 400_000, 1 << 18
+#: Text that is worked on at once, distinct pieces of a recursive query, pieces that a worker remembers, tokens of a decoding query.
+CHARS, PIECES, KNOWN, TOKENS = 1 << 22, 1 << 14, 800_000, 1 << 18
+#: Pieces from this many bytes on are contracted in many places at once; rows of all rounds that such a query may keep.
+LONG, KEPT = 256, 1 << 21
 
 #: A word's rows are its tokens by position. Each round joins neighbours with the merge table, takes each word's pair of
 #: least rank (the leftmost of equals, as the number holds rank, then position), contracts it and closes the gap; words
@@ -34,16 +36,54 @@ WITH RECURSIVE s(round, w, pos, tok) AS (
     WHERE s.pos <> b.at + 1)
 SELECT s.w, tok FROM s JOIN (SELECT w, max(round) AS last FROM s GROUP BY w) f ON s.w = f.w AND s.round = f.last ORDER BY s.w, pos"""
 
+#: The same for long pieces, in many places of a word in one round. A pair is contracted if it has the least rank, and is the
+#: leftmost of that rank, among all pairs within {reach} tokens, the length of the longest token: whatever is contracted
+#: farther away before it can't grow up to it. Other pairs of that rank (a line of dashes has many) are contracted in the
+#: same round, in a run of overlapping ones each second from the left, if the whole run has the least rank and no pair of
+#: the rank nearby would, once contracted, stand beside a token with which it makes a pair of a lower rank.
+ENCODE_LONG = """
+WITH RECURSIVE s(round, w, pos, tok) AS (
+    SELECT 0, w, pos, tok FROM start_rows
+  UNION ALL
+    SELECT round + 1, w, CAST(row_number() OVER (PARTITION BY w ORDER BY pos) - 1 AS INT), tok
+    FROM (
+      SELECT round, w, pos, CASE WHEN here THEN merged ELSE tok END AS tok,
+        coalesce(lag(here) OVER (PARTITION BY w ORDER BY pos), false) AS gone, bool_or(here) OVER (PARTITION BY w) AS going
+      FROM (
+        SELECT *, merged IS NOT NULL AND (k = best OR coalesce(whole AND coalesce(uneasy > merged, true) AND (pos - since) % 2 = 0, false)) AS here
+        FROM (
+          SELECT *, min(pos) OVER (PARTITION BY w, run) AS since, bool_and(merged = best >> 32) OVER (PARTITION BY w, run) AS whole,
+            min(CASE WHEN lower THEN merged END) OVER (PARTITION BY w ORDER BY pos ROWS BETWEEN {reach} PRECEDING AND {reach} FOLLOWING) AS uneasy
+          FROM (
+            SELECT c.*, sum(CASE WHEN c.merged = c.before THEN 0 ELSE 1 END) OVER (PARTITION BY c.w ORDER BY c.pos) AS run,
+              coalesce(least(x.merged, y.merged, z.merged) < c.merged, false) AS lower
+            FROM (
+              SELECT *, CASE WHEN merged = best >> 32 THEN merged END AS made
+              FROM (
+                SELECT *, lag(merged) OVER (PARTITION BY w ORDER BY pos) AS before,
+                  min(k) OVER (PARTITION BY w ORDER BY pos ROWS BETWEEN {reach} PRECEDING AND {reach} FOLLOWING) AS best
+                FROM (
+                  SELECT p.*, m.merged, (CAST(m.merged AS BIGINT) << 32) | p.pos AS k
+                  FROM (
+                    SELECT *, lag(tok) OVER (PARTITION BY w ORDER BY pos) AS prev, lead(tok) OVER (PARTITION BY w ORDER BY pos) AS nxt, lead(tok, 2) OVER (PARTITION BY w ORDER BY pos) AS third
+                    FROM s WHERE round < {rounds}) p
+                  LEFT JOIN merges m ON p.tok = m.a AND p.nxt = m.b))) c
+            LEFT JOIN merges x ON x.a = c.prev AND x.b = c.made
+            LEFT JOIN merges y ON y.a = c.made AND y.b = c.third
+            LEFT JOIN merges z ON z.a = c.made AND z.b = c.made))))
+    WHERE going AND NOT gone)
+SELECT s.w, s.pos, tok FROM s JOIN (SELECT w, max(round) AS last FROM s GROUP BY w) f ON s.w = f.w AND s.round = f.last ORDER BY s.w, s.pos"""
+
 DECODE = "SELECT d, array_to_string(list(hex ORDER BY pos), '') AS hex FROM ids JOIN vocab USING (tok) GROUP BY d ORDER BY d"
 
 
 @lru_cache(maxsize=1)
 def _database(file: str):
-    """(connection with tables merges and vocab, ranks); one for each worker process, in memory, one thread."""
+    """(connection with tables merges and vocab, ranks); one for each worker process, in memory, one thread, no files of its own."""
     import duckdb
 
     ranks = read_ranks(file)
-    con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "500MB"})
+    con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "500MB", "temp_directory": ""})
     splits = ((t[:i], t[i:], r) for t, r in ranks.items() for i in range(1, len(t)))
     merges = np.array([(ranks[a], ranks[b], r) for a, b, r in splits if a in ranks and b in ranks], np.int32)
     con.register("_m", pa.table({"a": merges[:, 0], "b": merges[:, 1], "merged": merges[:, 2]}))
@@ -55,23 +95,44 @@ def _database(file: str):
     return con, ranks
 
 
-def encode_pieces(pieces: list[bytes], file: str) -> list[np.ndarray]:
-    """The ids of each distinct piece; a piece that is a token itself is that token."""
-    con, ranks = _database(file)
-    out = [np.array([ranks[p]], np.int32) if p in ranks else None for p in pieces]
-    todo = [i for i, o in enumerate(out) if o is None]
+def _rows(pieces: list[bytes], ranks: dict[bytes, int]) -> dict[str, np.ndarray]:
+    n = np.array([len(p) for p in pieces])
+    w = np.repeat(np.arange(len(pieces), dtype=np.int32), n)
+    pos = np.arange(len(w), dtype=np.int32) - np.repeat(np.cumsum(n) - n, n).astype(np.int32)
     first = np.array([ranks.get(bytes([i]), -1) for i in range(256)], np.int32)
-    for at in range(0, len(todo), PIECES):
-        part = todo[at : at + PIECES]
-        n = np.array([len(pieces[i]) for i in part])
-        w = np.repeat(np.arange(len(part), dtype=np.int32), n)
-        pos = np.arange(len(w), dtype=np.int32) - np.repeat(np.cumsum(n) - n, n).astype(np.int32)
-        con.register("start_rows", pa.table({"w": w, "pos": pos, "tok": first[np.frombuffer(b"".join(pieces[i] for i in part), np.uint8)]}))
-        got = con.execute(ENCODE).fetchnumpy()
-        con.unregister("start_rows")
-        ends = np.searchsorted(got["w"], np.arange(len(part) + 1))
-        for k, i in enumerate(part):
-            out[i] = np.array(got["tok"][ends[k] : ends[k + 1]], np.int32)
+    return {"w": w, "pos": pos, "tok": first[np.frombuffer(b"".join(pieces), np.uint8)]}
+
+
+def _contract(con, sql: str, rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    con.register("start_rows", pa.table(rows))
+    got = con.execute(sql).fetchnumpy()
+    con.unregister("start_rows")
+    return {k: np.asarray(v) for k, v in got.items()}
+
+
+def encode_pieces(pieces: list[bytes], file: str) -> list[bytes]:
+    """The ids of each distinct piece, as the bytes of 32-bit numbers; a piece that is a token itself is that token.
+
+    Long pieces go through a query of their own each, which starts again from its last round's rows as often as needed,
+    so that only a bounded number of rounds is kept at a time.
+    """
+    con, ranks = _database(file)
+    out = [np.int32(ranks[p]).tobytes() if p in ranks else b"" for p in pieces]
+    todo = [i for i, p in enumerate(pieces) if p not in ranks]
+    short, reach = [i for i in todo if len(pieces[i]) < LONG], max(map(len, ranks))
+    for at in range(0, len(short), PIECES):
+        part = short[at : at + PIECES]
+        got = _contract(con, ENCODE, _rows([pieces[i] for i in part], ranks))
+        ends, ids = 4 * np.searchsorted(got["w"], np.arange(len(part) + 1)), got["tok"].astype(np.int32).tobytes()
+        for i, a, b in zip(part, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            out[i] = ids[a:b]
+    for i in todo:
+        if len(pieces[i]) >= LONG:
+            rows, before = _rows([pieces[i]], ranks), -1
+            while len(rows["tok"]) != before:
+                before = len(rows["tok"])
+                rows = _contract(con, ENCODE_LONG.format(reach=reach, rounds=max(1, KEPT // before)), rows)
+            out[i] = rows["tok"].astype(np.int32).tobytes()
     return out
 
 
@@ -98,44 +159,23 @@ def decode_ids(lists: list[np.ndarray], file: str) -> list[bytes]:
 
 
 class _Memory:
-    """The ids, as bytes, of the chunks and pieces that a worker has met. A chunk ends before a single space between two
-    characters that aren't white space: the pattern always starts a match there, so each chunk is split and encoded by itself.
-    Chunks are kept without that space, those that start a text apart from them."""
+    """Encodes texts, and remembers the ids of the pieces that a worker has met."""
 
     def __init__(self, file: str):
         import regex
 
         self.file = file
-        self.odd = regex.compile(r"(?<!\S) | (?!\S)")
-        self.cut = regex.compile(r"(?<=\S) (?=\S)")
         self.pattern = regex.compile(split_pattern().replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
-        self.chunks: dict[str, bytes] = {}
-        self.starts: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
-    def split(self, text: str) -> list[str]:
-        return self.cut.split(text) if self.odd.search(text) else text.split(" ")
-
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.chunks) + len(self.starts) > CHUNKS:
-            self.chunks, self.starts = {}, {}
         if len(self.pieces) > KNOWN:
             self.pieces = {}
-        heads, tails = [], []
-        for t in texts:
-            head, *tail = self.split(t)
-            heads.append(head)
-            tails.append(tail)
-        new = {}
-        for known, met, before in ((self.starts, set(heads), ""), (self.chunks, set().union(*tails), " ")):
-            new.update({(before, c): self.pattern.findall(before + c) for c in met - known.keys()})
-        todo = list({p for ps in new.values() for p in ps} - self.pieces.keys())
-        for p, ids in zip(todo, encode_pieces([p.encode() for p in todo], self.file), strict=True):
-            self.pieces[p] = ids.tobytes()
-        for (before, c), ps in new.items():
-            (self.chunks if before else self.starts)[c] = b"".join([self.pieces[p] for p in ps])
-        get = self.chunks.__getitem__
-        return [np.frombuffer(self.starts[h] + b"".join(map(get, t)), np.int32) for h, t in zip(heads, tails, strict=True)]
+        split = [self.pattern.findall(t) for t in texts]
+        new = list(set().union(*split) - self.pieces.keys())
+        self.pieces.update(zip(new, encode_pieces([p.encode() for p in new], self.file), strict=True))
+        get = self.pieces.__getitem__
+        return [np.frombuffer(b"".join(map(get, ps)), np.int32) for ps in split]
 
 
 @lru_cache(maxsize=1)
@@ -168,7 +208,7 @@ def encode_documents(docs: DataFrame, file: str) -> DataFrame:
 
     Null and empty texts have no ids. Rows stay in their task, repeated rows and null doc_ids too; other columns are
     not read. Only distinct pieces of a task's text go through the recursive query. A piece of n bytes takes up to n
-    rounds over n rows, as in the plain algorithm.
+    rounds over n rows, but a long one (no space or mark in LONG bytes) is contracted in many places in one round.
     """
 
     def run(batches):

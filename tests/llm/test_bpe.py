@@ -36,7 +36,6 @@ def test_encode_then_decode_as_operators(make):
 
 
 def test_forgetting_changes_nothing(monkeypatch):
-    monkeypatch.setattr(bpe, "CHUNKS", 3)
     monkeypatch.setattr(bpe, "KNOWN", 3)
     monkeypatch.setattr(bpe, "PIECES", 2)
     monkeypatch.setattr(bpe, "TOKENS", 5)
@@ -45,3 +44,15 @@ def test_forgetting_changes_nothing(monkeypatch):
     for t in texts:
         assert m.encode([t])[0].tolist() == e.encode_ordinary(t)
     assert bpe.decode_ids(m.encode(texts), FILE) == [t.encode() for t in texts]
+
+
+def test_long_pieces_equal_the_library(monkeypatch):
+    rng = random.Random(3)
+    parts = ["a", "b", "ab", "bab", "aa" * 30, "nn" * 21, "an" * 17]
+    texts = ["-" * 20_001, "ab" * 9000 + "b", " " * 9000 + "x", *("".join(rng.choice(parts) for _ in range(rng.randrange(20, 150))) for _ in range(12))]
+    texts += ["".join(rng.choice("etaoinshrdlu") for _ in range(20_000)), "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(7000))]
+    m, e = bpe._memory(FILE), encoder(FILE)
+    for t in texts:
+        assert m.encode([t])[0].tolist() == e.encode_ordinary(t)
+    monkeypatch.setattr(bpe, "KEPT", 3000)  # the query starts again and again
+    assert bpe.encode_pieces([texts[3].encode()], FILE) == [m.encode([texts[3]])[0].tobytes()]
