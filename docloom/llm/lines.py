@@ -5,12 +5,11 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .buckets import MANY, SAMPLE, jaccard_reaches, similar_stars, tiles
-from .common import WHITE, sent_if_small, stored, table
+from .common import WHITE, sent_if_small, stored, table, whole
 from .components import components
 
 #: Characters of a shingle (a shorter line is one shingle), and the Jaccard similarity from which lines are linked.
@@ -22,8 +21,16 @@ BANDS, ROWS = 12, 4
 SHORT, SHORT_SHINGLE = 128, 4
 #: Short shingles are shared by chance more often; longer bands keep such pairs apart. Recall at SIMILAR is 0.998 again.
 SHORT_BANDS, SHORT_ROWS = 21, 6
+#: A line of MANY_SHINGLES distinct long shingles or more takes its BANDS * ROWS numbers from one permutation cut into as many bins
+#: (some ten shingles in each); a line of fewer takes the minima of as many permutations. Lines between take both, so that any
+#: two lines whose sizes allow the similarity share a kind. Both kinds have the recall above.
+MANY_SHINGLES = 320
 #: Rows of numbers up to which a side of a join is sent to every task.
 SENT = 500_000
+#: Members from which a band is compared tile by tile, and members of bands that a task sorts at once, about.
+CROWD, PART = 32, 1 << 20
+#: Lines whose bands are computed at once.
+STEP = 1024
 
 
 def _seeds(seed: int, n: int) -> np.ndarray:
@@ -39,8 +46,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _bands(lines: list[str], width: int, seeds: np.ndarray, rows: int, first: int) -> np.ndarray:
-    """(lines x bands) band values by shingles of `width`, the band's number from `first` on in the lowest bits; every line has a character."""
+def _hashes(lines: list[str], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each shingle of `width` characters, where a line's first one is, how many it has); every line has a character."""
     points = np.frombuffer("".join(x.ljust(width, "\0") for x in lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     n = np.array([max(len(x), width) for x in lines])
     ends = np.cumsum(n)
@@ -50,21 +57,67 @@ def _bands(lines: list[str], width: int, seeds: np.ndarray, rows: int, first: in
     inside = np.ones(len(points), bool)
     for k in range(1, width):
         inside[ends - k] = False
-    h = (_mixed(h) >> np.uint64(32)).astype(np.uint32)[inside[: len(h)]]
-    starts = np.concatenate([[0], np.cumsum(n - width + 1)[:-1]])
-    out = np.zeros((len(lines), len(seeds) // rows), np.uint64)
-    for i, (a, b) in enumerate(seeds):
-        out[:, i // rows] = _mixed(out[:, i // rows] ^ np.minimum.reduceat(h * a + b, starts).astype(np.uint64) + np.uint64(i))
-    return (out & ~np.uint64(63) | np.arange(first, first + out.shape[1], dtype=np.uint64)).view(np.int64)
+    n = n - width + 1
+    return (_mixed(h) >> np.uint64(32)).astype(np.uint32)[inside[: len(h)]], np.cumsum(n) - n, n
+
+
+def _minima(h: np.ndarray, starts: np.ndarray, seeds: np.ndarray) -> list[np.ndarray]:
+    """For each of the permutations, each line's least number."""
+    return [np.minimum.reduceat(h * a + b, starts) for a, b in seeds]
+
+
+def _bins(distinct: np.ndarray, owner: np.ndarray, lines: int, bins: int) -> list[np.ndarray]:
+    """For each of the bins of one permutation, each line's least number there; an empty bin takes that of the next one that isn't."""
+    at = owner * bins + (distinct.astype(np.uint64) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    out = np.full(lines * bins, -1)
+    out[at[first]] = distinct[first]
+    out = out.reshape(lines, bins)
+    while (empty := out < 0).any():
+        out = np.where(empty, np.roll(out, -1, axis=1), out)
+    return list(out.T.astype(np.uint32))
 
 
-def bands(lines: list[str]) -> np.ndarray:
-    return _bands(lines, SHINGLE, _SEEDS, ROWS, 0)
+def _banded(numbers: list[np.ndarray], rows: int, first: int) -> np.ndarray:
+    """(lines x bands) of values over `rows` numbers each, the band's number from `first` on in the lowest bits."""
+    out = np.zeros((len(numbers[0]), len(numbers) // rows), np.uint64)
+    for i, x in enumerate(numbers):
+        out[:, i // rows] = _mixed(out[:, i // rows] ^ x.astype(np.uint64) + np.uint64(i))
+    return (out & ~np.uint64(63) | np.arange(first, first + out.shape[1], dtype=np.uint64)).view(np.int64)
 
 
-def short_bands(lines: list[str]) -> np.ndarray:
-    """For lines under SHORT characters."""
-    return _bands(lines, SHORT_SHINGLE, _SHORT_SEEDS, SHORT_ROWS, BANDS)
+def line_bands(ids: np.ndarray, lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(band, id) of each line: bands of long shingles of one or both kinds, and of short ones if it has under SHORT characters."""
+    out = []
+
+    def add(of, values):
+        out.append((values.ravel(), np.repeat(of, values.shape[1])))
+
+    h, starts, n = _hashes(lines, SHINGLE)
+    owner = np.repeat(np.arange(len(lines)), n)
+    many = np.flatnonzero(n >= SIMILAR * MANY_SHINGLES)  # as distinct ones aren't more
+    size = np.zeros(len(lines), np.int64)
+    if len(many):
+        place = np.full(len(lines), -1)
+        place[many] = np.arange(len(many))
+        own = np.isin(owner, many)
+        pair = np.unique(place[owner[own]].astype(np.uint64) << np.uint64(32) | h[own])
+        of, distinct = (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        size[many] = np.bincount(of, minlength=len(many))
+        wide = size[many] >= SIMILAR * MANY_SHINGLES
+        if wide.any():
+            place = np.cumsum(wide) - 1
+            keep = wide[of]
+            add(ids[many[wide]], _banded(_bins(distinct[keep], place[of[keep]], int(wide.sum()), BANDS * ROWS), ROWS, BANDS + SHORT_BANDS))
+    few = np.flatnonzero(size < MANY_SHINGLES / SIMILAR)
+    if len(few):
+        own = np.isin(owner, few) if len(few) < len(lines) else slice(None)
+        add(ids[few], _banded(_minima(h[own], np.cumsum(n[few]) - n[few], _SEEDS), ROWS, 0))
+    short = [i for i, x in enumerate(lines) if len(x) < SHORT]
+    if short:
+        h, starts, _ = _hashes([lines[i] for i in short], SHORT_SHINGLE)
+        add(ids[short], _banded(_minima(h, starts, _SHORT_SEEDS), SHORT_ROWS, BANDS))
+    return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
 
 
 def _cut(line: str, width: int) -> set[str]:
@@ -86,15 +139,12 @@ def _members(lines: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                part = b.slice(at, 1024)
-                short = part.filter(pc.less(pc.utf8_length(part.column(1)), SHORT))
-                for rows, values in ((part, bands), (short, short_bands)):
-                    if rows.num_rows:
-                        found = pa.array(list(values(rows.column(1).to_pylist())), pa.list_(pa.int64()))
-                        yield pa.RecordBatch.from_arrays([rows.column(0), found], ["id", "bands"])
+            for at in range(0, b.num_rows, STEP):
+                part = b.slice(at, STEP)
+                band, ids = line_bands(part.column(0).to_numpy(), part.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([pa.array(band), pa.array(ids)], ["band", "id"])
 
-    return lines.select("id", "line").mapInArrow(run, "id long, bands array<long>").select(F.explode("bands").alias("band"), "id")
+    return lines.select("id", "line").mapInArrow(run, "band long, id long")
 
 
 def _verified(pairs: DataFrame) -> DataFrame:
@@ -109,56 +159,107 @@ def _verified(pairs: DataFrame) -> DataFrame:
 
 
 def _tile(group: pd.DataFrame) -> pd.DataFrame:
-    width = SHINGLE if group["band"].iat[0] & 63 < BANDS else SHORT_SHINGLE
+    width = SHORT_SHINGLE if BANDS <= group["band"].iat[0] & 63 < BANDS + SHORT_BANDS else SHINGLE
     return similar_stars([_cut(x, width) for x in group["line"]], group["id"].to_numpy(), SIMILAR)
 
 
-def _met(members: DataFrame, hot: DataFrame) -> DataFrame:
-    """(band, id) -> (src, dst, null) for every pair of a band with few ids, once for each band, and (id, null, band) for members of hot ones.
+def _dealt(lines: DataFrame, hot: np.ndarray, parts: int) -> DataFrame:
+    """(id, line) -> (part, crowded, bands, ids): members of bands packed by the part of their band; those of hot bands apart, in any part.
 
-    One sort by band, no join of bands with themselves; members of hot bands are dealt out by id.
+    hot: sorted, at most SENT bands. Packed members cost the shuffle two numbers each and no rows.
     """
+    sent = lines.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches):
-        rest = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        held, n = [], 0
+
+        def rows():
+            band, ids = (np.concatenate([h[i] for h in held]) for i in range(2))
+            at = np.minimum(np.searchsorted(sent.value, band), max(0, len(sent.value) - 1))
+            crowded = sent.value[at] == band if len(sent.value) else np.zeros(len(band), bool)
+            part = ((band >> 6) % parts).astype(np.int32)
+            part[crowded] = np.arange(crowded.sum()) // STEP % parts
+            by = np.argsort(part.astype(np.int64) << 1 | crowded, kind="stable")
+            band, ids, part, crowded = band[by], ids[by], part[by], crowded[by]
+            cuts = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (crowded[1:] != crowded[:-1]), [True]]))
+            at = pa.array(cuts.astype(np.int32))
+            lists = [pa.ListArray.from_arrays(at, pa.array(x)) for x in (band, ids)]
+            return pa.RecordBatch.from_arrays([pa.array(part[cuts[:-1]]), pa.array(crowded[cuts[:-1]]), *lists], ["part", "crowded", "bands", "ids"])
+
         for b in batches:
-            crowded = b.filter(b.column(2))
-            yield pa.RecordBatch.from_arrays([crowded.column(1), pa.nulls(crowded.num_rows, pa.int64()), crowded.column(0)], ["src", "dst", "band"])
-            b = b.filter(pc.invert(b.column(2)))
-            band, ids = (np.concatenate([r, c.to_numpy()]) for r, c in zip(rest, b.columns[:2], strict=True))
-            open_at = int(np.searchsorted(band, band[-1])) if len(band) else 0
-            rest = (band[open_at:], ids[open_at:])
-            yield pairs(band[:open_at], ids[:open_at])
-        yield pairs(*rest)
-
-    def pairs(band, ids):
-        out, step = [], 1
-        while len(band) > step:  # the pairs that lie `step` rows apart
+            for at in range(0, b.num_rows, STEP):
+                p = b.slice(at, STEP)
+                held.append(line_bands(p.column(0).to_numpy(), p.column(1).to_pylist()))
+                n += len(held[-1][0])
+                if n >= PART:
+                    yield rows()
+                    held, n = [], 0
+        if held:
+            yield rows()
+
+    return lines.select("id", "line").mapInArrow(run, "part int, crowded boolean, bands array<long>, ids array<long>")
+
+
+def _met(dealt: DataFrame, partitions: int) -> DataFrame:
+    """dealt members -> (src, dst, null) for every pair of a band with few ids, once for each band, and (id, null, band) for members of others."""
+
+    def out(src, dst, band) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) if len(x) else pa.nulls(max(map(len, (src, dst, band))), pa.int64()) for x in (src, dst, band)], ["src", "dst", "band"])
+
+    def pairs(held):
+        band, ids = (np.concatenate([h[i] for h in held]) for i in range(2))
+        by = np.argsort(band)
+        band, ids = band[by], ids[by]
+        cuts = np.flatnonzero(np.concatenate([[True], band[1:] != band[:-1], [True]]))
+        size = np.diff(cuts)
+        crowd = np.repeat(size >= CROWD, size)
+        if crowd.any():
+            yield out(ids[crowd], (), band[crowd])
+        keep = np.repeat((size > 1) & (size < CROWD), size)
+        band, ids = band[keep], ids[keep]
+        for step in range(1, CROWD):  # the pairs that lie `step` rows apart
             same = np.flatnonzero(band[step:] == band[:-step])
             if not len(same):
                 break
-            out.append((np.minimum(ids[same], ids[same + step]), np.maximum(ids[same], ids[same + step])))
-            step += 1
-        src, dst = (np.concatenate([o[i] for o in out]) if out else np.zeros(0, np.int64) for i in range(2))
-        return pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst), pa.nulls(len(src), pa.int64())], ["src", "dst", "band"])
+            yield out(np.minimum(ids[same], ids[same + step]), np.maximum(ids[same], ids[same + step]), ())
 
-    rows = members.join(hot.withColumn("hot", F.lit(True)), "band", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    dealt = rows.repartition(F.when(F.col("hot"), F.xxhash64("id")).otherwise(F.col("band")))
-    return dealt.sortWithinPartitions("hot", "band").select("band", "id", "hot").mapInArrow(run, "src long, dst long, band long")
+    def run(batches):
+        held, now = [], None
+        for b in batches:
+            for k in range(b.num_rows):
+                part, crowded = b.column(0)[k].as_py(), b.column(1)[k].as_py()
+                band, ids = (b.column(i)[k].values.to_numpy() for i in (2, 3))
+                if crowded:
+                    yield out(ids, (), band)
+                    continue
+                if part != now and held:
+                    yield from pairs(held)
+                    held = []
+                now = part
+                held.append((band, ids))
+        if held:
+            yield from pairs(held)
+
+    return dealt.repartition(partitions, "part").sortWithinPartitions("part").mapInArrow(run, "src long, dst long, band long")
 
 
 def line_links(lines: DataFrame) -> DataFrame:
     """lines (id, line), each text once -> (src, dst): links enough to connect all lines that similar ones connect.
 
-    Bands that many lines share are found through one line in SAMPLE and compared tile by tile; pairs of the other bands
-    are made by one sort. Both ways verify texts.
+    Bands that many lines share are found through one line in SAMPLE, the SENT largest at most, so that no task is handed
+    all their members; all bands of CROWD lines or more are compared tile by tile, the pairs of the others are made by one
+    sort. Both ways verify texts, and the look at the sample changes no link.
     """
+    spark = lines.sparkSession
     seen = _members(lines.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0)).groupBy("band").agg(F.count("*").alias("n"))
-    hot = stored(seen.where(F.col("n") >= MANY).select("band"), "line-hot-bands")
-    met = stored(_met(_members(lines), sent_if_small(hot, SENT)), "line-meetings")
+    hot = seen.where(F.col("n") >= MANY).orderBy(F.desc("n"), "band").limit(SENT).select("band")
+    hot = np.sort(hot.toArrow().column("band").to_numpy())  # at most SENT numbers
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(max(4 * partitions, lines.count() * 20 // PART + 1))
+    met = stored(_met(_dealt(lines, hot, parts), partitions), "line-meetings")
     near, large = met.where("band IS NULL").select("src", "dst").distinct(), met.where("band IS NOT NULL").select("band", F.col("src").alias("id"))
     needed = stored(met.select(F.col("src").alias("id")).union(met.where("dst IS NOT NULL").select("dst")).distinct(), "line-needed")
-    texts = stored(lines.select("id", "line").join(sent_if_small(needed, SENT), "id", "left_semi"), "line-texts", "zstd")
+    texts = stored(lines.select("id", "line").join(sent_if_small(needed, SENT), "id", "left_semi"), "line-texts")
     pairs = near.join(texts.select(F.col("id").alias("src"), F.col("line").alias("a")), "src").join(texts.select(F.col("id").alias("dst"), F.col("line").alias("b")), "dst")
     sizes = large.groupBy("band").agg(F.count("*").alias("_n"))
     dealt = tiles(large.join(sizes, "band"), ["band"], "id").join(texts, "id").groupBy("band", "_i", "_j").applyInPandas(_tile, "src long, dst long")
@@ -166,10 +267,9 @@ def line_links(lines: DataFrame) -> DataFrame:
 
 
 def _places(docs: DataFrame) -> DataFrame:
-    """(doc_id, at, line) for each line with a word; at orders lines by document and number."""
+    """(doc_id, line_no, line) for each line with a word."""
     lines = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    at = F.col("doc_id").cast("decimal(38,0)") * F.lit(1 << 32).cast("decimal(10,0)") + F.col("line_no")
-    return lines.where(F.btrim("line", F.lit(WHITE)) != "").select("doc_id", "line_no", at.cast("decimal(38,0)").alias("at"), "line")
+    return lines.where(F.btrim("line", F.lit(WHITE)) != "")
 
 
 def _twice_hashed(line: Column) -> list[Column]:
@@ -180,19 +280,23 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, ...) -> (doc_id, removed: array of line numbers from 0), for documents that lose a line.
 
     Of each component of similar lines, the one that comes first by doc_id and number stays. Texts are split at newlines;
-    lines without a word are neither compared nor removed. Equal lines are one node, with their least place, before any
+    lines without a word are neither compared nor removed. Equal lines are one node, with their least document, before any
     comparison; they are found again by two 64-bit hashes.
     """
     places = _places(docs)
-    lines = places.groupBy("line").agg(F.min("at").alias("first"), F.count("*").alias("n"))
-    lines = stored(lines.select(F.monotonically_increasing_id().alias("id"), "line", *_twice_hashed(F.col("line")), "first", "n"), "lines", "zstd")
+    lines = places.groupBy("line").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+    lines = stored(lines.select(F.monotonically_increasing_id().alias("id"), "line", *_twice_hashed(F.col("line")), "first", "n"), "lines")
     found = components(line_links(lines))
     own = lines.select("id", "h1", "h2", "first", "n").join(found, lines.id == found.node, "left")
     own = stored(own.where("n > 1 OR component IS NOT NULL").select("h1", "h2", "first", F.coalesce("component", "id").alias("component")), "line-components")
     stays = own.groupBy("component").agg(F.min("first").alias("stays"))
-    judged = sent_if_small(stored(own.join(stays, "component").select("h1", "h2", "stays"), "lines-judged"), SENT // 5)
-    gone = places.select("doc_id", "line_no", "at", *_twice_hashed(F.col("line"))).join(judged, ["h1", "h2"]).where("at <> stays")
-    return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
+    judged = sent_if_small(stored(own.join(stays, "component").select("h1", "h2", "component", "stays"), "lines-judged"), SENT // 5)
+    met = places.select("doc_id", "line_no", *_twice_hashed(F.col("line"))).join(judged, ["h1", "h2"])
+    here = F.sort_array(F.collect_set(F.struct("component", "line_no", (F.col("doc_id") == F.col("stays")).alias("stays"))))
+    # A line goes if its component stays in another document, or earlier in this one.
+    gone = F.filter("here", lambda x, i: ~x.stays | F.coalesce(F.get("here", i - 1).component == x.component, F.lit(False)))
+    out = met.groupBy("doc_id").agg(here.alias("here")).select("doc_id", F.array_sort(F.transform(gone, lambda x: x.line_no)).alias("removed"))
+    return out.where(F.size("removed") > 0)
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
@@ -212,26 +316,20 @@ def line_dedup(docs: DataFrame) -> DataFrame:
 
 def without_repeated_lines(docs: DataFrame) -> DataFrame:
     """docs with the removed lines cut out of `text` and `n_chars` (if there is one) counted anew; same columns, every row stays."""
-    gone = removed_lines(docs).withColumnRenamed("doc_id", "_doc_id").withColumnRenamed("removed", "_removed")
-    joined = docs.join(gone, docs.doc_id == gone["_doc_id"], "left")
+    gone = removed_lines(docs).withColumnRenamed("doc_id", "_of")
 
     def cut(texts: pd.Series, removed: pd.Series) -> pd.Series:
         def rest(text, lines):
-            if lines is None or text is None:
-                return text
             drop = set(lines)
             return "\n".join(x for i, x in enumerate(text.split("\n")) if i not in drop)
 
-        return pd.Series([rest(t, r) for t, r in zip(texts, removed, strict=True)], dtype=object)
+        return pd.Series([t if t is None or r is None else rest(t, r) for t, r in zip(texts, removed, strict=True)], dtype=object)
 
-    text = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(F.pandas_udf(cut, "string")("text", "_removed"))
-    out = joined.withColumn("_text", text)
-    return out.select(
-        *[
-            F.col("_text").alias(c) if c == "text" else F.when(F.col("_removed").isNull(), F.col(c)).otherwise(F.length("_text")).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else docs[c]
-            for c in docs.columns
-        ]
-    )
+    rows = whole(docs, F.col("doc_id").cast("long").alias("_id")).join(gone, F.col("_id") == F.col("_of"), "left")
+    rows = rows.withColumn("_kept", F.when(F.col("removed").isNull(), F.col("_row.text")).otherwise(F.pandas_udf(cut, "string")("_row.text", "removed")))
+    old = lambda c: F.col(f"_row.`{c}`")
+    new = {"text": F.col("_kept"), "n_chars": F.when(F.col("removed").isNull(), old("n_chars") if "n_chars" in docs.columns else None).otherwise(F.length("_kept"))}
+    return rows.select(*[(new[c].cast(docs.schema[c].dataType) if c in new else old(c)).alias(c) for c in docs.columns])
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
