@@ -10,8 +10,18 @@ from .common import WHITE, stored, table, whole, words
 #: The symbols that the base rule counts, and further marks that prose rarely has.
 SYMBOLS = "#*$%&|<>"
 MARKS = "#*$%&|<>!~^=_@{}[]\\"
-#: Metric (an integer) -> least threshold. A group's threshold is its median + SPREAD * (median - 10th percentile), but not below this.
-FLOORS = {"m_symbols": 30, "m_marks": 40, "m_upper": 250, "m_dup_lines": 300, "m_repeat": 200, "m_word_len": 1200}
+#: Metric (an integer) -> (size, step): the metric counts in steps of step / size, so step over the size's 10th percentile is what
+#: one count more makes in a short document of the group.
+METRICS = {
+    "m_symbols": ("word_chars", 1000),
+    "m_marks": ("word_chars", 1000),
+    "m_upper": ("word_chars", 1000),
+    "m_dup_lines": ("n_lines", 1000),
+    "m_repeat": ("n_words", 10_000),
+    "m_word_len": ("word_chars", 100),
+}
+SIZES = ["word_chars", "n_words", "n_lines"]
+#: A group's threshold is its third quartile and SPREAD times its interquartile range or that step, whichever is larger.
 SPREAD = 8
 #: Groups of fewer documents use the sketch of their language, and languages of fewer that of all documents.
 LEAST_GROUP = 50
@@ -43,7 +53,7 @@ def measure(df: DataFrame) -> DataFrame:
             "n_symbols": _count(F.col("_t"), SYMBOLS),
             "_marks": _count(F.col("_t"), MARKS),
             "_upper": (F.length("_t") - F.length(F.regexp_replace("_t", r"\p{Lu}", ""))).cast("long"),
-            "_n_lines": F.size("_lines").cast("long"),
+            "n_lines": F.size("_lines").cast("long"),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
             "_w": F.when(n >= 5, F.transform(F.sequence(F.lit(0), n - 5), window)).otherwise(F.array().cast("array<bigint>")),
         }
@@ -58,15 +68,15 @@ def measure(df: DataFrame) -> DataFrame:
         "m_symbols": per("n_symbols", "word_chars"),
         "m_marks": per("_marks", "word_chars"),
         "m_upper": per("_upper", "word_chars"),
-        "m_dup_lines": per("n_dup_lines", "_n_lines"),
+        "m_dup_lines": per("n_dup_lines", "n_lines"),
         "m_repeat": per("n_repeat_words", "n_words"),
         "m_word_len": per("word_chars", "n_words", 100),
     }
-    return df.withColumns({k: F.floor(v).cast("long") for k, v in metrics.items()}).drop("_marks", "_upper", "_n_lines")
+    return df.withColumns({k: F.floor(v).cast("long") for k, v in metrics.items()}).drop("_marks", "_upper")
 
 
 def sketches(measured: DataFrame) -> DataFrame:
-    """(lang, source, metric, bucket, n): counts over buckets that keep the leading BITS bits of a value.
+    """(lang, source, metric, bucket, n) of metrics and sizes: counts over buckets that keep the leading BITS bits of a value.
 
     Two sketches merge by adding counts, so partial sketches are combined before the shuffle and a group of any size
     arrives as a few hundred rows for each task that has read some of it.
@@ -74,7 +84,7 @@ def sketches(measured: DataFrame) -> DataFrame:
     v = F.col("v")
     shift = F.greatest(F.length(F.bin(v)) - BITS, F.lit(0))
     low = F.expr("shiftleft(shiftright(v, _k), _k)")
-    pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in FLOORS]))
+    pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in [*METRICS, *SIZES]]))
     return (
         measured.select("lang", "source", pairs.alias("_m"))
         .select("lang", "source", "_m.metric", "_m.v")
@@ -85,34 +95,37 @@ def sketches(measured: DataFrame) -> DataFrame:
     )
 
 
+def limits_sql(sketch: str) -> str:
+    """(lang, source, t_<metric>...) from a sketch's table: thresholds of each group, or of the level above if it is small; SQL of Spark and DuckDB."""
+
+    def level(by: str) -> str:
+        point = lambda q: f"min(CASE WHEN upto * 100 >= total * {q} THEN bucket END) AS q{q}"
+        of = lambda m, q: f"max(CASE WHEN metric = '{m}' THEN {q} END)"
+        step = lambda size, k: f"CAST(floor({k} / greatest({of(size, 'q10')}, 1)) AS BIGINT)"
+        limit = lambda m, size, k: f"{of(m, 'q75')} + {SPREAD} * greatest({of(m, 'q75 - q25')}, {step(size, k)}, 1) AS t_{m[2:]}"
+        group = f"GROUP BY {by}" if by else ""
+        return f"""SELECT {by + "," if by else ""} max(total) AS n, {", ".join(limit(m, *x) for m, x in METRICS.items())}
+          FROM (SELECT {by + "," if by else ""} metric, max(total) AS total, {point(10)}, {point(25)}, {point(75)}
+            FROM (SELECT {by + "," if by else ""} metric, bucket, sum(n) OVER (PARTITION BY {by + "," if by else ""} metric ORDER BY bucket) AS upto,
+                    sum(n) OVER (PARTITION BY {by + "," if by else ""} metric) AS total
+                  FROM (SELECT {by + "," if by else ""} metric, bucket, sum(n) AS n FROM {sketch} GROUP BY {by + "," if by else ""} metric, bucket) s) r
+            GROUP BY {by + "," if by else ""} metric) q {group}"""
+
+    chosen = lambda t: f"CASE WHEN o.n >= {LEAST_GROUP} THEN o.{t} WHEN l.n >= {LEAST_GROUP} THEN l.{t} ELSE a.{t} END AS {t}"
+    return f"""SELECT o.lang, o.source, {", ".join(chosen(f"t_{m[2:]}") for m in METRICS)}
+      FROM (SELECT *, 1 AS one FROM ({level("lang, source")}) x) o JOIN ({level("lang")}) l ON o.lang = l.lang JOIN (SELECT *, 1 AS one FROM ({level("")}) y) a ON o.one = a.one"""
+
+
 def thresholds(sketch: DataFrame) -> DataFrame:
-    """(lang, source, t_<metric>...): one row for each group, from its own sketch or that of the level above if it is small."""
-    spark = sketch.sparkSession
-    ranked = """
-        SELECT *, sum(n) OVER (PARTITION BY {by} ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {by}) AS total
-        FROM {of}"""
-    point = "min(CASE WHEN upto * 100 >= total * {q} THEN bucket END)"
-    limit = f"{point.format(q=50)} + {SPREAD} * ({point.format(q=50)} - {point.format(q=10)})"
-    floors = " ".join(f"WHEN '{m}' THEN {v}" for m, v in FLOORS.items())
-    both = spark.sql(
-        f"""
-        WITH own AS (SELECT lang, source, metric, max(total) AS n, {limit} AS t FROM ({ranked.format(by="lang, source, metric", of="{sketch}")}) GROUP BY ALL),
-        l AS (SELECT lang, metric, bucket, sum(n) AS n FROM {{sketch}} GROUP BY ALL),
-        by_lang AS (SELECT lang, metric, max(total) AS n, {limit} AS t FROM ({ranked.format(by="lang, metric", of="l")}) GROUP BY ALL),
-        a AS (SELECT metric, bucket, sum(n) AS n FROM {{sketch}} GROUP BY ALL),
-        by_all AS (SELECT metric, {limit} AS t FROM ({ranked.format(by="metric", of="a")}) GROUP BY ALL)
-        SELECT own.lang, own.source, own.metric,
-          greatest(CASE own.metric {floors} END, CASE WHEN own.n >= {LEAST_GROUP} THEN own.t WHEN by_lang.n >= {LEAST_GROUP} THEN by_lang.t ELSE by_all.t END) AS t
-        FROM own JOIN by_lang ON own.lang = by_lang.lang AND own.metric = by_lang.metric JOIN by_all ON own.metric = by_all.metric""",
-        sketch=sketch,
-    )
-    return both.groupBy("lang", "source").agg(*[F.max(F.when(F.col("metric") == m, F.col("t"))).alias(f"t_{m[2:]}") for m in FLOORS])
+    """(lang, source, t_<metric>...): one row for each group of the sketch."""
+    return sketch.sparkSession.sql(limits_sql("{sketch}"), sketch=sketch)
 
 
 def quality_rules(docs: DataFrame, carry: list[str]) -> DataFrame:
     """docs (text, lang, source, ...) -> the columns of `carry`, the base counts, base_failed, kept, reason.
 
     kept is false if base_failed, or if a metric lies above its group's threshold; reason names the first such metric.
+    Thresholds come from the documents that the base rule lets pass; a group without one has none and keeps what passes.
     Null or blank texts fail the base rule (under ten words). A null lang or source counts as the group ''. Repeated rows
     are judged each by itself and counted each. An empty table gives no rows. Carried columns keep their names unless
     an output column has the name, which then wins.
@@ -122,11 +135,11 @@ def quality_rules(docs: DataFrame, carry: list[str]) -> DataFrame:
     carried = [c for c in carry if c not in own]
     base = base.select(F.struct(*[F.col(f"_row.`{c}`").alias(c) for c in carry]).alias("_row"), "text", "lang", "source")
     measured = stored(measure(base), "quality")
-    limits = thresholds(sketches(measured))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    reason = F.coalesce(F.when(failed, F.lit("base")), *[F.when(F.col(m) > F.col(f"t_{m[2:]}"), F.lit(m[2:])) for m in FLOORS])
+    limits = thresholds(sketches(measured.where(~failed)))
+    reason = F.coalesce(F.when(failed, F.lit("base")), *[F.when(F.col(m) > F.col(f"t_{m[2:]}"), F.lit(m[2:])) for m in METRICS])
     return (
-        measured.join(limits, ["lang", "source"])
+        measured.join(limits, ["lang", "source"], "left")
         .select(F.col("_row"), *BASE, failed.alias("base_failed"), reason.alias("reason"))
         .select(*[F.col(f"_row.`{c}`").alias(c) for c in carried], *BASE, "base_failed", F.col("reason").isNull().alias("kept"), "reason")
     )
@@ -148,8 +161,6 @@ _per = "CAST(floor(({k} * CAST({x} AS DOUBLE)) / greatest({y}, 1)) AS BIGINT)"
 def oracle() -> str:
     chars = lambda s: f"length(t) - length(translate(t, '{s}', ''))".replace("\\", "\\")
     white = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
-    limit = lambda by: f"(min(bucket) FILTER (upto * 100 >= total * 50)) + {SPREAD} * ((min(bucket) FILTER (upto * 100 >= total * 50)) - (min(bucket) FILTER (upto * 100 >= total * 10)))"
-    ranked = lambda by, of: f"(SELECT *, sum(n) OVER (PARTITION BY {by} ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {by}) AS total FROM {of})"
     ms = {
         "m_symbols": _per.format(k=1000, x="n_symbols", y="word_chars"),
         "m_marks": _per.format(k=1000, x="marks", y="word_chars"),
@@ -158,7 +169,7 @@ def oracle() -> str:
         "m_repeat": _per.format(k=1000, x="n_repeat_words", y="n_words"),
         "m_word_len": _per.format(k=100, x="word_chars", y="n_words"),
     }
-    floors = " ".join(f"WHEN '{m}' THEN {v}" for m, v in FLOORS.items())
+    failed = "n_words < 10 OR 100 * n_repeat_words > 20 * n_words"
     return f"""
     WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS t FROM documents),
     s AS (SELECT *, list_filter(string_split_regex(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws,
@@ -172,21 +183,13 @@ def oracle() -> str:
             CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(r, 0) AS BIGINT) AS n_repeat_words
           FROM s LEFT JOIN rep ON s.doc_id = rep.doc_id),
     m AS (SELECT *, {", ".join(f"{v} AS {k}" for k, v in ms.items())} FROM c),
-    long AS (UNPIVOT (SELECT lang, source, {", ".join(ms)} FROM m) ON {", ".join(ms)} INTO NAME metric VALUE v),
+    long AS (UNPIVOT (SELECT lang, source, {", ".join([*METRICS, *SIZES])} FROM m WHERE NOT ({failed})) ON {", ".join([*METRICS, *SIZES])} INTO NAME metric VALUE v),
     k AS (SELECT *, greatest(length(ltrim(bin(v), '0')) - {BITS}, 0) AS sh FROM long),
     sk AS (SELECT lang, source, metric, (v >> sh) << sh AS bucket, count(*) AS n FROM k GROUP BY ALL),
-    own AS (SELECT lang, source, metric, max(total) AS n, {limit(0)} AS t FROM {ranked("lang, source, metric", "sk")} GROUP BY lang, source, metric),
-    l AS (SELECT lang, metric, bucket, sum(n) AS n FROM sk GROUP BY ALL),
-    by_lang AS (SELECT lang, metric, max(total) AS n, {limit(0)} AS t FROM {ranked("lang, metric", "l")} GROUP BY lang, metric),
-    a AS (SELECT metric, bucket, sum(n) AS n FROM sk GROUP BY ALL),
-    by_all AS (SELECT metric, {limit(0)} AS t FROM {ranked("metric", "a")} GROUP BY metric),
-    lim AS (SELECT own.lang, own.source, own.metric, greatest(CASE own.metric {floors} END,
-              CASE WHEN own.n >= {LEAST_GROUP} THEN own.t WHEN by_lang.n >= {LEAST_GROUP} THEN by_lang.t ELSE by_all.t END) AS t
-            FROM own JOIN by_lang ON own.lang = by_lang.lang AND own.metric = by_lang.metric JOIN by_all ON own.metric = by_all.metric),
-    w AS (SELECT lang, source, {", ".join(f"max(t) FILTER (metric = '{x}') AS t_{x[2:]}" for x in ms)} FROM lim GROUP BY lang, source),
-    j AS (SELECT m.*, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-            CASE WHEN n_words < 10 OR 100 * n_repeat_words > 20 * n_words THEN 'base' {" ".join(f"WHEN {x} > t_{x[2:]} THEN '{x[2:]}'" for x in ms)} END AS reason
-          FROM m JOIN w ON m.lang = w.lang AND m.source = w.source)
+    w AS ({limits_sql("sk")}),
+    j AS (SELECT m.*, {failed} AS base_failed,
+            CASE WHEN {failed} THEN 'base' {" ".join(f"WHEN {x} > t_{x[2:]} THEN '{x[2:]}'" for x in METRICS)} END AS reason
+          FROM m LEFT JOIN w ON m.lang = w.lang AND m.source = w.source)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, reason IS NULL AS kept, reason FROM j"""
 
 

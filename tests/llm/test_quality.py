@@ -1,6 +1,7 @@
 import random
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,12 +58,32 @@ def test_stage_keeps_columns_and_good_rows(make):
 
 
 def test_sketches_merge_to_the_sketch_of_all_rows(make, spark):
-    rows = spark.range(2000).select(F.lit("l").alias("lang"), (F.col("id") % 2).cast("string").alias("source"), *[((F.col("id") * 37) % 1009).alias(m) for m in quality.FLOORS])
+    rows = spark.range(2000).select(F.lit("l").alias("lang"), (F.col("id") % 2).cast("string").alias("source"), *[((F.col("id") * 37) % 1009).alias(m) for m in [*quality.METRICS, *quality.SIZES]])
     parts = quality.sketches(rows.where("source = '0'")).unionByName(quality.sketches(rows.where("source = '1'"))).groupBy("metric", "bucket").agg(F.sum("n").alias("n"))
     whole = quality.sketches(rows).groupBy("metric", "bucket").agg(F.sum("n").alias("n"))
     assert sorted(map(tuple, parts.collect())) == sorted(map(tuple, whole.collect()))
 
 
+def test_sketches_decide_on_the_given_tables():
+    """Each group's thresholds are its own: several for each metric, and fixed ones at their median would change verdicts."""
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM read_parquet('/root/testdata/sf0.1/documents.parquet')")
+    steps = quality.oracle().rpartition("    j AS (SELECT m.*")[0].rstrip().rstrip(",")
+    con.execute(f"CREATE TABLE w AS {steps} SELECT * FROM w")
+    con.execute(f"CREATE TABLE m AS {steps} SELECT * FROM m WHERE n_words >= 10 AND 100 * n_repeat_words <= 20 * n_words")
+    names = [m[2:] for m in quality.METRICS]
+    assert all(con.execute(f"SELECT count(DISTINCT t_{t}) FROM w").fetchone()[0] > 1 for t in names)
+    own = " OR ".join(f"m_{t} > t_{t}" for t in names)
+    fixed = " OR ".join(f"m_{t} > (SELECT median(t_{t}) FROM w)" for t in names)
+    rejected, changed = con.execute(f"SELECT count(*) FILTER ({own}), count(*) FILTER (({own}) <> ({fixed})) FROM m JOIN w ON m.lang = w.lang AND m.source = w.source").fetchone()
+    assert rejected > 500 and changed > 0
+
+
+def test_a_group_without_a_good_document_and_extreme_texts(make):
+    docs = make([(1, "too short"), (2, None)], source="bad").union(make([(3, "w " * 200_000), (4, " ".join(f"w{i}" for i in range(200_000)))], source="long"))
+    assert {r.doc_id: (r.n_words, r.base_failed, r.kept) for r in quality.quality_rules(docs, ["doc_id"]).collect()} == {1: (2, True, False), 2: (0, True, False), 3: (200_000, True, False), 4: (200_000, False, True)}
+
+
 @pytest.mark.parametrize("name", list(quality.ORACLES))
 def test_sql(name, same_as_sql):
     same_as_sql(quality.QUERIES[name], quality.ORACLES[name])
