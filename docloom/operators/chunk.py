@@ -1,5 +1,6 @@
 """Overlapping chunks that end at word boundaries."""
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -7,26 +8,30 @@ from pyspark.sql import functions as F
 SIZE, OVERLAP = 1000, 200
 
 
-def chunk_text(text: str, size: int = SIZE, overlap: int = OVERLAP) -> list[str]:
-    """A text of up to `size` characters is one chunk, unchanged. Others are cut at the last space of each window.
+def spans(text: str, size: int = SIZE, overlap: int = OVERLAP) -> np.ndarray:
+    """(windows x 2) first places and ends; an end may lie behind the text's.
 
-    Chunks are stripped and blank ones dropped; the next window starts `overlap` characters before the end of the last,
-    or at that end where it would not advance otherwise.
+    For every place at once: where a window that starts there ends (at its last space, or after `size` characters if it
+    has none behind its start or reaches the end of the text), and where the next one starts (`overlap` before that end,
+    or at it where that would not advance). The windows are those met from place 0 on.
     """
+    n, at = len(text), np.arange(len(text))
+    blank = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4") == 32
+    ends = at + size
+    last = np.maximum.accumulate(np.where(blank, at, -1))[np.minimum(ends, n) - 1]
+    ends = np.where((ends < n) & (last > at), last, ends)
+    follows = np.where(ends - overlap > at, ends - overlap, ends).tolist()
+    met = [0]
+    while (place := follows[met[-1]]) < n:
+        met.append(place)
+    return np.column_stack([met, ends[met]])
+
+
+def chunk_text(text: str, size: int = SIZE, overlap: int = OVERLAP) -> list[str]:
+    """A text of up to `size` characters is one chunk, unchanged; of others the stripped windows that aren't blank."""
     if len(text) <= size:
         return [text]
-    out, start = [], 0
-    while start < len(text):
-        stop = start + size
-        if stop < len(text):
-            space = text.rfind(" ", start, stop)
-            if space > start:
-                stop = space
-        piece = text[start:stop].strip()
-        if piece:
-            out.append(piece)
-        start = stop - overlap if stop - overlap > start else stop
-    return out
+    return [x for x in (text[a:b].strip() for a, b in spans(text, size, overlap).tolist()) if x]
 
 
 def chunks_of(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:

@@ -49,3 +49,9 @@ def answers(queries: DataFrame, found: DataFrame, header: str, footer: str, none
     rows = queries.select("query_id").join(answer_context(found), "query_id", "left").join(told, "query_id", "left").join(confidence(queries, found), "query_id")
     answer = F.when(F.col("context").isNull(), F.lit(none)).otherwise(extractive_answer(F.col("context"), header, footer))
     return rows.select("query_id", answer.alias("answer"), F.coalesce("sources", F.array().cast("array<struct<content:string,score:double>>")).alias("sources"), "confidence")
+
+
+def switched_context(queries: DataFrame, found: DataFrame, on: Column, label: str = "Source") -> DataFrame:
+    """queries (query_id, ...) -> (query_id, context): the context where the knowledge base is switched `on` and has hits, else ''."""
+    rows = queries.select("query_id", F.coalesce(on, F.lit(False)).alias("_on")).join(rag_context(found, label), "query_id", "left")
+    return rows.select("query_id", F.when(F.col("_on"), F.coalesce("context", F.lit(""))).otherwise(F.lit("")).alias("context"))

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from collections.abc import Sequence
 from typing import Protocol
 
 import pandas as pd
@@ -44,3 +45,14 @@ def embedding(text: Column, embedder: Embedder) -> Column:
 
 def with_embeddings(rows: DataFrame, text: str, embedder: Embedder, out: str = "embedding") -> DataFrame:
     return rows.withColumn(out, embedding(F.col(text), embedder))
+
+
+def first_working(backends: Sequence[Embedder], probe: str = "probe") -> Embedder | None:
+    """The first backend that gives a vector for `probe`, as the local one if the server is away; None if none does."""
+    for backend in backends:
+        try:
+            if backend.get_embedding(probe):
+                return backend
+        except Exception:
+            continue
+    return None

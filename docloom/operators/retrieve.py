@@ -68,3 +68,12 @@ def top_k_batch(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(run, "query_id long, id long, similarity double")
     best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
+def search(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """chunks (id, content, metadata, vector), queries (query_id, vector) -> (query_id, rank, content, score, metadata).
+
+    Vectors are precomputed columns (operators.embed makes them from texts). A query without a vector has no hits.
+    """
+    found = top_k_batch(chunks, queries, k).join(chunks.select("id", "content", "metadata"), "id")
+    return found.select("query_id", "rank", "content", F.col("similarity").alias("score"), "metadata")

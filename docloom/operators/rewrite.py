@@ -5,8 +5,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip
 
-#: A dictionary up to this many rows goes to every task.
+#: A dictionary up to this many rows goes to every task; a larger one is joined by key.
 BROADCAST_ROWS = 10_000
+#: Phrases and texts meet by a phrase's first letters, this many at most.
+LETTERS = 3
 
 
 def _sized(synonyms: DataFrame) -> DataFrame:
@@ -19,9 +21,12 @@ def expand_synonyms(queries: DataFrame, synonyms: DataFrame, query: str = "query
     The stripped lower-case query equal to a phrase: its expansion. Else the longest phrase in the lower-case query (ties by ord) is
     replaced once, where it first occurs, in the query as written. Else, or for a null query: the query. Distinct texts
     are rewritten once and joined back. A text whose lower case has another length is left as it is.
+    A text meets the phrases whose first letters it contains, by an equality join: no text is compared with all phrases.
     """
-    s = _sized(synonyms.select("ord", "phrase", "expansion"))
-    texts = queries.select(F.col(query).alias("_q")).where("_q IS NOT NULL").distinct()
+    s = _sized(synonyms.where("phrase IS NOT NULL").select("ord", "phrase", "expansion", F.substring("phrase", 1, LETTERS).alias("_start")))
+    starts = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(F.lower("_q")), F.lit(1))), lambda i: F.substring(F.lower("_q"), i, F.lit(n)))
+    keys = F.array_distinct(F.concat(F.array(F.lit("")), *[starts(n) for n in range(1, LETTERS + 1)]))
+    texts = queries.select(F.col(query).alias("_q")).where("_q IS NOT NULL").distinct().withColumn("_start", F.explode(keys))
     low = F.lower("_q")
     exact = strip(low) == F.col("phrase")
     inside = F.contains(low, F.col("phrase")) & (F.length(low) == F.length("_q"))
@@ -29,7 +34,8 @@ def expand_synonyms(queries: DataFrame, synonyms: DataFrame, query: str = "query
     at = F.expr("position(phrase, lower(_q))")
     swapped = F.overlay(F.col("_q"), F.col("expansion"), at, F.length("phrase"))
     found = (
-        texts.join(s, exact | inside)
+        texts.join(s, "_start")
+        .where(exact | inside)
         .withColumn("_n", F.row_number().over(first))
         .where("_n = 1")
         .select(F.col("_q").alias("_key"), F.when(exact, F.col("expansion")).otherwise(swapped).alias("_e"))

@@ -5,12 +5,14 @@ Domain tables (phrases, prompts, canned queries) are invented ones; the engine t
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import as_doubles, norm, normalised, ordered_join, preview, strip
 from ..operators import catalog, chat, chunk, compose, embed, retrieve, rewrite, route, sessions
-from ..sources import conversations, files
+from ..sources import conversations, files, models
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -145,6 +147,32 @@ def _asked(spark, d):
     return ids.select("query_id", F.concat(F.lit("question "), F.col("query_id").cast("string")).alias("query"))
 
 
+def _embedded(spark, d):
+    """Documents as chunks with the vector of the same number."""
+    docs = _read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), F.struct(F.col("source").alias("file_path")).alias("metadata"))
+    return docs.join(_read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), "id")
+
+
+_FOUND = f"""SELECT query_id, CAST(rank AS INT) AS rank, text AS content, sim AS score, source FROM (SELECT a.vec_id AS query_id, b.vec_id AS id, {_COS} AS sim,
+  row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) AS rank FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND b.vec_id IN (SELECT doc_id FROM documents)) JOIN documents ON id = doc_id WHERE rank <= 3"""
+
+
+def _searched(spark, d):
+    asked = _read(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return retrieve.search(_embedded(spark, d), asked, 3)
+
+
+@query("text_search", f"SELECT query_id, rank, content, round(score, 6) AS score, source FROM ({_FOUND})")
+def _(spark, d):
+    return _searched(spark, d).select("query_id", "rank", "content", F.round("score", 6).alias("score"), F.col("metadata.file_path").alias("source"))
+
+
+@query("kb_switch", f"""SELECT q.query_id, CASE WHEN q.query_id % 100 = 0 THEN coalesce(context, '') ELSE '' END AS context FROM ({_ASKED}) q
+  LEFT JOIN (SELECT query_id, string_agg('[Source ' || rank || ', relevance: ' || printf('%.2f', score) || ']' || chr(10) || content, chr(10) || chr(10) ORDER BY rank) AS context FROM ({_FOUND}) GROUP BY 1) c ON q.query_id = c.query_id""")
+def _(spark, d):
+    return compose.switched_context(_asked(spark, d), _searched(spark, d), F.col("query_id") % 100 == 0)
+
+
 @query("search_confidence", f"SELECT q.query_id, round(CASE WHEN any_value(m) IS NULL THEN 0.0 ELSE least(any_value(m) * 1.2, 1.0) END, 6) AS confidence FROM ({_ASKED}) q LEFT JOIN (SELECT query_id, avg(score) AS m FROM ({_HITS}) GROUP BY 1) h ON q.query_id = h.query_id GROUP BY 1")
 def _(spark, d):
     return compose.confidence(_asked(spark, d), _hits(spark, d)).select("query_id", F.round("confidence", 6).alias("confidence"))
@@ -410,6 +438,36 @@ def _(spark, d):
     return files.upserted(old, old.where("chunk_id % 2 = 0").withColumn("content", F.concat(F.lit("New: "), "content"))).select("filename", "chunk_id", "content")
 
 
+def _store(spark, name):
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return files.ChunkStore(spark, f"{folder.rstrip('/')}/stores/{name}-{uuid.uuid4().hex}")
+
+
+@query("store_roundtrip", CHUNKS_SQL + """, s AS (SELECT filename, chunk_id, CASE WHEN chunk_id % 2 = 0 THEN 'New: ' || content ELSE content END AS content FROM chunks)
+  SELECT *, 'upserted' AS step FROM s UNION ALL SELECT filename, chunk_id, content, 'appended' FROM chunks WHERE chunk_id = 0""")
+def _(spark, d):
+    """A store written, upserted and read again, then cleared, appended to and read again."""
+    store, chunks = _store(spark, "roundtrip"), _chunks(spark, d)
+    store.append(chunks)
+    store.upsert(chunks.where("chunk_id % 2 = 0").withColumn("content", F.concat(F.lit("New: "), "content")))
+    first = store.read().select("filename", "chunk_id", "content", F.lit("upserted").alias("step"))
+    store.clear()
+    store.append(chunks.where("chunk_id = 0"))
+    return first.unionByName(store.read().select("filename", "chunk_id", "content", F.lit("appended").alias("step")))
+
+
+@query("completion_response", "SELECT conv_id, turn, text AS content, CASE WHEN turn % 2 = 0 THEN length(text) ELSE 0 END AS total_tokens, 'm' || turn || ',n' AS models, 'm' || turn AS first_model, true AS connected FROM conversations")
+def _(spark, d):
+    """Answers of model servers, read back from their JSON."""
+    rows = _read(spark, d, "conversations")
+    usage = F.when(F.col("turn") % 2 == 0, F.struct(F.length("text").alias("total_tokens")))
+    answer = F.to_json(F.struct(F.array(F.struct(F.struct(F.col("text").alias("content")).alias("message"))).alias("choices"), usage.alias("usage")))
+    listed = F.to_json(F.struct(F.array(F.struct(F.concat(F.lit("m"), F.col("turn")).alias("id")), F.struct(F.lit("n").alias("id"))).alias("data")))
+    rows = rows.select("conv_id", "turn", answer.alias("a"), listed.alias("l"))
+    content, tokens = models.completion(F.col("a"))
+    return rows.select("conv_id", "turn", content.alias("content"), tokens.cast("long").alias("total_tokens"), F.array_join(models.model_ids(F.col("l")), ",").alias("models"), models.first_model(F.col("l")).alias("first_model"), models.connected(F.col("l")).alias("connected"))
+
+
 @query("store_clear", "SELECT CAST(count(*) FILTER (false) AS BIGINT) AS total_chunks FROM documents")
 def _(spark, d):
     return catalog.stats(_chunks(spark, d).where(F.lit(False))).select("total_chunks")

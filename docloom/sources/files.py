@@ -6,21 +6,24 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from .. import schemas
 from ..functions.text import basename
 from ..operators.route import SUFFIXES, has_suffix
 
 
+def _matches(spark: SparkSession, path: str) -> bool:
+    """Whether a path or a pattern of paths names anything, in whatever file system it lies."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p))
+
+
 def read_texts(spark: SparkSession, paths: list[str] | str, suffixes=SUFFIXES) -> DataFrame:
     """(path, filename, text) of the text files under paths: whole files, line ends as \\n. Other suffixes, files that aren't valid UTF-8 and missing paths give no row."""
-    try:
-        raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
+    found = [p for p in ([paths] if isinstance(paths, str) else paths) if _matches(spark, p)]
+    if not found:
         return spark.createDataFrame([], "path string, filename string, text string")
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(found)
     good = raw.where(has_suffix(F.col("path"), suffixes)).where("is_valid_utf8(CAST(content AS STRING))")
     return good.select("path", basename(F.col("path")).alias("filename"), F.regexp_replace(F.col("content").cast("string"), "\r\n?", "\n").alias("text"))
 
@@ -29,6 +32,7 @@ class ChunkStore:
     """Chunk rows as versions of a Parquet table under one folder; the newest complete version is the store.
 
     An upsert replaces rows of equal (filename, chunk_id) and writes a new version, so a reader never sees half of one.
+    One writer at a time: of two that write at once, the later version number or name wins.
     """
 
     def __init__(self, spark: SparkSession, folder: str):

@@ -22,3 +22,8 @@ def completion(json: Column) -> tuple[Column, Column]:
     """(content, total_tokens with 0 for none)"""
     c = F.from_json(json, schemas.COMPLETION)
     return F.get(c.choices, F.lit(0)).message.content, F.coalesce(c.usage.total_tokens, F.lit(0))
+
+
+def connected(json: Column) -> Column:
+    """Whether a model server's answer lists models; false for no answer or a broken one."""
+    return F.coalesce(F.size(model_ids(json)) > 0, F.lit(False))

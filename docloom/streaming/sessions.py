@@ -15,13 +15,17 @@ OUTPUT = "session_id string, message_count long, last_role string, last_content
 
 
 class SessionLog(StatefulProcessor):
-    """Appends each request's rows to its session's list and emits the session as it then is; ttl_ms drops idle rows."""
+    """Appends each request's rows to its session's list and emits the session as it then is; ttl_ms drops idle rows and counts.
+
+    The count is a value of its own, so a request costs what it brings, however long its session is.
+    """
 
     def __init__(self, ttl_ms: int | None = None):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.rows = handle.getListState("rows", "role string, content string", self.ttl_ms)
+        self.count = handle.getValueState("count", "n long", self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         new = []
@@ -32,7 +36,8 @@ class SessionLog(StatefulProcessor):
                 else:
                     new.append(("assistant", r.error))
         self.rows.appendList(new)
-        count = sum(1 for _ in self.rows.get())
+        count = len(new) + (self.count.get()[0] if self.count.exists() else 0)
+        self.count.update((count,))
         yield pd.DataFrame({"session_id": [key[0]], "message_count": [count], "last_role": [new[-1][0]], "last_content": [new[-1][1]]})
 
     def close(self) -> None:
@@ -40,7 +45,11 @@ class SessionLog(StatefulProcessor):
 
 
 def session_stream(requests: DataFrame, ttl_ms: int | None = None) -> DataFrame:
-    """A stream of (session_id, ts, seq, message, answer, error) -> sessions that changed, for update mode."""
-    rows = requests.where(F.col("session_id").isNotNull())
+    """A stream of (session_id, ts, seq, message, answer, error) -> sessions that changed, for update mode.
+
+    A request without a session id opens a session of its own, named by the request, so that a batch that runs again names it alike.
+    """
+    own = F.sha2(F.to_json(F.struct("ts", "seq", "message", "answer", "error")), 256)
+    rows = requests.withColumn("session_id", F.coalesce("session_id", F.concat(F.lit("new-"), own)))
     mode = "ProcessingTime" if ttl_ms else "None"
     return rows.groupBy("session_id").transformWithStateInPandas(SessionLog(ttl_ms), outputStructType=OUTPUT, outputMode="Update", timeMode=mode)

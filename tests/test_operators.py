@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.text import cosine, preview, strip
 from docloom.operators import chat, chunk, compose, embed, retrieve, rewrite, route, sessions
+from docloom.sources import models
 
 
 @pytest.mark.parametrize(
@@ -133,3 +134,34 @@ def test_sessions(spark):
     rows = sessions.log_rows(sessions.with_session(replies)).collect()
     assert len(rows) == 5 and all(r["session_id"] for r in rows)
     assert [(r["role"], r["content"]) for r in rows if r["session_id"] == "s"] == [("user", "q"), ("assistant", "a"), ("assistant", "down")]
+
+
+def test_chunks_of_the_fixed_cases():
+    """Lengths and spans that the rule gives, texts without a space behind a window's start included."""
+    whole = lambda t: [tuple(x) for x in chunk.spans(t).tolist()]
+    assert whole("b" * 1800) == [(0, 1000), (800, 1800), (1600, 2600)]
+    assert whole("b" * 2599) == [(0, 1000), (800, 1800), (1600, 2600), (2400, 3400)]
+    for text, n in (("a" * 100 + " " + "b" * 5000, 8), ("a" * 200 + " " + "b" * 5000, 8), ("a" * 201 + " " + "b" * 5000, 9)):
+        found = whole(text)
+        assert len(found) == n and all(b - a <= 1000 for a, b in found)
+        assert set().union(*(range(a, min(b, len(text))) for a, b in found)) == set(range(len(text)))
+    assert chunk.chunk_text("") == [""] and chunk.chunk_text("  x  ") == ["  x  "] and chunk.chunk_text(" " * 1500) == []
+
+
+def test_many_phrases_meet_by_their_first_letters(spark, monkeypatch):
+    monkeypatch.setattr(rewrite, "BROADCAST_ROWS", 2)
+    phrases = spark.createDataFrame([(0, "abc", "X"), (1, "b", "Y"), (2, "", "Z"), (3, "long phrase", "W"), (4, None, "V")], "ord int, phrase string, expansion string")
+    asked = spark.createDataFrame([("a LONG phrase",), ("xABCb",), ("bb",), ("q",), (" Abc ",), (None,), ("",)], "query string")
+    got = {r.query: r.expanded for r in rewrite.expand_synonyms(asked, phrases).collect()}
+    assert got == {"a LONG phrase": "a W", "xABCb": "xXb", "bb": "Yb", "q": "Zq", " Abc ": "X", None: None, "": "Z"}
+
+
+def test_backends_and_their_answers(spark):
+    class Away:
+        def get_embedding(self, text):
+            raise OSError
+
+    own = embed.FakeEmbedder(4)
+    assert embed.first_working([Away(), own]) is own and embed.first_working([Away()]) is None
+    rows = spark.createDataFrame([('{"data": [{"id": "m"}]}',), ('{"data": []}',), ("broken",), (None,)], "a string")
+    assert [r.c for r in rows.select(models.connected("a").alias("c")).collect()] == [True, False, False, False]

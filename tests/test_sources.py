@@ -69,3 +69,10 @@ def test_session_stream_matches_the_batch(spark, tmp_path):
     job.awaitTermination()
     got = {r["session_id"]: r["n"] for r in spark.table("sessions_seen").groupBy("session_id").agg(F.max("message_count").alias("n")).collect()}
     assert got == {"s0": 8, "s1": 7, "s2": 8}
+
+
+def test_missing_paths_leave_the_others(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("one")
+    got = files.read_texts(spark, [str(tmp_path), str(tmp_path / "missing"), "/nowhere/*.txt"])
+    assert [r.filename for r in got.collect()] == ["a.txt"]
+    assert files.read_texts(spark, str(tmp_path / "missing")).count() == 0
