@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,11 +14,34 @@ OWN_DIR = "/tmp/checkpoints/docloom"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where none is set, as in tests."""
+    """The folder that the cluster names in spark.checkpoint.dir; where none is set, one of our own in local mode, as in tests, and an error elsewhere."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return named.rstrip("/") if named else OWN_DIR
 
 
+#: Paths of the tables that were stored, newest last.
+_STORED: list[str] = []
+
+
+@contextmanager
+def temporary(spark: SparkSession):
+    """Tables that are stored inside go at the end; for steps that write their result there."""
+    first = len(_STORED)
+    try:
+        yield
+    finally:
+        for path in _STORED[first:]:
+            drop(spark, path)
+        del _STORED[first:]
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 #: Spark's own switch that drops a query's shuffle files when the query ends.
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -25,7 +49,8 @@ _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def stored(df: DataFrame, what: str, compression: str = "snappy") -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage, survives the loss of executors, is read by several branches.
 
-    The shuffle files that made it aren't needed any more and go at once.
+    The shuffle files that made it aren't needed any more and go at once. The table stays until its folder is cleared, as
+    results are read from it later; steps inside temporary() leave none.
     """
     spark = df.sparkSession
     path, before = f"{shared_dir(spark)}/docloom/{what}-{uuid.uuid4().hex}", spark.conf.get(_CLEAN, "false")
@@ -34,6 +59,7 @@ def stored(df: DataFrame, what: str, compression: str = "snappy") -> DataFrame:
         df.write.option("compression", compression).parquet(path)
     finally:
         spark.conf.set(_CLEAN, before)
+    _STORED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WHITE, stored, table, whole, words
+from .common import WHITE, sent_if_small, stored, table, whole, words
 
 #: The symbols that the base rule counts, and further marks that prose rarely has.
 SYMBOLS = "#*$%&|<>"
@@ -25,6 +25,8 @@ SIZES = ["word_chars", "n_words", "n_lines"]
 SPREAD = 8
 #: Groups of fewer documents use the sketch of their language, and languages of fewer that of all documents.
 LEAST_GROUP = 50
+#: Groups up to which the thresholds are sent to every task, so that a group of any size stays where it was read.
+GROUPS = 100_000
 #: Bits that a sketch keeps of a value: relative error under 2 ** -(BITS - 1).
 BITS = 6
 
@@ -111,9 +113,10 @@ def limits_sql(sketch: str) -> str:
                   FROM (SELECT {by + "," if by else ""} metric, bucket, sum(n) AS n FROM {sketch} GROUP BY {by + "," if by else ""} metric, bucket) s) r
             GROUP BY {by + "," if by else ""} metric) q {group}"""
 
-    chosen = lambda t: f"CASE WHEN o.n >= {LEAST_GROUP} THEN o.{t} WHEN l.n >= {LEAST_GROUP} THEN l.{t} ELSE a.{t} END AS {t}"
-    return f"""SELECT o.lang, o.source, {", ".join(chosen(f"t_{m[2:]}") for m in METRICS)}
-      FROM (SELECT *, 1 AS one FROM ({level("lang, source")}) x) o JOIN ({level("lang")}) l ON o.lang = l.lang JOIN (SELECT *, 1 AS one FROM ({level("")}) y) a ON o.one = a.one"""
+    chosen = lambda t: f"CASE WHEN o.n >= {LEAST_GROUP} THEN o.{t} WHEN l.n >= {LEAST_GROUP} THEN l.{t} ELSE (SELECT {t} FROM a) END AS {t}"
+    return f"""WITH a AS ({level("")})
+      SELECT o.lang, o.source, {", ".join(chosen(f"t_{m[2:]}") for m in METRICS)}
+      FROM ({level("lang, source")}) o JOIN ({level("lang")}) l ON o.lang = l.lang"""
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
@@ -136,7 +139,7 @@ def quality_rules(docs: DataFrame, carry: list[str]) -> DataFrame:
     base = base.select(F.struct(*[F.col(f"_row.`{c}`").alias(c) for c in carry]).alias("_row"), "text", "lang", "source")
     measured = stored(measure(base), "quality")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    limits = thresholds(sketches(measured.where(~failed)))
+    limits = sent_if_small(stored(thresholds(sketches(measured.where(~failed))), "quality-limits"), GROUPS)
     reason = F.coalesce(F.when(failed, F.lit("base")), *[F.when(F.col(m) > F.col(f"t_{m[2:]}"), F.lit(m[2:])) for m in METRICS])
     return (
         measured.join(limits, ["lang", "source"], "left")
