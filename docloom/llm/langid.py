@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -13,17 +13,17 @@ from pyspark.sql import functions as F
 from .common import stored, table
 from .urls import host_of
 
-#: Trigrams of characters are hashed to BUCKETS numbers, so the text model has languages * BUCKETS numbers however large the corpus.
+#: Trigrams of characters are hashed to BUCKETS numbers, so the text model has languages * BUCKETS numbers at most, however large
+#: the corpus. Only those that occur are kept, so rare values of a dirty column cost what their few texts hold.
 BUCKETS = 1 << 16
-#: A table with more languages than this is refused: the model is sent to every task.
-LANGUAGES = 256
 #: A text's trigrams depend on each other, so all together count as WEIGHT of them at most.
 WEIGHT = 60.0
 #: Pseudo-counts: of a trigram, of a declared language or suffix given the language, of the level above in the host priors.
 ALPHA, BETA, STRENGTH = 0.5, 1.0, 5.0
 
-_DROP = re.compile(r"<!--.*?-->|<(script|style)\b[^>]*>.*?</\1\s*>|<[^>]*>|&[#\w]+;", re.S | re.I)
-_DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?\s*([A-Za-z]+)", re.I)
+#: Markup; what isn't closed reaches to the end, and no tag holds another `<`, so each character is looked at a bounded number of times.
+_DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^<>]*>.*?(?:</\1[^<>]*>|\Z)|<[^<>]*>|&[#\w]{1,32};", re.S | re.I)
+_DECLARED = re.compile(r"<html\b[^<>]*?\blang\s*=\s*[\"']?\s*([A-Za-z]+)", re.I)
 
 
 def trigrams(text: str) -> np.ndarray:
@@ -35,37 +35,47 @@ def trigrams(text: str) -> np.ndarray:
     return ((h ^ (h >> np.uint64(17))) % np.uint64(BUCKETS)).astype(np.int64)
 
 
-def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
-    """docs (text, lang, ...) -> (languages in order, log probabilities: languages x BUCKETS); counts cover all documents.
+def train(docs: DataFrame) -> tuple[list[str], tuple[np.ndarray, ...]]:
+    """docs (text, lang, ...) -> (languages in order, model); counts cover all documents.
 
-    Each task adds up counts and hands over one row for each language and bucket that it met. Null languages and texts
-    take no part. No document: no language.
+    model: for each bucket where its entries start, each entry's language and how much its log probability exceeds that
+    of a bucket that the language hasn't, and that log probability by language. Each task adds up counts and hands over one row for each
+    language and bucket that it met. Null languages and texts take no part. No document: no language.
     """
 
     def run(batches):
-        n: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(BUCKETS, np.int64))
+        n: dict[str, Counter] = defaultdict(Counter)
         for b in batches:
             for lang, text in zip(b.column(0), b.column(1), strict=True):
-                n[lang.as_py()] += np.bincount(trigrams(text.as_py()), minlength=BUCKETS)
+                at, c = np.unique(trigrams(text.as_py()), return_counts=True)
+                n[lang.as_py()].update(dict(zip(at.tolist(), c.tolist(), strict=True)))
         for lang, c in n.items():
-            at = np.flatnonzero(c)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(c[at])], ["lang", "bucket", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c), pa.string()), pa.array(list(c), pa.int64()), pa.array(list(c.values()), pa.int64())], ["lang", "bucket", "n"])
 
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL").select(F.col("lang").cast("string"), F.col("text").cast("string"))
     counts = stored(known.mapInArrow(run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "trigrams")
-    langs = sorted(r["lang"] for r in counts.select("lang").distinct().limit(LANGUAGES + 1).collect())
-    if len(langs) > LANGUAGES:
-        raise ValueError(f"over {LANGUAGES} languages")
-    n = np.zeros((len(langs), BUCKETS))
-    got = counts.toArrow()  # at most LANGUAGES * BUCKETS rows
-    place = {x: i for i, x in enumerate(langs)}
-    n[[place[x] for x in got.column("lang").to_pylist()], got.column("bucket").to_numpy()] = got.column("n").to_numpy()
-    return langs, np.log((n + ALPHA) / (n.sum(axis=1, keepdims=True) + ALPHA * BUCKETS))
-
-
-def text_evidence(pages: DataFrame, model: np.ndarray) -> DataFrame:
+    got = counts.toArrow()  # at most languages * BUCKETS rows
+    langs, own = np.unique(np.array(got.column("lang").to_pylist(), object), return_inverse=True)
+    bucket, n = got.column("bucket").to_numpy(), got.column("n").to_numpy().astype(float)
+    total = np.bincount(own, n, len(langs)) + ALPHA * BUCKETS
+    by = np.lexsort((own, bucket))
+    starts = np.searchsorted(bucket[by], np.arange(BUCKETS + 1))
+    return langs.tolist(), (starts, own[by].astype(np.int32), np.log((n[by] + ALPHA) / ALPHA), np.log(ALPHA / total))
+
+
+def log_likelihoods(t: np.ndarray, model: tuple[np.ndarray, ...]) -> np.ndarray:
+    """By language, of trigrams t, all together weighing as WEIGHT of them at most; none: zeros."""
+    starts, own, more, least = model
+    if not len(t):
+        return np.zeros(len(least))
+    n = starts[t + 1] - starts[t]
+    entry = np.arange(n.sum()) + np.repeat(starts[t] - np.cumsum(n) + n, n)
+    return (len(t) * least + np.bincount(own[entry], more[entry], len(least))) * min(1.0, WEIGHT / len(t))
+
+
+def text_evidence(pages: DataFrame, model: tuple[np.ndarray, ...]) -> DataFrame:
     """pages (page_id, url, html) -> (page_id, url, declared, ll: tempered log likelihoods by language); no text: zeros."""
-    held = pages.sparkSession.sparkContext.broadcast(model.astype(np.float32))
+    held = pages.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         model = held.value
@@ -76,8 +86,7 @@ def text_evidence(pages: DataFrame, model: np.ndarray) -> DataFrame:
                 for html in p.column(2).to_pylist():
                     said = _DECLARED.search(html or "")
                     declared.append(said[1].lower() if said else "")
-                    t = trigrams(_DROP.sub(" ", html or ""))
-                    ll.append(model[:, t].sum(axis=1, dtype=np.float64) * min(1.0, WEIGHT / max(1, len(t))) if len(t) else np.zeros(len(model)))
+                    ll.append(log_likelihoods(trigrams(_DROP.sub(" ", html or "")), model))
                 yield pa.RecordBatch.from_arrays([p.column(0), p.column(1), pa.array(declared), pa.array(ll, pa.list_(pa.float64()))], ["page_id", "url", "declared", "ll"])
 
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
@@ -106,7 +115,7 @@ def language_id(pages: DataFrame, docs: DataFrame) -> DataFrame:
     each without the page itself, which would vouch for its own reading. All logs are added and normalised.
     A null html has no text and declares nothing; a null url has the host ''. A declared language that no document has
     is evidence like any other value. Ties go to the first language by name. Repeated rows give repeated rows. Without
-    documents lang is null. Other columns are not read.
+    documents lang is null. Other columns are not read. Whole pages count, however long; time grows with a page's length.
     """
     langs, model = train(docs)
     if not langs:

@@ -52,3 +52,81 @@ def test_held_out_accuracy(spark):
     truth = spark.read.parquet(f"{folder}/pages.parquet").selectExpr("page_id", f"{number} AS doc_id").join(spark.read.parquet(f"{folder}/documents.parquet").selectExpr("doc_id", "lang AS truth"), "doc_id")
     rows = got.join(truth, "page_id").collect()
     assert len(rows) > 100 and sum(r.lang == r.truth for r in rows) >= 0.98 * len(rows)
+
+
+def test_unclosed_markup_is_read_in_linear_time():
+    import time
+
+    for part in ("<!-- x ", "<script> y ", "< z", "<html a ", "</script    "):
+        began = time.perf_counter()
+        langid._DROP.sub(" ", part * 30_000)
+        langid._DECLARED.search(part * 30_000)
+        assert time.perf_counter() - began < 5, part
+
+
+def test_any_number_of_languages(make, spark):
+    from functools import reduce
+
+    docs = reduce(lambda a, b: a.union(b), [make([(1, "the cat sat on the mat and the dog")], lang="en"), make([(2, "der Hund und die Katze auf der Matte")], lang="de")])
+    odd = spark.range(400).selectExpr("id AS doc_id", "concat('zq', id, ' xj', id) AS text", "concat('l', id) AS lang")
+    docs = docs.select("doc_id", "text", "lang").union(odd)
+    pages = spark.createDataFrame([(1, "http://a.b/1", "<p>the dog on the mat"), (2, None, "die Katze und der Hund")], "page_id long, url string, html string")
+    got = {r.page_id: r.text_lang for r in langid.language_id(pages, docs).collect()}
+    assert got == {1: "en", 2: "de"}
+
+
+def test_text_evidence_equals_brute_force(spark):
+    import math
+    from collections import Counter
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    langs, model = langid.train(docs)
+    counts = {x: Counter() for x in langs}
+    for r in docs.select("lang", "text").collect():
+        if r.lang is not None and r.text is not None:
+            counts[r.lang].update(langid.trigrams(r.text).tolist())
+    for r in langid.text_evidence(pages, model).join(pages.select("page_id", "html"), "page_id").limit(20).collect():
+        t = langid.trigrams(langid._DROP.sub(" ", r.html or "")).tolist()
+        for k, x in enumerate(langs):
+            total = sum(counts[x].values()) + langid.ALPHA * langid.BUCKETS
+            want = sum(math.log((counts[x][b] + langid.ALPHA) / total) for b in t) * min(1.0, langid.WEIGHT / max(1, len(t)))
+            assert math.isclose(r.ll[k], want, rel_tol=1e-9, abs_tol=1e-9)
+
+
+def test_fusion_equals_brute_force(spark):
+    """All pages of a given table, by plain loops over the same text evidence."""
+    import math
+
+    pages, docs = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("pages", "documents"))
+    langs, model = langid.train(docs)
+    rows, n = [], len(langs)
+    for r in langid.text_evidence(pages, model).collect():
+        top = [math.exp(x - max(r.ll)) for x in r.ll]
+        host = (r.url or "").partition("://")[2]
+        for mark in "/?#":
+            host = host.split(mark)[0]
+        host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
+        labels = host.split(".")
+        rows.append({"page": r.page_id, "ll": r.ll, "post": [x / sum(top) for x in top], "declared": r.declared, "host": host, "suffix": labels[-1], "domain": ".".join(labels[-2:])})
+    mass = [sum(r["post"][k] for r in rows) for k in range(n)]
+    share = [(m + 1) / (sum(mass) + n) for m in mass]
+    sums = {}
+    for key in ("declared", "suffix", "domain", "host"):
+        for r in rows:
+            own = sums.setdefault((key, r[key]), [0.0] * n)
+            for k in range(n):
+                own[k] += r["post"][k]
+    want = {}
+    for r in rows:
+        rest = lambda a: [max(x - p, 0.0) for x, p in zip(a, r["post"], strict=True)]  # noqa: B023, E731
+        likely = lambda key: [math.log((x + langid.BETA / n) / (m + langid.BETA)) for x, m in zip(rest(sums[key, r[key]]), rest(mass), strict=True)]  # noqa: B023, E731
+        lean = lambda key, above: [(x + langid.STRENGTH * p) / (sum(rest(sums[key, r[key]])) + langid.STRENGTH) for x, p in zip(rest(sums[key, r[key]]), above, strict=True)]  # noqa: B023, E731
+        prior = lean("host", lean("domain", share))
+        score = [x + math.log(p) + d + s for x, p, d, s in zip(r["ll"], prior, likely("declared"), likely("suffix"), strict=True)]
+        top = [math.exp(x - max(score)) for x in score]
+        want[r["page"]] = (langs[score.index(max(score))], max(top) / sum(top), langs[r["post"].index(max(r["post"]))])
+    got = {r.page_id: r for r in langid.language_id(pages, docs).collect()}
+    assert got.keys() == want.keys()
+    for i, (lang, p, text_lang) in want.items():
+        assert (got[i].lang, got[i].text_lang) == (lang, text_lang) and math.isclose(got[i].probability, p, rel_tol=1e-6)
