@@ -154,18 +154,18 @@ def _pack(df: DataFrame, examples, with_ids: bool, limits: dict) -> DataFrame:
     return df.mapInArrow(run, SCHEMA + ", ids array<int>" * with_ids)
 
 
-def pack_documents(docs: DataFrame, file: str, with_ids: bool = False, **limits: int) -> DataFrame:
+def pack_documents(docs: DataFrame, file: str, special: str | None = None, with_ids: bool = False, **limits: int) -> DataFrame:
     """docs (doc_id, text, ...) -> a row for each piece of a document's ids: where it lies in the document and in its sequence.
 
-    file: a rank file. A document is its text's ids and END; null and empty texts are END alone. limits: tokens,
+    file: a rank file; special: a JSON vocabulary whose special tokens keep their ids. A document is its text's ids and END; null and empty texts are END alone. limits: tokens,
     segments, loss. with_ids adds the ids. Repeated rows and null doc_ids are packed like others. Other columns are not
     read. Sequence ids carry the task's number, so they are unique, and a task that runs again repeats them.
     """
 
     def examples(b: pa.RecordBatch):
-        encode = encoder(file).encode_to_numpy
+        encode = encoder(file, special).encode_to_numpy
         for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            ids = np.append(encode(text, disallowed_special=()) if text else np.zeros(0, np.uint32), np.uint32(END))
+            ids = np.append(encode(text, allowed_special="all") if text else np.zeros(0, np.uint32), np.uint32(END))
             loss = np.ones(len(ids), bool)
             loss[0] = False
             yield key, ids, loss
@@ -173,7 +173,7 @@ def pack_documents(docs: DataFrame, file: str, with_ids: bool = False, **limits:
     return _pack(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), examples, with_ids, limits)
 
 
-def pack_conversations(turns: DataFrame, file: str, bearing: str = "assistant", with_ids: bool = False, **limits: int) -> DataFrame:
+def pack_conversations(turns: DataFrame, file: str, special: str | None = None, bearing: str = "assistant", with_ids: bool = False, **limits: int) -> DataFrame:
     """turns (conv_id, turn, role, text) -> pieces as of pack_documents, with conv_id as doc_id; only turns of role `bearing` bear loss.
 
     Each turn ends with END. Turns of a conversation are gathered in order of turn, role and text; a conversation is one
@@ -183,21 +183,28 @@ def pack_conversations(turns: DataFrame, file: str, bearing: str = "assistant",
     talks = turns.groupBy(F.col("conv_id").cast("long").alias("doc_id")).agg(ordered.alias("turns"))
 
     def examples(b: pa.RecordBatch):
-        encode = encoder(file).encode_to_numpy
+        encode = encoder(file, special).encode_to_numpy
         for key, said in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            parts = [np.append(encode(s["text"], disallowed_special=()) if s["text"] else np.zeros(0, np.uint32), np.uint32(END)) for s in said]
+            parts = [np.append(encode(s["text"], allowed_special="all") if s["text"] else np.zeros(0, np.uint32), np.uint32(END)) for s in said]
             loss = np.concatenate([np.full(len(p), s["role"] == bearing) for p, s in zip(parts, said, strict=True)])
             yield key, np.concatenate(parts), loss
 
     return _pack(talks, examples, with_ids, limits)
 
 
-#: The rank file with the ids of byte_bpe_50k.json.
-FILE = "byte_bpe_50k.tiktoken"
+#: The vocabulary, and the rank file with the same ids.
+NAMED, FILE = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
+#: Loss-bearing tokens and segments of a sequence of conversations.
+TALK_LOSS, TALK_SEGMENTS = 640, 2
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents"), vocabulary_file(FILE))
+    return pack_documents(table(spark, sf_dir, "documents"), vocabulary_file(FILE), vocabulary_file(NAMED))
 
 
-QUERIES = {"op5_packing": op5}
+def talks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Instruction data: only the assistant's turns bear loss, and each of the three limits can close a sequence."""
+    return pack_conversations(table(spark, sf_dir, "conversations"), vocabulary_file(FILE), vocabulary_file(NAMED), loss=TALK_LOSS, segments=TALK_SEGMENTS)
+
+
+QUERIES = {"op5_packing": op5, "pack_conversations": talks}

@@ -108,3 +108,21 @@ def test_packer_places_every_id_once_within_all_limits(sizes, segments, loss_lim
         b[2] += int(marks[key][start : start + len(ids)].sum())
     assert {k: sorted(v) for k, v in seen.items()} == {k: list(range(n)) for k, n in enumerate(sizes)}
     assert all(b[0] <= 32 and b[1] <= segments and b[2] <= loss_limit for b in bins.values())
+
+
+def test_ids_equal_those_of_the_named_library_and_file(make):
+    from tokenizers import Tokenizer
+
+    named = vocabulary_file(packing.NAMED)
+    t = Tokenizer.from_file(named)
+    rows = [(1, "hello <|endoftext|> world"), (2, "<|endoftext|>"), (3, "it's we'll 日本 <|endoftext|"), (4, "a" * 3000)]
+    pieces = packing.pack_documents(make(rows), FILE, named, with_ids=True).orderBy("doc_id", "start").collect()
+    for i, text in rows:
+        assert [x for p in pieces if p.doc_id == i for x in p.ids] == [*t.encode(text, add_special_tokens=False).ids, packing.END]
+
+
+def test_each_limit_closes_sequences_of_conversations(spark):
+    got = packing.talks(spark, "/root/testdata/sf0.01").toPandas()
+    bins = got.groupby("sequence_id").agg(tokens=("length", "sum"), segments=("length", "size"))
+    assert bins.tokens.max() <= packing.TOKENS and bins.segments.max() == packing.TALK_SEGMENTS
+    assert (bins.tokens & (bins.tokens - 1) == 0).mean() > 0.9
