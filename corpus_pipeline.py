@@ -6,9 +6,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm.common import shared_dir, table
+from docloom.llm.common import drop, shared_dir, table, temporary
 from docloom.llm.lines import without_repeated_lines
-from docloom.llm.packing import FILE, pack_documents
+from docloom.llm.packing import FILE, NAMED, pack_documents
 from docloom.llm.quality import keep_good
 from docloom.llm.simhash import keep_first_of_group
 from docloom.llm.suffix import without_repeated_passages
@@ -37,7 +37,7 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is left is packed into sequences, with the ids."""
-    return pack_documents(docs, vocabulary_file(FILE), with_ids=True)
+    return pack_documents(docs, vocabulary_file(FILE), vocabulary_file(NAMED), with_ids=True)
 
 
 STAGES = [
@@ -53,9 +53,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows for the documents of sf_dir; stages lie in the shared folder."""
+    """The last stage's rows for the documents of sf_dir; stages lie in the shared folder, and go when the next one is written."""
     docs, folder = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/docloom/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        with temporary(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            drop(spark, f"{folder}/{k - 1}")
     return docs

@@ -56,26 +56,44 @@ def stars(linked: np.ndarray, ids: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"src": ids[own], "dst": ids[label[own]]}, dtype="int64")
 
 
-def similar_stars(sets: list[set], ids: np.ndarray, least: float) -> pd.DataFrame:
+#: Bits of a set's bitmap.
+BITS = 512
+
+
+def similar_stars(sets: list[np.ndarray], ids: np.ndarray, least: float) -> pd.DataFrame:
     """(src, dst): from each member of a tile to the first one of its component, by Jaccard similarities of `least` or more.
 
-    Breadth first: a set is compared with all others, those it reaches are expanded in turn, and a tile is done as soon
-    as no set is left unreached. Copies of one text take a few comparisons each, unrelated sets all of them.
+    sets: numbers that stand for elements, repeats allowed, none empty. Two sets differ in at least as many elements as
+    their bitmaps differ in bits, which tells most unrelated ones apart without a look at their elements. The others are
+    compared exactly, breadth first: those that a set reaches are expanded in turn, and a tile is done as soon as no set
+    is left unreached, so copies of one text take a few comparisons each.
     """
-    number: dict = {}
-    members = [np.array([number.setdefault(x, len(number)) for x in s], np.int64) for s in sets]
-    size, flat = np.array([len(x) for x in members]), np.concatenate(members)
-    starts, own, root = np.cumsum(size) - size, np.zeros(len(number), np.int32), np.full(len(sets), -1)
-    for first in range(len(sets)):
+    sets = [np.sort(x) for x in sets]
+    sets = [x[np.concatenate([[True], x[1:] != x[:-1]])] for x in sets]
+    size = np.array([len(x) for x in sets])
+    flat, starts = np.concatenate(sets).astype(np.uint64), np.cumsum(size) - size
+    signs = np.full((len(sets), BITS), -1, np.float32)
+    signs[np.repeat(np.arange(len(sets)), size), (flat & np.uint64(BITS - 1)).astype(np.int64)] = 1
+    differ = (BITS - signs @ signs.T) / 2
+    may = differ <= (size[:, None] + size) * ((1 - least) / (1 + least)) + 1e-6
+    root = np.full(len(sets), -1)
+    alone = may.sum(axis=1) == 1  # with itself only
+    root[alone] = np.flatnonzero(alone)
+    for first in np.flatnonzero(~alone).tolist():
         if root[first] >= 0:
             continue
         root[first], todo = first, [first]
-        while todo and (root < 0).any():
+        while todo:
             i = todo.pop()
-            own[members[i]] = 1
-            both = np.add.reduceat(own[flat], starts)
-            own[members[i]] = 0
-            near = np.flatnonzero((root < 0) & (both >= least * (size + size[i] - both)))
+            near = np.flatnonzero(may[i] & (root < 0))
+            if not len(near):
+                continue
+            n = size[near]
+            of = flat[np.arange(n.sum()) + np.repeat(starts[near] - np.cumsum(n) + n, n)]
+            own = flat[starts[i] : starts[i] + size[i]]
+            hit = own[np.minimum(np.searchsorted(own, of), len(own) - 1)] == of
+            common = np.add.reduceat(hit, np.cumsum(n) - n, dtype=np.int64)
+            near = near[common >= least * (n + size[i] - common)]
             root[near] = first
             todo += near.tolist()
     moved = root != np.arange(len(sets))

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .buckets import MANY, SAMPLE, jaccard_reaches, similar_stars, tiles
+from .buckets import jaccard_reaches, similar_stars, tiles
 from .common import WHITE, sent_if_small, stored, table, whole
 from .components import components
 
@@ -21,16 +21,14 @@ BANDS, ROWS = 12, 4
 SHORT, SHORT_SHINGLE = 128, 4
 #: Short shingles are shared by chance more often; longer bands keep such pairs apart. Recall at SIMILAR is 0.998 again.
 SHORT_BANDS, SHORT_ROWS = 21, 6
-#: A line of MANY_SHINGLES distinct long shingles or more takes its BANDS * ROWS numbers from one permutation cut into as many bins
-#: (some ten shingles in each); a line of fewer takes the minima of as many permutations. Lines between take both, so that any
-#: two lines whose sizes allow the similarity share a kind. Both kinds have the recall above.
-MANY_SHINGLES = 320
 #: Rows of numbers up to which a side of a join is sent to every task.
 SENT = 500_000
 #: Members from which a band is compared tile by tile, and members of bands that a task sorts at once, about.
 CROWD, PART = 32, 1 << 20
+#: One line in SAMPLE is looked at beforehand; bands with MANY of them (some 256 lines) aren't sorted by one task.
+SAMPLE, MANY = 64, 4
 #: Lines whose bands are computed at once.
-STEP = 1024
+STEP = 512
 
 
 def _seeds(seed: int, n: int) -> np.ndarray:
@@ -38,7 +36,7 @@ def _seeds(seed: int, n: int) -> np.ndarray:
 
 
 _SEEDS, _SHORT_SEEDS = _seeds(20, BANDS * ROWS), _seeds(21, SHORT_BANDS * SHORT_ROWS)
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+_MIX, _BASE = np.uint64(0x9E3779B97F4A7C15), 1_000_003
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -46,78 +44,42 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _hashes(lines: list[str], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of each shingle of `width` characters, where a line's first one is, how many it has); every line has a character."""
+def _hashes(lines: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hash of each shingle of `width` characters, where a line's first one is); every line has a character."""
     points = np.frombuffer("".join(x.ljust(width, "\0") for x in lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     n = np.array([max(len(x), width) for x in lines])
     ends = np.cumsum(n)
-    h = np.zeros(len(points) - width + 1, np.uint64)
-    for k in range(width):
-        h = h * np.uint64(1_000_003) + points[k : k + len(h)]
+    h, have = points, 1  # of the `have` characters from each place on
+    for bit in bin(width)[3:]:
+        h, have = h[:-have] * np.uint64(pow(_BASE, have, 1 << 64)) + h[have:], 2 * have
+        if bit == "1":
+            h, have = h[:-1] * np.uint64(_BASE) + points[have:], have + 1
     inside = np.ones(len(points), bool)
     for k in range(1, width):
         inside[ends - k] = False
-    n = n - width + 1
-    return (_mixed(h) >> np.uint64(32)).astype(np.uint32)[inside[: len(h)]], np.cumsum(n) - n, n
+    return _mixed(h)[inside[: len(h)]], np.cumsum(n - width + 1) - (n - width + 1)
 
 
-def _minima(h: np.ndarray, starts: np.ndarray, seeds: np.ndarray) -> list[np.ndarray]:
-    """For each of the permutations, each line's least number."""
-    return [np.minimum.reduceat(h * a + b, starts) for a, b in seeds]
-
-
-def _bins(distinct: np.ndarray, owner: np.ndarray, lines: int, bins: int) -> list[np.ndarray]:
-    """For each of the bins of one permutation, each line's least number there; an empty bin takes that of the next one that isn't."""
-    at = owner * bins + (distinct.astype(np.uint64) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
-    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    out = np.full(lines * bins, -1)
-    out[at[first]] = distinct[first]
-    out = out.reshape(lines, bins)
-    while (empty := out < 0).any():
-        out = np.where(empty, np.roll(out, -1, axis=1), out)
-    return list(out.T.astype(np.uint32))
-
-
-def _banded(numbers: list[np.ndarray], rows: int, first: int) -> np.ndarray:
-    """(lines x bands) of values over `rows` numbers each, the band's number from `first` on in the lowest bits."""
-    out = np.zeros((len(numbers[0]), len(numbers) // rows), np.uint64)
-    for i, x in enumerate(numbers):
-        out[:, i // rows] = _mixed(out[:, i // rows] ^ x.astype(np.uint64) + np.uint64(i))
-    return (out & ~np.uint64(63) | np.arange(first, first + out.shape[1], dtype=np.uint64)).view(np.int64)
+def _bands(lines: list[str], width: int, seeds: np.ndarray, rows: int, first: int) -> np.ndarray:
+    """(lines x bands) of values over `rows` MinHash numbers each, the band's number from `first` on in the lowest bits."""
+    h, starts = _hashes(lines, width)
+    h = (h >> np.uint64(32)).astype(np.uint32)
+    out, own = np.zeros((len(seeds) // rows, len(lines)), np.uint64), np.empty_like(h)
+    for i, (a, b) in enumerate(seeds):
+        np.multiply(h, a, out=own)
+        own += b
+        out[i // rows] = _mixed(out[i // rows] ^ np.minimum.reduceat(own, starts).astype(np.uint64) + np.uint64(i))
+    return (out.T & ~np.uint64(63) | np.arange(first, first + len(out), dtype=np.uint64)).view(np.int64)
 
 
 def line_bands(ids: np.ndarray, lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(band, id) of each line: bands of long shingles of one or both kinds, and of short ones if it has under SHORT characters."""
-    out = []
-
-    def add(of, values):
-        out.append((values.ravel(), np.repeat(of, values.shape[1])))
-
-    h, starts, n = _hashes(lines, SHINGLE)
-    owner = np.repeat(np.arange(len(lines)), n)
-    many = np.flatnonzero(n >= SIMILAR * MANY_SHINGLES)  # as distinct ones aren't more
-    size = np.zeros(len(lines), np.int64)
-    if len(many):
-        place = np.full(len(lines), -1)
-        place[many] = np.arange(len(many))
-        own = np.isin(owner, many)
-        pair = np.unique(place[owner[own]].astype(np.uint64) << np.uint64(32) | h[own])
-        of, distinct = (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        size[many] = np.bincount(of, minlength=len(many))
-        wide = size[many] >= SIMILAR * MANY_SHINGLES
-        if wide.any():
-            place = np.cumsum(wide) - 1
-            keep = wide[of]
-            add(ids[many[wide]], _banded(_bins(distinct[keep], place[of[keep]], int(wide.sum()), BANDS * ROWS), ROWS, BANDS + SHORT_BANDS))
-    few = np.flatnonzero(size < MANY_SHINGLES / SIMILAR)
-    if len(few):
-        own = np.isin(owner, few) if len(few) < len(lines) else slice(None)
-        add(ids[few], _banded(_minima(h[own], np.cumsum(n[few]) - n[few], _SEEDS), ROWS, 0))
+    """(band, id) of each line: by long shingles, and by short ones if it has under SHORT characters."""
+    long = _bands(lines, SHINGLE, _SEEDS, ROWS, 0)
     short = [i for i, x in enumerate(lines) if len(x) < SHORT]
-    if short:
-        h, starts, _ = _hashes([lines[i] for i in short], SHORT_SHINGLE)
-        add(ids[short], _banded(_minima(h, starts, _SHORT_SEEDS), SHORT_ROWS, BANDS))
-    return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
+    if not short:
+        return long.ravel(), np.repeat(ids, BANDS)
+    more = _bands([lines[i] for i in short], SHORT_SHINGLE, _SHORT_SEEDS, SHORT_ROWS, BANDS)
+    return np.concatenate([long.ravel(), more.ravel()]), np.concatenate([np.repeat(ids, BANDS), np.repeat(ids[short], SHORT_BANDS)])
 
 
 def _cut(line: str, width: int) -> set[str]:
@@ -159,8 +121,8 @@ def _verified(pairs: DataFrame) -> DataFrame:
 
 
 def _tile(group: pd.DataFrame) -> pd.DataFrame:
-    width = SHORT_SHINGLE if BANDS <= group["band"].iat[0] & 63 < BANDS + SHORT_BANDS else SHINGLE
-    return similar_stars([_cut(x, width) for x in group["line"]], group["id"].to_numpy(), SIMILAR)
+    h, starts = _hashes(group["line"].tolist(), SHINGLE if group["band"].iat[0] & 63 < BANDS else SHORT_SHINGLE)
+    return similar_stars(np.split(h, starts[1:]), group["id"].to_numpy(), SIMILAR)
 
 
 def _dealt(lines: DataFrame, hot: np.ndarray, parts: int) -> DataFrame:
@@ -280,7 +242,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, ...) -> (doc_id, removed: array of line numbers from 0), for documents that lose a line.
 
     Of each component of similar lines, the one that comes first by doc_id and number stays. Texts are split at newlines;
-    lines without a word are neither compared nor removed. Equal lines are one node, with their least document, before any
+    lines without a word are neither compared nor removed. In crowded bands shingles are compared by 64-bit hashes. Equal lines are one node, with their least document, before any
     comparison; they are found again by two 64-bit hashes.
     """
     places = _places(docs)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .buckets import jaccard_reaches, similar_stars, sized, stars, tiles
-from .common import sent_if_small, stored, table
+from .common import sent_if_small, stored, table, whole
 from .components import components
 
 #: Shingle length in words, hash seed and distance of the contract.
@@ -123,56 +123,73 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def stage_bands(found: list[bytes]) -> np.ndarray:
-    """STAGE_BANDS band values of a text's lower-case words, from MinHash over its shingles; the band's number is in the lowest bits."""
+def stage_numbers(found: list[bytes]) -> tuple[int, np.ndarray]:
+    """(fingerprint, STAGE_BANDS band values) of a text's lower-case words, from 64-bit hashes of its shingles.
+
+    The fingerprint is made as op9's is; band values are MinHash, the band's number in the lowest bits.
+    """
     h = np.fromiter(map(xxhash.xxh64_intdigest, found, repeat(SEED)), np.uint64, len(found))
     k = min(STAGE_SHINGLE, len(h))
     n = max(1, len(h) - k + 1)
     shingle = np.zeros(n, np.uint64)
     for i in range(k):
         shingle = _mixed(shingle + h[i : i + n])
-    shingle, least = (shingle >> np.uint64(32)).astype(np.uint32), np.full(STAGE_BANDS * STAGE_ROWS, 0xFFFFFFFF, np.uint32)
+    votes, least = np.zeros(64, np.int64), np.full(STAGE_BANDS * STAGE_ROWS, 0xFFFFFFFF, np.uint32)
     for i in range(0, n, ROWS):
-        least = np.minimum(least, (shingle[i : i + ROWS, None] * _SEEDS[0] + _SEEDS[1]).min(axis=0))
+        part = shingle[i : i + ROWS]
+        votes += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        least = np.minimum(least, ((part >> np.uint64(32)).astype(np.uint32)[:, None] * _SEEDS[0] + _SEEDS[1]).min(axis=0))
     out = np.zeros(STAGE_BANDS, np.uint64)
     for row in least.reshape(STAGE_BANDS, STAGE_ROWS).T:
         out = _mixed(out ^ row.astype(np.uint64)) + np.uint64(1)
-    return (out & ~np.uint64(15) | np.arange(STAGE_BANDS, dtype=np.uint64)).view(np.int64)
+    fp = np.packbits(votes * 2 > n, bitorder="little").view(np.int64)[0] if len(found) else 0
+    return int(fp), (out & ~np.uint64(15) | np.arange(STAGE_BANDS, dtype=np.uint64)).view(np.int64)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    """(doc_id, t1, t2, bands): two hashes of a text's words, and its band values."""
+    """(doc_id, t1, t2, fp, bands): two hashes of a text's words, its fingerprint and its band values."""
 
     def batches(it):
         for b in it:
-            keys, bands = [], []
+            keys, fps, bands = [], [], []
             for t in b.column(1):
                 found = (t.as_py() or "").encode().lower().split()
                 keys.append(np.frombuffer(xxhash.xxh128_digest(b" ".join(found)), np.int64))
-                bands.append(stage_bands(found))
+                fp, band = stage_numbers(found)
+                fps.append(fp)
+                bands.append(band)
             t1, t2 = (pa.array([k[i] for k in keys], pa.int64()) for i in range(2))
-            yield pa.RecordBatch.from_arrays([b.column(0), t1, t2, pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "t1", "t2", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), t1, t2, pa.array(fps, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "t1", "t2", "fp", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(batches, "doc_id long, t1 long, t2 long, bands array<long>")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return rows.mapInArrow(batches, "doc_id long, t1 long, t2 long, fp long, bands array<long>")
 
 
 def _tile(group: pd.DataFrame) -> pd.DataFrame:
-    return similar_stars([word_shingles(x) for x in group["text"]], group["rep"].to_numpy(), STAGE_SIMILAR)
+    number: dict[bytes, int] = {}
+    sets = [np.array([number.setdefault(x, len(number)) for x in word_shingles(t)], np.uint64) for t in group["text"]]
+    return similar_stars(sets, group["rep"].to_numpy(), STAGE_SIMILAR)
 
 
 def near_duplicate_groups(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, ...) -> (doc_id, component_id) of rows with a doc_id, by texts rather than fingerprints alone.
 
-    Equal texts (up to case and white space; all without a word are equal) are one node. Nodes that share a MinHash band
-    over five-word shingles meet, and are linked if those shingles have a Jaccard similarity of 0.8 or more.
+    Equal texts (up to case and white space; all without a word are equal) are one node. Nodes meet if their fingerprints
+    over five-word shingles lie within DISTANCE, by pigeonhole blocks as in simhash_groups, or if they share a MinHash band
+    over those shingles, which finds the pairs of lower similarity that fingerprints miss. Those that meet are linked if
+    the shingles have a Jaccard similarity of 0.8 or more.
     """
     texts = stored(_texts(docs.where("doc_id IS NOT NULL")), "near-texts")
-    nodes = stored(texts.groupBy("t1", "t2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "near-nodes")
+    nodes = stored(texts.groupBy("t1", "t2").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "near-nodes")
     key = ["band"]
     small, large = sized(nodes.select(F.explode("bands").alias("band"), "rep"), key, "rep")
     large = stored(large, "near-large")
     a, b = small.select("band", F.col("rep").alias("src")), small.select("band", F.col("rep").alias("dst"))
-    pairs = stored(a.join(b, (a.band == b.band) & (F.col("src") < F.col("dst"))).select("src", "dst").distinct(), "near-pairs")
+    shared = a.join(b, (a.band == b.band) & (F.col("src") < F.col("dst"))).select("src", "dst")
+    prints = stored(nodes.groupBy("fp").agg(F.min("rep").alias("rep")), "near-prints")
+    equal = nodes.select("fp", F.col("rep").alias("src")).join(prints.withColumnRenamed("rep", "dst"), "fp").where("src <> dst").select("src", "dst")
+    close = fingerprint_links(prints, blocks_for(prints.count())).unionByName(equal).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
+    pairs = stored(shared.unionByName(close).distinct(), "near-pairs")
     needed = stored(pairs.select(F.col("src").alias("doc_id")).union(pairs.select("dst")).union(large.select("rep")).distinct(), "near-needed")
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(sent_if_small(needed, SENT), "doc_id", "left_semi")
     rows = stored(rows.groupBy("doc_id").agg(F.min("text").alias("text")), "near-compared", "zstd")
@@ -197,7 +214,8 @@ def keep_first_of_group(docs: DataFrame) -> DataFrame:
     """
     groups = near_duplicate_groups(docs)
     gone = stored(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "near-gone")
-    return docs.join(sent_if_small(gone, SENT), docs.doc_id == F.col("_gone"), "left_anti")
+    rows = whole(docs, F.col("doc_id").cast("long").alias("_id"))
+    return rows.join(sent_if_small(gone, SENT), F.col("_id") == F.col("_gone"), "left_anti").select("_row.*")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
