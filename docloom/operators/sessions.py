@@ -23,7 +23,7 @@ def active(log: DataFrame) -> DataFrame:
 def history(log: DataFrame, n: int | None = None) -> DataFrame:
     """(session_id, created_at, message_count, messages): messages in order of ts and seq, with n only the newest n.
 
-    Without n a session's messages are one row, as an API returns them; give n where sessions may grow without bound.
+    Without n a session's messages are one row, as an API returns them; where sessions may grow without bound, give n or take messages().
     """
     counts = log.groupBy("session_id").agg(F.min("ts").alias("created_at"), F.count("*").alias("message_count"))
     if n is not None:
@@ -33,6 +33,20 @@ def history(log: DataFrame, n: int | None = None) -> DataFrame:
     return counts.join(said, "session_id")
 
 
+def messages(log: DataFrame) -> DataFrame:
+    """(session_id, position, role, content, ts): a row for each message, numbered from 1 by ts and seq within its session.
+
+    Numbers are counted within a session's hours, and the counts of earlier hours added, so a session of any length is
+    never gathered: only its rows of one hour, and its hours' counts, meet in a task.
+    """
+    hour = F.coalesce(F.date_trunc("hour", F.col("ts").cast("timestamp")), F.lit("0001-01-01").cast("timestamp"))
+    log, key = log.withColumn("_hour", hour), ["session_id", "_hour"]
+    earlier = Window.partitionBy("session_id").orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
+    before = log.groupBy(*key).agg(F.count("*").alias("_n")).select(*key, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    rows = log.withColumn("_own", F.row_number().over(Window.partitionBy(*key).orderBy("ts", "seq"))).join(before, key)
+    return rows.select("session_id", (F.col("_before") + F.col("_own")).alias("position"), "role", "content", "ts")
+
+
 def lookup(log: DataFrame, asked: DataFrame) -> DataFrame:
     """asked (session_id) with `status` 200 or 404 and the message count."""
     counts = log.groupBy("session_id").agg(F.count("*").alias("message_count"))

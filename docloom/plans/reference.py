@@ -316,6 +316,11 @@ def _(spark, d):
     return sessions.history(_log(spark, d)).select("session_id", "message_count", F.array_join("messages.content", ",").alias("contents"))
 
 
+@query("session_messages", "SELECT CAST(user_id AS VARCHAR) AS session_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS position, event_type AS content FROM events")
+def _(spark, d):
+    return sessions.messages(_log(spark, d)).select("session_id", "position", "content")
+
+
 @query("session_history_newest", "SELECT session_id, n AS message_count, string_agg(event_type, ',' ORDER BY ts, event_id) AS contents FROM (SELECT *, CAST(user_id AS VARCHAR) AS session_id, count(*) OVER (PARTITION BY user_id) AS n, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r <= 10 GROUP BY 1, 2")
 def _(spark, d):
     return sessions.history(_log(spark, d), 10).select("session_id", "message_count", F.array_join("messages.content", ",").alias("contents"))
