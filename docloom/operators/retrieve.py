@@ -25,6 +25,17 @@ def top_k(rows: DataFrame, query: Sequence[float], k: int, order: str, vector: s
     return scored.orderBy(F.desc("similarity"), order).limit(k)
 
 
+def _by_width(rows: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """width -> (places of the rows whose vector has it, their vectors as a matrix); a null within a vector is NaN."""
+    column = rows.column("vector").combine_chunks()
+    size, flat = column.value_lengths().to_numpy(), column.flatten().to_numpy(zero_copy_only=False)
+    starts, out = np.cumsum(size) - size, {}
+    for width in np.unique(size).tolist():
+        at = np.flatnonzero(size == width)
+        out[width] = at, flat[starts[at][:, None] + np.arange(width)]
+    return out
+
+
 def top_k_batch(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """rows (id, vector), queries (query_id, vector) -> (query_id, id, similarity, rank), the k best rows of each query.
 
@@ -41,22 +52,16 @@ def top_k_batch(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
     def run(_, a: pa.Table, b: pa.Table) -> pa.Table:
         out = [[], [], []]
-        by_width: dict[int, list[int]] = {}
-        vectors = [np.array(v) for v in a.column("vector").to_pylist()]
-        for i, v in enumerate(vectors):
-            by_width.setdefault(len(v), []).append(i)
-        ids = a.column("id").to_numpy()
-        asked = [(q, np.array(v)) for q, v in zip(b.column("query_id").to_pylist(), b.column("vector").to_pylist(), strict=True)]
-        for width, at in by_width.items():
-            m, own = np.array([vectors[i] for i in at]), ids[at]
-            norms = np.sqrt((m * m).sum(axis=1))
-            some = [(q, v) for q, v in asked if len(v) == width]
+        ids, names, asked = a.column("id").to_numpy(), b.column("query_id").to_numpy(), _by_width(b)
+        for width, (at, m) in _by_width(a).items():
+            own, norms = ids[at], np.sqrt((m * m).sum(axis=1))
+            some, v = asked.get(width, (np.zeros(0, int), np.zeros((0, width))))
             for s in range(0, len(some), STEP):
-                block = np.array([v for _, v in some[s : s + STEP]])
+                block = v[s : s + STEP]
                 n = np.sqrt((block * block).sum(axis=1))
                 with np.errstate(divide="ignore", invalid="ignore"):
                     sim = (block @ m.T) / (n[:, None] * norms[None, :])
-                for (q, _), row in zip(some[s : s + STEP], sim, strict=True):
+                for q, row in zip(names[some[s : s + STEP]].tolist(), sim, strict=True):
                     good = np.flatnonzero(np.isfinite(row))
                     best = good[np.lexsort((own[good], -row[good]))[:k]]
                     out[0] += [q] * len(best)
