@@ -3,12 +3,13 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_EDGE = r"^[\s\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\u001c-\u001f]+|[\s\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\u001c-\u001f]+$"
+#: Unicode's white space.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def strip(x: Column) -> Column:
     """Without white space at both ends, Unicode's too."""
-    return F.regexp_replace(x, _EDGE, "")
+    return F.btrim(x, F.lit(WHITE))
 
 
 def basename(path: Column) -> Column:

@@ -37,6 +37,28 @@ def earlier(key: str, order: list[str], message: Column, n: int = SENT) -> Colum
     return F.collect_list(message).over(Window.partitionBy(key).orderBy(*order).rowsBetween(-n, -1))
 
 
+def with_earlier(rows: DataFrame, key: str, order: list[str], message: Column, cut: Column, n: int = SENT, out: str = "earlier") -> DataFrame:
+    """rows with the n messages before each one, oldest first, as `earlier` gives them, where a key may hold any share of the rows.
+
+    cut: a row's range, as a day or a thousand turns, that must not decrease along `order`; null ranges come first. A key's rows
+    are dealt out by their ranges, and each range gets what it needs from the ranges before it: the last n messages of each of the
+    n ranges before. Only those, n a range at most, meet by key. Rows that tie in `order` come in any order.
+    """
+    rows = rows.withColumns({"_cut": cut, "_message": F.struct(message.alias("m"))})
+    own = Window.partitionBy(key, "_cut")
+    ends = rows.withColumn("_back", F.row_number().over(own.orderBy(*[F.desc_nulls_last(c) for c in order]))).where(F.col("_back") <= n)
+    ends = ends.groupBy(key, "_cut").agg(F.reverse(F.array_sort(F.collect_list(F.struct("_back", "_message")))).alias("_ends"))
+    ranges = Window.partitionBy(key).orderBy(F.asc_nulls_first("_cut")).rowsBetween(-n, -1)
+    ends = ends.withColumn("_before", F.flatten(F.collect_list(F.transform("_ends", lambda e: e["_message"])).over(ranges)))
+    ends = ends.select(F.col(key).alias("_key"), F.col("_cut").alias("_of"), F.when(F.size("_before") > n, F.slice("_before", -n, n)).otherwise(F.col("_before")).alias("_before"))
+    rows = rows.withColumn("_own", F.collect_list("_message").over(own.orderBy(*order).rowsBetween(-n, -1)))
+    rows = rows.join(ends, F.col(key).eqNullSafe(F.col("_key")) & F.col("_cut").eqNullSafe(F.col("_of")))
+    both = F.concat("_before", "_own")
+    last = F.when(F.size(both) > n, F.slice(both, -n, n)).otherwise(both)
+    # collect_list leaves nulls out, so messages are wrapped; null messages are left out here, as `earlier` does.
+    return rows.withColumn(out, F.filter(F.transform(last, lambda x: x.m), lambda m: m.isNotNull())).drop("_cut", "_message", "_own", "_key", "_of", "_before")
+
+
 def newest(rows: DataFrame, key: str, order: list[str], n: int) -> DataFrame:
     """Each key's n newest rows; tasks drop older ones before the shuffle."""
     last = Window.partitionBy(key).orderBy(*[F.col(c).desc() for c in order])

@@ -5,6 +5,7 @@ Domain tables (phrases, prompts, canned queries) are invented ones; the engine t
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,12 +51,15 @@ def _prompts(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(k, *v) for k, v in PROMPTS.items()], "key string, name string, prompt string")
 
 
-def _chunks(spark: SparkSession, d: str) -> DataFrame:
-    docs = _read(spark, d, "documents")
+def _chunks_of(docs: DataFrame) -> DataFrame:
     name = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt"))
     return chunk.chunk_rows(docs, name, F.col("text"))
 
 
+def _chunks(spark: SparkSession, d: str) -> DataFrame:
+    return _chunks_of(_read(spark, d, "documents"))
+
+
 _SIZE, _BACK = chunk.SIZE, chunk.OVERLAP
 _STOP = f"""CASE WHEN s + {_SIZE} < n AND position(' ' IN reverse(substr(t, s + 1, {_SIZE}))) BETWEEN 1 AND {_SIZE - 1}
               THEN s + {_SIZE} - position(' ' IN reverse(substr(t, s + 1, {_SIZE}))) ELSE s + {_SIZE} END"""
@@ -260,7 +264,8 @@ def _(spark, d):
 @query("history_window_10", "SELECT event_id, coalesce(string_agg(e2, ',' ORDER BY t2, i2), '') AS earlier FROM (SELECT a.event_id, b.event_type AS e2, b.ts AS t2, b.event_id AS i2 FROM (SELECT *, row_number() OVER w AS r FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) a LEFT JOIN (SELECT *, row_number() OVER w AS r FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) b ON a.user_id = b.user_id AND b.r BETWEEN a.r - 10 AND a.r - 1) GROUP BY 1")
 def _(spark, d):
     rows = _read(spark, d, "events")
-    return rows.select("event_id", F.array_join(chat.earlier("user_id", ["ts", "event_id"], F.col("event_type")), ",").alias("earlier"))
+    rows = chat.with_earlier(rows, "user_id", ["ts", "event_id"], F.col("event_type"), F.date_trunc("month", "ts"))
+    return rows.select("event_id", F.array_join("earlier", ",").alias("earlier"))
 
 
 def _keep(n):
@@ -444,7 +449,10 @@ def _(spark, d):
 
 
 def _store(spark, name):
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    folder = folder or f"{tempfile.gettempdir()}/docloom"
     return files.ChunkStore(spark, f"{folder.rstrip('/')}/stores/{name}-{uuid.uuid4().hex}")
 
 
@@ -473,9 +481,29 @@ def _(spark, d):
     return rows.select("conv_id", "turn", content.alias("content"), tokens.cast("long").alias("total_tokens"), F.array_join(models.model_ids(F.col("l")), ",").alias("models"), models.first_model(F.col("l")).alias("first_model"), models.connected(F.col("l")).alias("connected"))
 
 
-@query("store_clear", "SELECT CAST(count(*) FILTER (false) AS BIGINT) AS total_chunks FROM documents")
+@query("store_clear", CHUNKS_SQL + " SELECT count(*) AS before, CAST(count(*) FILTER (false) AS BIGINT) AS total_chunks FROM chunks")
+def _(spark, d):
+    """A store written and cleared; the version before is still there to read."""
+    store = _store(spark, "clear")
+    full = store.append(_chunks(spark, d))
+    before = store.read(full)
+    store.clear()
+    return catalog.stats(before).select(F.col("total_chunks").alias("before")).crossJoin(catalog.stats(store.read()).select("total_chunks"))
+
+
+#: Every fifth document comes again, cut to its first half.
+_HALVED = "(SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN substr(text, 1, length(text) // 2) ELSE text END AS text FROM documents)"
+
+
+@query("store_replace", CHUNKS_SQL.replace("FROM documents", f"FROM {_HALVED}") + " SELECT filename, chunk_id, content FROM chunks")
 def _(spark, d):
-    return catalog.stats(_chunks(spark, d).where(F.lit(False))).select("total_chunks")
+    """Files added again after they have become shorter: none of their old chunks stays."""
+    store, docs = _store(spark, "replace"), _read(spark, d, "documents")
+    store.append(_chunks_of(docs))
+    half = F.expr("substring(text, 1, CAST(floor(length(text) / 2) AS INT))")
+    store.replace_files(_chunks_of(docs.where("doc_id % 5 = 0").withColumn("text", half)))
+    store.compact()
+    return store.read().select("filename", "chunk_id", "content")
 
 
 #: Width of the fake vectors in queries; the default of the operator is 1536.

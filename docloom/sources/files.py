@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+import json
+import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schemas
 from ..functions.text import basename
@@ -28,49 +32,144 @@ def read_texts(spark: SparkSession, paths: list[str] | str, suffixes=SUFFIXES) -
     return good.select("path", basename(F.col("path")).alias("filename"), F.regexp_replace(F.col("content").cast("string"), "\r\n?", "\n").alias("text"))
 
 
+class CommitConflict(Exception):
+    """Another writer took the version, or changed what a rewrite has read."""
+
+
 class ChunkStore:
-    """Chunk rows as versions of a Parquet table under one folder; the newest complete version is the store.
+    """Chunk rows as data files under one folder, and a log that says which of them are the store.
+
+    `_log/<version>.json` is one commit: the data folder it adds, what the new rows replace (nothing, rows of their
+    (filename, chunk_id), or all rows of their filenames), whether all older rows go, and the batch it came from. A commit's
+    data is written first and counts once its file is there, so a reader never sees half of one, and each write costs what it
+    brings. Of two writers one gets a version and the other tries the next one: both commits stay. Replaced names are kept as
+    tombstones beside the data; older rows of theirs are left out when reading and gone after `compact`.
 
-    An upsert replaces rows of equal (filename, chunk_id) and writes a new version, so a reader never sees half of one.
-    One writer at a time: of two that write at once, the later version number or name wins.
+    A version's file is put only if it is absent: by a hard link in a local or mounted folder, by a rename that doesn't
+    overwrite elsewhere, as in HDFS. A store that overwrites on rename is good for one writer at a time.
     """
 
+    LOG = "version long, data string, replaces string, clears boolean, batch string"
+    #: Columns whose values new rows replace, by what a commit says.
+    KEYS = {"nothing": [], "chunks": ["filename", "chunk_id"], "files": ["filename"]}
+    TRIES = 100
+
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _versions(self) -> list[str]:
-        if not self._fs.exists(self._path(self.folder)):
+    def _log(self) -> list:
+        """The commits that count, oldest first: those since the last one that clears."""
+        if not self._fs.globStatus(self._path(f"{self.folder}/_log/*.json")):
             return []
-        found = [f.getPath() for f in self._fs.listStatus(self._path(self.folder))]
-        return sorted(p.toString() for p in found if p.getName().startswith("v") and self._fs.exists(self._path(p, "_SUCCESS")))
-
-    def read(self) -> DataFrame:
-        """The store's rows; an empty table if nothing was written."""
-        v = self._versions()
-        return self.spark.read.schema(schemas.CHUNK).parquet(v[-1]) if v else self.spark.createDataFrame([], schemas.CHUNK)
-
-    def _write(self, rows: DataFrame) -> None:
-        n = len(self._versions())
-        rows.write.parquet(f"{self.folder}/v{n:09d}-{uuid.uuid4().hex[:8]}")
-
-    def upsert(self, rows: DataFrame) -> None:
-        self._write(upserted(self.read(), rows))
-
-    def append(self, rows: DataFrame) -> None:
-        self._write(self.read().unionByName(rows))
-
-    def clear(self) -> None:
-        self._write(self.spark.createDataFrame([], schemas.CHUNK))
+        rows = sorted(self.spark.read.schema(self.LOG).json(f"{self.folder}/_log/*.json").collect(), key=lambda r: r.version)
+        last = max([k for k, r in enumerate(rows) if r.clears], default=0)
+        return rows[last:]
+
+    def version(self) -> int:
+        """The newest commit's number, 0 for none."""
+        log = self._log()
+        return log[-1].version if log else 0
+
+    def _put(self, version: int, commit: dict) -> bool:
+        """Writes a commit under its number unless there is one."""
+        target = self._path(f"{self.folder}/_log/{version:012d}.json")
+        draft = self._path(f"{self.folder}/_log/.{uuid.uuid4().hex}")
+        out = self._fs.create(draft, False)
+        out.write(bytearray(json.dumps({"version": version, **commit}).encode()))
+        out.close()
+        try:
+            if self._fs.getUri().getScheme() == "file":
+                os.link(draft.toUri().getPath(), target.toUri().getPath())
+                return True
+            return not self._fs.exists(target) and self._fs.rename(draft, target)
+        except FileExistsError:
+            return False
+        finally:
+            self._fs.delete(draft, False)
+
+    def _commit(self, replaces: str = "nothing", data: str | None = None, clears: bool = False, batch: str | None = None, read: int | None = None) -> int:
+        """Adds a commit after the newest one; with `read` only if that is still the newest."""
+        version = self.version() if read is None else read
+        for _ in range(self.TRIES):
+            if self._put(version + 1, {"data": data, "replaces": replaces, "clears": clears, "batch": batch}):
+                return version + 1
+            if read is not None:
+                break
+            version += 1
+        raise CommitConflict(f"version {version + 1} of {self.folder} is taken")
+
+    def read(self, version: int | None = None) -> DataFrame:
+        """The store's rows, or those of an older version that isn't compacted away; an empty table if nothing was written."""
+        log = [r for r in self._log() if version is None or r.version <= version]
+        layers = [(r, f"{self.folder}/{r.data}") for r in log if r.data]
+        if not layers:
+            return self.spark.createDataFrame([], schemas.CHUNK)
+        rows = self._read(layers, "rows", schemas.CHUNK)
+        for how, key in self.KEYS.items():
+            if gone := [x for x in layers if x[0].replaces == how and key]:
+                kinds = T.StructType([schemas.CHUNK[c] for c in key])
+                cut = self._read(gone, "replaced", kinds).groupBy(*[F.col(c).alias(f"_{c}") for c in key]).agg(F.max("_version").alias("_cut"))
+                same = functools.reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key])
+                rows = rows.join(cut, same, "left").where("_cut IS NULL OR _version >= _cut").drop("_cut", *[f"_{c}" for c in key])
+        return rows.drop("_version")
+
+    def _read(self, layers: list, what: str, schema: T.StructType) -> DataFrame:
+        """Rows of commits' folders with their `_version`."""
+        rows = self.spark.read.schema(schema).parquet(*[f"{path}/{what}" for _, path in layers])
+        versions = F.create_map(*[F.lit(x) for r, _ in layers for x in (r.data, r.version)])
+        return rows.withColumn("_version", F.element_at(versions, F.regexp_extract("_metadata.file_path", r"/(data/[0-9a-f]+)/", 1)))
+
+    def _written(self, rows: DataFrame, replaces: str) -> str:
+        data, key = f"data/{uuid.uuid4().hex}", self.KEYS[replaces]
+        rows = rows.select(*[F.col(f.name).cast(f.dataType) for f in schemas.CHUNK])
+        rows.write.parquet(f"{self.folder}/{data}/rows")
+        if key:
+            self.spark.read.schema(schemas.CHUNK).parquet(f"{self.folder}/{data}/rows").select(*key).distinct().write.parquet(f"{self.folder}/{data}/replaced")
+        return data
+
+    def append(self, rows: DataFrame, batch: str | None = None) -> int:
+        """Adds rows beside what is there. Each of these returns the commit's version."""
+        return self._commit(data=self._written(rows, "nothing"), batch=batch)
+
+    def upsert(self, rows: DataFrame, batch: str | None = None) -> int:
+        """Replaces rows of equal (filename, chunk_id); of new rows with one key the last by content stays."""
+        return self._commit("chunks", self._written(_last_of(rows), "chunks"), batch=batch)
+
+    def replace_files(self, rows: DataFrame, batch: str | None = None) -> int:
+        """Replaces all rows of the filenames that rows have, so that a file that has become shorter leaves no old chunk."""
+        return self._commit("files", self._written(rows, "files"), batch=batch)
+
+    def remove_files(self, names: DataFrame) -> int:
+        """Removes all rows of the filenames in names (filename)."""
+        data = f"data/{uuid.uuid4().hex}"
+        self.spark.createDataFrame([], schemas.CHUNK).write.parquet(f"{self.folder}/{data}/rows")
+        names.select("filename").distinct().write.parquet(f"{self.folder}/{data}/replaced")
+        return self._commit("files", data)
+
+    def clear(self) -> int:
+        return self._commit(clears=True)
+
+    def compact(self) -> int:
+        """Rewrites the store as one commit; CommitConflict if another came in between, and nothing has changed then."""
+        read = self.version()
+        return self._commit(data=self._written(self.read(read), "nothing"), clears=True, read=read)
+
+    def batches(self) -> set[str]:
+        """The batches that commits since the last clearing name."""
+        return {r.batch for r in self._log() if r.batch}
+
+
+def _last_of(rows: DataFrame) -> DataFrame:
+    last = Window.partitionBy("filename", "chunk_id").orderBy(F.desc("content"))
+    return rows.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
 
 
 def upserted(old: DataFrame, new: DataFrame) -> DataFrame:
     """old without the keys of new, and new; of rows of new with one key the last by content stays."""
-    key = ["filename", "chunk_id"]
-    last = Window.partitionBy(*key).orderBy(F.desc("content"))
-    new = new.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
+    key, new = ["filename", "chunk_id"], _last_of(new)
     return old.join(new.select(*key), key, "left_anti").select(*new.columns).unionByName(new)
 
 

@@ -1,5 +1,8 @@
 import math
+import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -10,36 +13,57 @@ from docloom.operators import chat, chunk, compose, embed, retrieve, rewrite, ro
 from docloom.sources import models
 
 
-@pytest.mark.parametrize(
-    ("text", "sizes"),
-    [
-        ("", [0]),
-        ("  x  ", [5]),
-        ("b" * 1800, [1000, 1000, 200]),
-        ("b" * 2599, [1000, 1000, 999, 199]),
-        (" " * 1500, []),
-    ],
-)
-def test_chunk_sizes(text, sizes):
-    assert [len(c) for c in chunk.chunk_text(text)] == sizes
+def windows(text, size, overlap):
+    """The rule as a plain walk."""
+    at, found = 0, []
+    while at < len(text):
+        space = text.rfind(" ", at, at + size) if at + size < len(text) else -1
+        end = space if space > at else at + size
+        found.append((at, end))
+        at = end - overlap if end - overlap > at else end
+    return found
 
 
-@pytest.mark.parametrize(("a", "b", "n"), [(100, 5000, 8), (200, 5000, 8), (201, 5000, 9)])
-def test_a_space_near_the_start_neither_loops_nor_loses_text(a, b, n):
-    got = chunk.chunk_text("a" * a + " " + "b" * b)
-    assert len(got) == n and sum(c.count("a") for c in got) >= a and sum(c.count("b") for c in got) >= b
+def chunked(text, size, overlap):
+    return [text] if len(text) <= size else [c for c in (text[a:b].strip() for a, b in windows(text, size, overlap)) if c]
 
 
-@settings(max_examples=200, deadline=None)
+FIXED = ["", "  x  ", "b" * 1800, "b" * 2599, " " * 1500, "a" * 100 + " " + "b" * 5000, "a" * 200 + " " + "b" * 5000, "a" * 201 + " " + "b" * 5000, None]
+
+
+def test_chunks_of_the_fixed_cases(spark):
+    rows = spark.createDataFrame(list(enumerate(FIXED)), "i int, t string").select("i", chunk.chunks_of(F.col("t")).alias("c"))
+    got = {r.i: r.c for r in rows.collect()}
+    assert [len(got[i]) for i in range(len(FIXED))] == [1, 1, 3, 4, 0, 8, 8, 9, 0]
+    assert [len(c) for c in got[2]] == [1000, 1000, 200] and got[0] == [""] and got[1] == ["  x  "]
+
+
+@pytest.mark.parametrize(("size", "overlap"), [(1000, 200), (50, 20), (10, 5), (7, 6), (9, 4), (3, 0)])
+def test_windows_are_those_of_a_plain_walk(spark, size, overlap):
+    own = random.Random(size)
+    letters = ["ab 𝒳é\n\u3000", "a" * 70 + " ", " b", "x"]
+    texts = [t for t in FIXED if t is not None] + ["".join(own.choice(letters[k % 4]) for _ in range(own.randrange(5 * size))) for k in range(60)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", chunk.spans_of(F.col("t"), size, overlap).alias("s"), chunk.chunks_of(F.col("t"), size, overlap).alias("c"))
+    for r in rows.collect():
+        assert [tuple(x) for x in r.s] == windows(texts[r.i], size, overlap)
+        assert r.c == chunked(texts[r.i], size, overlap)
+        assert all(len(c) <= size for c in r.c)
+
+
+@settings(max_examples=300, deadline=None)
 @given(st.text(alphabet="ab \n", max_size=400), st.integers(5, 60), st.integers(0, 20))
-def test_chunks_are_bounded_and_lose_nothing(text, size, overlap):
-    got = chunk.chunk_text(text, size, min(overlap, size - 1))
-    assert all(len(c) <= size for c in got)
-    at = 0
-    for word in text.split():
-        for letter in word:
-            assert any(letter in c for c in got)
-            at += 1
+def test_three_windows_advance(text, size, overlap):
+    """What the fold's number of steps rests on: three windows advance by size - 2 * overlap."""
+    found = windows(text, size, min(overlap, size - 1))
+    least = size - 2 * min(overlap, size - 1)
+    assert least <= 0 or len(found) <= 3 * (len(text) // least + 1)
+
+
+def test_a_long_text_is_chunked_without_python(spark):
+    rows = spark.createDataFrame([("word and more " * 70_000,)], "t string")
+    found = rows.select(chunk.chunks_of(F.col("t")).alias("c"))
+    assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.select(F.size("c").alias("n"), F.array_max(F.transform("c", F.length)).alias("m")).first() == (len(chunked("word and more " * 70_000, 1000, 200)), 998)
 
 
 def test_top_k_skips_bad_vectors_and_breaks_ties_by_order(spark):
@@ -136,24 +160,91 @@ def test_sessions(spark):
     assert [(r["role"], r["content"]) for r in rows if r["session_id"] == "s"] == [("user", "q"), ("assistant", "a"), ("assistant", "down")]
 
 
-def test_chunks_of_the_fixed_cases():
-    """Lengths and spans that the rule gives, texts without a space behind a window's start included."""
-    whole = lambda t: [tuple(x) for x in chunk.spans(t).tolist()]
-    assert whole("b" * 1800) == [(0, 1000), (800, 1800), (1600, 2600)]
-    assert whole("b" * 2599) == [(0, 1000), (800, 1800), (1600, 2600), (2400, 3400)]
-    for text, n in (("a" * 100 + " " + "b" * 5000, 8), ("a" * 200 + " " + "b" * 5000, 8), ("a" * 201 + " " + "b" * 5000, 9)):
-        found = whole(text)
-        assert len(found) == n and all(b - a <= 1000 for a, b in found)
-        assert set().union(*(range(a, min(b, len(text))) for a, b in found)) == set(range(len(text)))
-    assert chunk.chunk_text("") == [""] and chunk.chunk_text("  x  ") == ["  x  "] and chunk.chunk_text(" " * 1500) == []
-
-
-def test_many_phrases_meet_by_their_first_letters(spark, monkeypatch):
-    monkeypatch.setattr(rewrite, "BROADCAST_ROWS", 2)
-    phrases = spark.createDataFrame([(0, "abc", "X"), (1, "b", "Y"), (2, "", "Z"), (3, "long phrase", "W"), (4, None, "V")], "ord int, phrase string, expansion string")
-    asked = spark.createDataFrame([("a LONG phrase",), ("xABCb",), ("bb",), ("q",), (" Abc ",), (None,), ("",)], "query string")
-    got = {r.query: r.expanded for r in rewrite.expand_synonyms(asked, phrases).collect()}
-    assert got == {"a LONG phrase": "a W", "xABCb": "xXb", "bb": "Yb", "q": "Zq", " Abc ": "X", None: None, "": "Z"}
+@pytest.mark.parametrize("rows", [10, 2])
+def test_phrases_sent_or_dealt_out_give_the_same(spark, monkeypatch, rows):
+    monkeypatch.setattr(rewrite, "BROADCAST_ROWS", rows)
+    monkeypatch.setattr(rewrite, "SHARD", 2)
+    monkeypatch.setattr(rewrite, "TEXTS", 3)
+    known = [(0, "abc", "X"), (1, "b", "Y"), (2, "", "Z"), (3, "long phrase", "W"), (4, None, "V"), (9, "twice", "no"), (5, "twice", "first"), (6, "none", None)]
+    phrases = spark.createDataFrame(known, "ord int, phrase string, expansion string")
+    asked = ["a LONG phrase", "xABCb", "bb", "q", " Abc ", None, "", "TWICE and twice", "İ abc", "so none", "q"]
+    got = rewrite.expand_synonyms(spark.createDataFrame([(q,) for q in asked], "query string"), phrases).collect()
+    want = {"a LONG phrase": "a W", "xABCb": "xXb", "bb": "Yb", "q": "Zq", " Abc ": "X", None: None, "": "Z", "TWICE and twice": "first and twice", "İ abc": "İ abc", "so none": "so none"}
+    assert {r.query: r.expanded for r in got} == want and len(got) == len(asked)
+
+
+def test_a_hundred_thousand_phrases(spark):
+    import duckdb
+
+    own = random.Random(3)
+    word = lambda n: "".join(own.choice("abcde ") for _ in range(n))
+    phrases = [(i, word(own.randrange(2, 12)), f"<{i}>") for i in range(100_000)]
+    asked = [(word(own.randrange(1, 90)).upper() if k % 3 == 0 else word(own.randrange(1, 90)),) for k in range(120)] + [(phrases[7][1],)]
+    queries = spark.createDataFrame(asked, "query string")
+    found = rewrite.expand_synonyms(queries, spark.createDataFrame(phrases, "ord int, phrase string, expansion string"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan and "Generate" not in plan
+    s, q = pa.table(dict(zip(("ord", "phrase", "expansion"), map(list, zip(*phrases)), strict=True))), pa.table({"q": [a for (a,) in asked]})  # noqa: F841
+    want = duckdb.sql("""SELECT q, CASE WHEN x THEN expansion ELSE substr(q, 1, position(phrase IN lower(q)) - 1) || expansion || substr(q, position(phrase IN lower(q)) + length(phrase)) END AS e
+      FROM (SELECT *, trim(lower(q)) = phrase AS x FROM (SELECT DISTINCT q FROM q) JOIN s ON contains(lower(q), phrase))
+      QUALIFY row_number() OVER (PARTITION BY q ORDER BY x DESC, length(phrase) DESC, ord) = 1""").fetchall()
+    want = {a: a for (a,) in asked} | dict(want)
+    assert {r.query: r.expanded for r in found.collect()} == want
+
+
+def _best(rows, asked, k):
+    out = {}
+    for q, v in asked:
+        sims = [(-(np.dot(v, x) / (np.linalg.norm(v) * np.linalg.norm(x))), i) for i, x in rows]
+        out[q] = [(i, -s) for s, i in sorted((round(s, 12), i) for s, i in sims)[:k]]
+    return out
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_batch_top_k_is_exact_and_leaves_groups_out(spark, monkeypatch, small):
+    """Clustered vectors, copies among them; `small` takes many query blocks and levels of rows."""
+    if small:
+        for name, value in (("QUERIES_AT_ONCE", 40), ("SEEDS", 16), ("LEVEL", 4)):
+            monkeypatch.setattr(retrieve, name, value)
+    own = np.random.default_rng(4)
+    middles = own.normal(size=(30, 16)) * 3
+    vectors = middles[own.integers(0, 30, 3000)] + own.normal(size=(3000, 16)) * 0.2
+    vectors[1000:1500] = vectors[1000]  # copies
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    asked = [(i, (vectors[i * 20] * 2).tolist()) for i in range(150)]
+    table = lambda x, key: spark.createDataFrame(x, f"{key} long, vector array<double>").repartition(3)
+    found = retrieve.top_k_batch(table(rows, "id"), table(asked, "query_id"), 5)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.id, r.similarity)
+    want = _best(rows, asked, 5)
+    assert set(got) == set(want)
+    for q, best in want.items():
+        assert [round(got[q][k][1], 9) for k in range(1, 6)] == [round(s, 9) for _, s in best]
+    share = retrieve.scored_share(table(rows, "id"), table(asked, "query_id"), 5)
+    print(f"share of pairs scored: {share:.3f}")
+    assert 0 < share < 0.5
+
+
+def test_batch_top_k_ties_widths_and_no_rows(spark):
+    rows = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(50, 0, -1)] + [(99, [float("nan"), 1.0]), (98, [None, 1.0])], "id long, vector array<double>")
+    asked = spark.createDataFrame([(i, [3.0, 0.0]) for i in range(20)] + [(20, [1.0])], "query_id long, vector array<double>")
+    got = retrieve.top_k_batch(rows, asked, 3).collect()
+    assert {(r.query_id, r["rank"], r.id) for r in got} == {(q, k, k) for q in range(20) for k in (1, 2, 3)}
+    assert retrieve.top_k_batch(rows.where("false"), asked, 3).count() == retrieve.top_k_batch(rows, asked.where("false"), 3).count() == retrieve.top_k_batch(rows, asked, 0).count() == 0
+
+
+@pytest.mark.parametrize("cut", ["t DIV 7", "t", "t DIV 1000", "0", "CASE WHEN t > 20 THEN t DIV 30 END"])
+def test_history_by_ranges_is_that_of_a_window(spark, cut):
+    """A key with a third of all rows, a null key, empty ranges between."""
+    own = random.Random(5)
+    rows = [("hot", t, f"m{t}") for t in range(120)] + [(own.choice(["a", "b", None]), own.randrange(300), None if k % 9 == 0 else f"n{k}") for k in range(240)]
+    rows = [(k, t, i, m) for i, (k, t, m) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "k string, t long, i long, m string").repartition(4)
+    ranges = F.expr(cut) if "CASE" not in cut else F.when(F.col("t") > 20, F.expr("t DIV 30"))
+    got = {r.i: r.earlier for r in chat.with_earlier(df, "k", ["t", "i"], F.col("m"), ranges).collect()}
+    want = {r.i: r.p for r in df.select("i", chat.earlier("k", ["t", "i"], F.col("m")).alias("p")).collect()}
+    assert got == want and len(got) == len(rows)
 
 
 def test_backends_and_their_answers(spark):

@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from docloom import schemas
@@ -34,6 +35,61 @@ def test_store_upserts_appends_and_clears(spark, tmp_path):
     assert store.read().count() == 0 and store.read().schema == schemas.CHUNK
 
 
+def test_a_file_added_again_leaves_no_old_chunk(spark, tmp_path):
+    store = files.ChunkStore(spark, str(tmp_path / "store"))
+    rows = lambda *r: spark.createDataFrame([chunk_row(*x) for x in r], schemas.CHUNK)
+    content = lambda v=None: sorted((r.filename, r.chunk_id, r.content) for r in store.read(v).collect())
+    store.append(rows(*[("a", i, f"old{i}") for i in range(6)], ("b", 0, "b")))
+    before = store.replace_files(rows(("a", 0, "new")))
+    assert content() == [("a", 0, "new"), ("b", 0, "b")]
+    store.append(rows(("a", 1, "more")))
+    store.upsert(rows(("b", 0, "B")))
+    assert content() == [("a", 0, "new"), ("a", 1, "more"), ("b", 0, "B")] and content(before) == [("a", 0, "new"), ("b", 0, "b")]
+    store.remove_files(spark.createDataFrame([("a",)], "filename string"))
+    assert content() == [("b", 0, "B")]
+    store.compact()
+    store.append(rows(("a", 0, "again")))
+    assert content() == [("a", 0, "again"), ("b", 0, "B")]
+
+
+def test_a_write_costs_what_it_brings(spark, tmp_path):
+    store = files.ChunkStore(spark, str(tmp_path / "store"))
+    store.append(spark.createDataFrame([chunk_row("a", i, "x" * 500) for i in range(2000)], schemas.CHUNK))
+    size = lambda: sum(f.stat().st_size for f in (tmp_path / "store").rglob("*.parquet"))
+    first, old = size(), set((tmp_path / "store").rglob("*.parquet"))
+    store.append(spark.createDataFrame([chunk_row("b", 0, "y")], schemas.CHUNK))
+    assert old < set((tmp_path / "store").rglob("*.parquet")) and size() - first < 20_000 and store.read().count() == 2001
+
+
+def test_two_writers_lose_nothing(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    def write(k):
+        own = files.ChunkStore(spark, str(tmp_path / "store"))
+        return own.append(spark.createDataFrame([chunk_row(f"f{k}", 0, "x")], schemas.CHUNK))
+
+    with ThreadPoolExecutor(6) as pool:
+        versions = list(pool.map(write, range(18)))
+    assert sorted(versions) == list(range(1, 19))
+    assert {r.filename for r in files.ChunkStore(spark, str(tmp_path / "store")).read().collect()} == {f"f{k}" for k in range(18)}
+
+
+def test_a_rewrite_does_not_lose_a_commit_that_came_between(spark, tmp_path, monkeypatch):
+    store, other = files.ChunkStore(spark, str(tmp_path / "store")), files.ChunkStore(spark, str(tmp_path / "store"))
+    store.append(spark.createDataFrame([chunk_row("a", 0, "x")], schemas.CHUNK))
+    write = store._written
+
+    def late(rows, replaces):
+        data = write(rows, replaces)
+        other.append(spark.createDataFrame([chunk_row("b", 0, "y")], schemas.CHUNK))
+        return data
+
+    monkeypatch.setattr(store, "_written", late)
+    with pytest.raises(files.CommitConflict):
+        store.compact()
+    assert {r.filename for r in other.read().collect()} == {"a", "b"}
+
+
 def test_store_file(spark, tmp_path):
     row = {"content": "x", "filename": "f", "chunk_id": 0, "metadata": {"file_path": "f", "chunk_size": 1, "total_chunks": 1, "file_size": 1}, "embedding": [0.5]}
     (tmp_path / "s.json").write_text(json.dumps({"documents": [row], "metadata": {}}, indent=1))
