@@ -121,8 +121,11 @@ class CountCache:
         rows = self.spark.read.schema(self.SCHEMA).parquet(*parts)
         return rows.groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))
 
-    def append(self, of: str, rows: DataFrame) -> None:
-        rows.select("digest", "n_tokens").write.parquet(f"{self.folder}/tokenizer={of}/part-{uuid.uuid4().hex}")
+    def append(self, of: str, rows: DataFrame) -> DataFrame:
+        """Stores rows and returns them as stored."""
+        path = f"{self.folder}/tokenizer={of}/part-{uuid.uuid4().hex}"
+        rows.select("digest", "n_tokens").write.parquet(path)
+        return self.spark.read.schema(self.SCHEMA).parquet(path)
 
 
 def _digest(text: Column) -> Column:
@@ -160,18 +163,20 @@ def _keyed(docs: DataFrame, file: str, with_text: bool) -> DataFrame:
     return keyed.select("text", "place") if with_text else keyed.drop("text")
 
 
-def add_missing(docs: DataFrame, keyed: DataFrame, cache: CountCache, file: str) -> int:
-    """Encodes one row for each digest of `keyed` that the cache has no count for, appends the counts, returns how many were missing.
+def counted(docs: DataFrame, keyed: DataFrame, cache: CountCache, file: str) -> tuple[DataFrame, int]:
+    """((digest, n_tokens) of all digests of `keyed`, how many of them the cache did not have).
 
-    The row is the one of the least `place`; where places meet by chance or rows repeat, a text more is encoded and its
-    count stored under its own digest, so a chance costs time and never a wrong count.
+    Of each digest without a stored count one row is encoded, and its count appended. The row is the one of the least `place`;
+    where places meet by chance or rows repeat, a text more is encoded and its count stored under its own digest, so a chance costs
+    time and never a wrong count.
     """
     of = version(file)
-    missing = keyed.groupBy("digest").agg(F.min("place").alias("place")).join(cache.read(of), "digest", "left_anti")
-    missing = stored(missing, "token-misses")
+    asked = keyed.groupBy("digest").agg(F.min("place").alias("place")).join(cache.read(of), "digest", "left")
+    asked = stored(asked, "token-digests")
+    known, missing = asked.where("n_tokens IS NOT NULL").select("digest", "n_tokens"), asked.where("n_tokens IS NULL")
     n = missing.count()
     if not n:
-        return 0
+        return known, 0
     places = missing.select("place")
     texts = _keyed(docs, file, with_text=True).join(F.broadcast(places) if n <= SENT else places.hint("shuffle_hash"), "place", "left_semi").select("text")
     declared = _declared(file)
@@ -190,8 +195,9 @@ def add_missing(docs: DataFrame, keyed: DataFrame, cache: CountCache, file: str)
             digests = pa.array([hashlib.sha256(t.encode()).digest() for t in kept], pa.binary())
             yield pa.RecordBatch.from_arrays([digests, pa.array(count_tokens(texts, file, cutting), pa.int64())], ["digest", "n_tokens"])
 
-    cache.append(of, texts.mapInArrow(run, CountCache.SCHEMA))
-    return n
+    new = cache.append(of, texts.mapInArrow(run, CountCache.SCHEMA))
+    # Stored without an aggregation on the way to the join that follows, whose other side holds all copies of a text.
+    return stored(known.unionByName(new).groupBy("digest").agg(F.min("n_tokens").alias("n_tokens")), "token-counts"), n
 
 
 def token_counts(docs: DataFrame, cache: CountCache, file: str, limit: int = LIMIT) -> DataFrame:
@@ -203,8 +209,7 @@ def token_counts(docs: DataFrame, cache: CountCache, file: str, limit: int = LIM
     where the tokenizer lets it (`can_cut`), and whole elsewhere. No row: no row. The cache holds every text's count afterwards.
     """
     keyed = stored(_keyed(docs, file, with_text=False), "token-keys")
-    add_missing(docs, keyed, cache, file)
-    counts = cache.read(version(file))
+    counts, _ = counted(docs, keyed, cache, file)
     return keyed.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 

@@ -29,8 +29,8 @@ def test_only_misses_are_encoded_and_appended(spark, make, tmp_path):
     of = tc.version(file)
     first = make([(1, "one two"), (2, "one two"), (3, "three")])
     keys = tc._keyed(first, file, False)
-    assert tc.add_missing(first, keys, cache, file) == 2 and len(cache.parts(of)) == 1
-    assert tc.add_missing(first, keys, cache, file) == 0 and len(cache.parts(of)) == 1
+    assert tc.counted(first, keys, cache, file)[1] == 2 and len(cache.parts(of)) == 1
+    assert tc.counted(first, keys, cache, file)[1] == 0 and len(cache.parts(of)) == 1
     more = make([(9, "three"), (8, "four"), (7, "four")])
     got = {r.doc_id: r.n_tokens for r in tc.token_counts(more, cache, file).collect()}
     assert got == {9: expected(file, "three"), 8: expected(file, "four"), 7: expected(file, "four")}
