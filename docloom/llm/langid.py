@@ -23,7 +23,7 @@ ALPHA, BETA, STRENGTH = 0.5, 1.0, 5.0
 
 #: Markup; what isn't closed reaches to the end, and no tag holds another `<`, so each character is looked at a bounded number of times.
 _DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^<>]*>.*?(?:</\1[^<>]*>|\Z)|<[^<>]*>|&[#\w]{1,32};", re.S | re.I)
-_DECLARED = re.compile(r"<html\b[^<>]*?\blang\s*=\s*[\"']?\s*([A-Za-z]+)", re.I)
+_DECLARED = re.compile(r"<html\b[^<>]*?\blang\s*=\s*(?:[\"']\s*)?([A-Za-z]+)", re.I)
 
 
 def trigrams(text: str) -> np.ndarray:

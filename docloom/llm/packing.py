@@ -177,10 +177,12 @@ def pack_conversations(turns: DataFrame, file: str, special: str | None = None,
     """turns (conv_id, turn, role, text) -> pieces as of pack_documents, with conv_id as doc_id; only turns of role `bearing` bear loss.
 
     Each turn ends with END. Turns of a conversation are gathered in order of turn, role and text; a conversation is one
-    example and thus bounded. Null roles and texts count as ''; turns with a null conv_id are one example each conversation key.
+    example and thus bounded. Null roles and texts count as ''; a turn with a null conv_id is an example of its own.
     """
     ordered = F.array_sort(F.collect_list(F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))))
-    talks = turns.groupBy(F.col("conv_id").cast("long").alias("doc_id")).agg(ordered.alias("turns"))
+    alone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())
+    turns = turns.select(F.col("conv_id").cast("long").alias("doc_id"), alone.alias("_alone"), "turn", "role", "text")
+    talks = turns.groupBy("doc_id", "_alone").agg(ordered.alias("turns")).select("doc_id", "turns")
 
     def examples(b: pa.RecordBatch):
         encode = encoder(file, special).encode_to_numpy

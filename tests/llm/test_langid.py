@@ -130,3 +130,12 @@ def test_fusion_equals_brute_force(spark):
     assert got.keys() == want.keys()
     for i, (lang, p, text_lang) in want.items():
         assert (got[i].lang, got[i].text_lang) == (lang, text_lang) and math.isclose(got[i].probability, p, rel_tol=1e-6)
+
+
+def test_spaces_after_a_declaration_are_read_once():
+    import time
+
+    began = time.time()
+    assert langid._DECLARED.search("<html lang=" + " " * 100_000 + "1>") is None
+    assert langid._DECLARED.search("<html lang=" + " " * 100_000 + "'  de").group(1) == "de"
+    assert time.time() - began < 5

@@ -126,3 +126,13 @@ def test_each_limit_closes_sequences_of_conversations(spark):
     bins = got.groupby("sequence_id").agg(tokens=("length", "sum"), segments=("length", "size"))
     assert bins.tokens.max() <= packing.TOKENS and bins.segments.max() == packing.TALK_SEGMENTS
     assert (bins.tokens & (bins.tokens - 1) == 0).mean() > 0.9
+
+
+def test_turns_without_a_conversation_are_examples_of_their_own(spark):
+    rows = [(None, 0, "assistant", "the same words")] * 2000 + [(1, t, "assistant", "a turn") for t in range(3)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+    got = packing.pack_conversations(turns, FILE).collect()
+    n = len(encoder(FILE).encode_ordinary("the same words")) + 1
+    lost = [r for r in got if r.doc_id is None]
+    assert sum(r.length for r in lost) == 2000 * n and {r.doc_tokens for r in lost} == {n}
+    assert {r.doc_tokens for r in got if r.doc_id == 1} == {3 * (len(encoder(FILE).encode_ordinary("a turn")) + 1)}
