@@ -10,18 +10,19 @@ from .common import WHITE, sent_if_small, stored, table, whole, words
 #: The symbols that the base rule counts, and further marks that prose rarely has.
 SYMBOLS = "#*$%&|<>"
 MARKS = "#*$%&|<>!~^=_@{}[]\\"
-#: Metric (an integer) -> (size, step): the metric counts in steps of step / size, so step over the size's 10th percentile is what
-#: one count more makes in a short document of the group.
+#: Metric (an integer) -> (size, step, most): the metric counts in steps of step / size, so step over the size's 10th percentile is
+#: what one count more makes in a short document of the group; most is the largest value that the base rule lets pass.
 METRICS = {
-    "m_symbols": ("word_chars", 1000),
-    "m_marks": ("word_chars", 1000),
-    "m_upper": ("word_chars", 1000),
-    "m_dup_lines": ("n_lines", 1000),
-    "m_repeat": ("n_words", 10_000),
-    "m_word_len": ("word_chars", 100),
+    "m_symbols": ("word_chars", 1000, 1000),
+    "m_marks": ("word_chars", 1000, 1000),
+    "m_upper": ("word_chars", 1000, 1000),
+    "m_dup_lines": ("n_lines", 1000, 1000),
+    "m_repeat": ("n_words", 10_000, 200),
+    "m_word_len": ("word_chars", 100, None),
 }
 SIZES = ["word_chars", "n_words", "n_lines"]
-#: A group's threshold is its third quartile and SPREAD times its interquartile range or that step, whichever is larger.
+#: A group's threshold is its third quartile and SPREAD times its interquartile range or that step, whichever is larger, but not above the
+#: middle between its 99th percentile and the largest value there can be, so that each rule can reject something.
 SPREAD = 8
 #: Groups of fewer documents use the sketch of their language, and languages of fewer that of all documents.
 LEAST_GROUP = 50
@@ -104,10 +105,12 @@ def limits_sql(sketch: str) -> str:
         point = lambda q: f"min(CASE WHEN upto * 100 >= total * {q} THEN bucket END) AS q{q}"
         of = lambda m, q: f"max(CASE WHEN metric = '{m}' THEN {q} END)"
         step = lambda size, k: f"CAST(floor({k} / greatest({of(size, 'q10')}, 1)) AS BIGINT)"
-        limit = lambda m, size, k: f"{of(m, 'q75')} + {SPREAD} * greatest({of(m, 'q75 - q25')}, {step(size, k)}, 1) AS t_{m[2:]}"
+        wide = lambda m, size, k: f"{of(m, 'q75')} + {SPREAD} * greatest({of(m, 'q75 - q25')}, {step(size, k)}, 1)"
+        middle = lambda m, most: f"CAST(floor(({of(m, 'q99')} + {most}) / 2) AS BIGINT)"
+        limit = lambda m, size, k, most: f"{f'least({wide(m, size, k)}, {middle(m, most)})' if most else wide(m, size, k)} AS t_{m[2:]}"
         group = f"GROUP BY {by}" if by else ""
         return f"""SELECT {by + "," if by else ""} max(total) AS n, {", ".join(limit(m, *x) for m, x in METRICS.items())}
-          FROM (SELECT {by + "," if by else ""} metric, max(total) AS total, {point(10)}, {point(25)}, {point(75)}
+          FROM (SELECT {by + "," if by else ""} metric, max(total) AS total, {point(10)}, {point(25)}, {point(75)}, {point(99)}
             FROM (SELECT {by + "," if by else ""} metric, bucket, sum(n) OVER (PARTITION BY {by + "," if by else ""} metric ORDER BY bucket) AS upto,
                     sum(n) OVER (PARTITION BY {by + "," if by else ""} metric) AS total
                   FROM (SELECT {by + "," if by else ""} metric, bucket, sum(n) AS n FROM {sketch} GROUP BY {by + "," if by else ""} metric, bucket) s) r
@@ -138,20 +141,36 @@ def quality_rules(docs: DataFrame, carry: list[str]) -> DataFrame:
     carried = [c for c in carry if c not in own]
     base = base.select(F.struct(*[F.col(f"_row.`{c}`").alias(c) for c in carry]).alias("_row"), "text", "lang", "source")
     measured = stored(measure(base), "quality")
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    limits = sent_if_small(stored(thresholds(sketches(measured.where(~failed))), "quality-limits"), GROUPS)
-    reason = F.coalesce(F.when(failed, F.lit("base")), *[F.when(F.col(m) > F.col(f"t_{m[2:]}"), F.lit(m[2:])) for m in METRICS])
     return (
-        measured.join(limits, ["lang", "source"], "left")
-        .select(F.col("_row"), *BASE, failed.alias("base_failed"), reason.alias("reason"))
+        _judged(measured, _limits(measured))
+        .select(F.col("_row"), *BASE, _failed().alias("base_failed"), "reason")
         .select(*[F.col(f"_row.`{c}`").alias(c) for c in carried], *BASE, "base_failed", F.col("reason").isNull().alias("kept"), "reason")
     )
 
 
+def _failed() -> Column:
+    return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+
+
+def _limits(measured: DataFrame) -> DataFrame:
+    """The thresholds of each group, to be sent to every task if groups are few."""
+    return sent_if_small(stored(thresholds(sketches(measured.where(~_failed()))), "quality-limits"), GROUPS)
+
+
+def _judged(measured: DataFrame, limits: DataFrame) -> DataFrame:
+    """measured with `reason`, null for a document that stays."""
+    reason = F.coalesce(F.when(_failed(), F.lit("base")), *[F.when(F.col(m) > F.col(f"t_{m[2:]}"), F.lit(m[2:])) for m in METRICS])
+    return measured.join(limits, ["lang", "source"], "left").withColumn("reason", reason)
+
+
 def keep_good(docs: DataFrame) -> DataFrame:
-    """docs without the rows that quality_rules rejects; same columns."""
-    judged = quality_rules(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), "text", "lang", "source"), ["_doc"])
-    return judged.where("kept").select("_doc.*")
+    """docs without the rows that quality_rules rejects; same columns.
+
+    Documents are measured twice, once for the thresholds and once where they are filtered, so only counts are stored in between.
+    """
+    rows = whole(docs, "text", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"))
+    limits = _limits(stored(measure(rows.drop("_row")), "quality-measures"))
+    return _judged(measure(rows), limits).where("reason IS NULL").select("_row.*")
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -79,6 +79,33 @@ def test_sketches_decide_on_the_given_tables():
     assert rejected > 500 and changed > 0
 
 
+def test_every_rule_can_reject(make):
+    """Each threshold lies below the largest value that passes the base rule, and a document planted for each rule is rejected by it."""
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM read_parquet('/root/testdata/sf0.1/documents.parquet')")
+    steps = quality.oracle().rpartition("    j AS (SELECT m.*")[0].rstrip().rstrip(",")
+    con.execute(f"CREATE TABLE w AS {steps} SELECT * FROM w")
+    for m, (_, _, most) in quality.METRICS.items():
+        below, groups = con.execute(f"SELECT count(*) FILTER (t_{m[2:]} < {most or 100_000}), count(*) FROM w").fetchone()
+        assert below > 0.9 * groups, m
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    plain = [" ".join(word() for _ in range(60)) + "\n" + word() for _ in range(300)]
+    ten = " ".join(word() for _ in range(10))
+    planted = {
+        "symbols": " ".join(word() + "$$" for _ in range(60)),
+        "marks": " ".join(word() + "!!" for _ in range(60)),
+        "upper": " ".join(word().upper() for _ in range(60)),
+        "dup_lines": "\n".join([" ".join(word() for _ in range(60)), *["aa bb"] * 7]),
+        "repeat": f"{ten} " + " ".join(word() for _ in range(82)) + f" {ten}",
+        "word_len": " ".join(word() * 4 for _ in range(60)),
+    }
+    docs = make(list(enumerate(plain))).union(make([(1000 + k, t) for k, t in enumerate(planted.values())]))
+    got = {r.doc_id: r for r in quality.quality_rules(docs, ["doc_id"]).collect()}
+    assert all(got[i].kept for i in range(300))
+    assert [got[1000 + k].reason for k in range(6)] == list(planted)
+
+
 def test_a_group_without_a_good_document_and_extreme_texts(make):
     docs = make([(1, "too short"), (2, None)], source="bad").union(make([(3, "w " * 200_000), (4, " ".join(f"w{i}" for i in range(200_000)))], source="long"))
     assert {r.doc_id: (r.n_words, r.base_failed, r.kept) for r in quality.quality_rules(docs, ["doc_id"]).collect()} == {1: (2, True, False), 2: (0, True, False), 3: (200_000, True, False), 4: (200_000, False, True)}
