@@ -1,6 +1,6 @@
 """Prompts, history windows, request payloads and counters over tables of messages (conv_id, turn, role, text)."""
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -26,6 +26,12 @@ def prompt_change(rows: DataFrame, prompts: DataFrame, asked: str, current: str)
     return rows.join(p, F.col(asked) == F.col("_k"), "left").select(*rows.columns, ok.alias("accepted"), F.when(ok, F.col(asked)).otherwise(F.col(current)).alias("active"))
 
 
+def list_prompts(prompts: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """prompts (key, name, prompt) -> (key, name, uses): the listing, with how many of rows use each."""
+    uses = rows.groupBy(F.col(key).alias("_k")).agg(F.count("*").alias("uses"))
+    return prompts.join(uses, F.col("key") == F.col("_k"), "left").select("key", "name", F.coalesce("uses", F.lit(0)).alias("uses"))
+
+
 def with_context(prompt: Column, context: Column, heading: str = "Context:") -> Column:
     """The system prompt, with the context under a heading if there is any."""
     some = F.coalesce(context, F.lit(""))
@@ -116,7 +122,7 @@ def generate(rows: DataFrame, request: str, client: Callable[[str], str]) -> Dat
     return rows.withColumn("_g", run(F.col(request))).select("*", "_g.answer", "_g.error").drop("_g")
 
 
-def turn_pair(rows: DataFrame) -> DataFrame:
-    """Answered rows (conv_id, message, answer) -> their user and assistant rows (conv_id, part, role, text), to be appended to the log."""
+def turn_pair(rows: DataFrame, keys: Sequence[str] = ("conv_id",)) -> DataFrame:
+    """Answered rows (keys, message, answer) -> their user and assistant rows (keys, part, role, text), to be appended to the log."""
     both = F.array(F.struct(F.lit(0).alias("part"), F.lit("user").alias("role"), F.col("message").alias("text")), F.struct(F.lit(1).alias("part"), F.lit("assistant").alias("role"), F.col("answer").alias("text")))
-    return rows.where("answer IS NOT NULL").select("conv_id", F.inline(both))
+    return rows.where("answer IS NOT NULL").select(*keys, F.inline(both))

@@ -47,6 +47,47 @@ def with_embeddings(rows: DataFrame, text: str, embedder: Embedder, out: str = "
     return rows.withColumn(out, embedding(F.col(text), embedder))
 
 
+#: Texts of one request, and how often a failed request is sent again.
+AT_ONCE, RETRIES = 64, 2
+
+
+def _request(embedder, texts: list[str], retries: int) -> list[tuple[list[float] | None, str | None]]:
+    """(vector, error) of each text. A request of several texts that keeps failing is split, so that a bad text fails alone."""
+    many = getattr(embedder, "get_embeddings", None) or (lambda own: [embedder.get_embedding(t) for t in own])
+    for left in range(retries, -1, -1):
+        try:
+            found = many(texts)
+            if len(found) != len(texts):
+                raise ValueError(f"{len(found)} vectors for {len(texts)} texts")
+            return [(list(v), None) if v is not None else (None, "no vector") for v in found]
+        except Exception as e:
+            if not left and len(texts) == 1:
+                return [(None, f"{type(e).__name__}: {e}")]
+    half = len(texts) // 2
+    return _request(embedder, texts[:half], retries) + _request(embedder, texts[half:], retries)
+
+
+def embedded(rows: DataFrame, text: str, embedder, out: str = "embedding", error: str = "embedding_error", at_once: int = AT_ONCE, retries: int = RETRIES) -> DataFrame:
+    """rows with the text's vector and what kept it from having one; of the two one is null.
+
+    embedder has get_embeddings(texts), or get_embedding(text), and may raise or give None for a text. Equal texts are asked for
+    once, `at_once` of them in a request; a request that fails is sent again `retries` times, then in halves. A null text has
+    the error `no text`.
+    """
+
+    @F.pandas_udf("vector array<double>, error string")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        asked, found = texts.tolist(), []
+        for at in range(0, len(asked), at_once):
+            found += _request(embedder, asked[at : at + at_once], retries)
+        return pd.DataFrame({"vector": pd.Series([v for v, _ in found], dtype=object), "error": pd.Series([e for _, e in found], dtype=object)})
+
+    found = rows.select(F.col(text).alias("_t")).where("_t IS NOT NULL").distinct().withColumn("_e", run(F.col("_t")))
+    found = rows.join(found, F.col(text) == F.col("_t"), "left")
+    missing = F.when(F.col(text).isNull(), F.lit("no text")).otherwise(F.col("_e.error"))
+    return found.withColumns({out: F.col("_e.vector"), error: missing}).drop("_t", "_e")
+
+
 def first_working(backends: Sequence[Embedder], probe: str = "probe") -> Embedder | None:
     """The first backend that gives a vector for `probe`, as the local one if the server is away; None if none does."""
     for backend in backends:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import as_doubles, cosine
+from . import rewrite
 
 #: Queries that are sent to every task at once; rows that a task holds and groups around pivots; rows that one bound covers.
 QUERIES_AT_ONCE, HELD, GROUP = 8192, 16_384, 128
@@ -244,3 +245,8 @@ def search(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """
     found = top_k_batch(chunks, queries, k).join(chunks.select("id", "content", "metadata"), "id")
     return found.select("query_id", "rank", "content", F.col("similarity").alias("score"), "metadata")
+
+
+def with_query_for_search(requests: DataFrame, synonyms: DataFrame, message: str = "message") -> DataFrame:
+    """requests with `query_for_search`: the rewritten message, which retrieval uses; the message itself goes on to the model as it is."""
+    return rewrite.expand_synonyms(requests, synonyms, message).withColumnRenamed("expanded", "query_for_search")

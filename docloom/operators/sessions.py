@@ -4,9 +4,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def with_session(requests: DataFrame) -> DataFrame:
-    """requests with a session id: the one they name, known or not, else a new one."""
-    return requests.withColumn("session_id", F.coalesce("session_id", F.expr("uuid()")))
+def with_session(requests: DataFrame, apart: list[str] | None = None) -> DataFrame:
+    """requests with a session id: the one they name, known or not, else a new one.
+
+    apart: columns that tell requests apart, as an id or a time and a number; a new id is made of them, so a task that runs again
+    gives the same one. Without them new ids are random, and the result should be stored before it is used twice.
+    """
+    new = F.concat(F.lit("new-"), F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in apart]), 256)) if apart else F.expr("uuid()")
+    return requests.withColumn("session_id", F.coalesce("session_id", new))
 
 
 def log_rows(replies: DataFrame) -> DataFrame:
@@ -37,13 +42,16 @@ def messages(log: DataFrame) -> DataFrame:
     """(session_id, position, role, content, ts): a row for each message, numbered from 1 by ts and seq within its session.
 
     Numbers are counted within a session's hours, and the counts of earlier hours added, so a session of any length is
-    never gathered: only its rows of one hour, and its hours' counts, meet in a task.
+    never gathered: only its rows of one hour, and its hours' counts, meet in a task. Rows without a session id are a session of their own, of
+    a null id.
     """
     hour = F.coalesce(F.date_trunc("hour", F.col("ts").cast("timestamp")), F.lit("0001-01-01").cast("timestamp"))
     log, key = log.withColumn("_hour", hour), ["session_id", "_hour"]
     earlier = Window.partitionBy("session_id").orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
     before = log.groupBy(*key).agg(F.count("*").alias("_n")).select(*key, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    rows = log.withColumn("_own", F.row_number().over(Window.partitionBy(*key).orderBy("ts", "seq"))).join(before, key)
+    rows = log.withColumn("_own", F.row_number().over(Window.partitionBy(*key).orderBy("ts", "seq")))
+    before = before.select(F.col("session_id").alias("_id"), F.col("_hour").alias("_at"), "_before")
+    rows = rows.join(before, F.col("session_id").eqNullSafe(F.col("_id")) & (F.col("_hour") == F.col("_at")))
     return rows.select("session_id", (F.col("_before") + F.col("_own")).alias("position"), "role", "content", "ts")
 
 

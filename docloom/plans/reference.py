@@ -231,6 +231,17 @@ def _(spark, d):
     return rewrite.expand_synonyms(asked, _synonyms(spark)).select("conv_id", "turn", "expanded")
 
 
+@query("query_for_search", f"""
+WITH f AS (SELECT q, CASE WHEN x THEN expansion ELSE substr(q, 1, position(phrase IN lower(q)) - 1) || expansion || substr(q, position(phrase IN lower(q)) + length(phrase)) END AS e,
+        row_number() OVER (PARTITION BY q ORDER BY x DESC, length(phrase) DESC, ord) AS r
+      FROM (SELECT *, regexp_replace(lower(q), '^\\s+|\\s+$', '', 'g') = phrase AS x FROM (SELECT DISTINCT text AS q FROM conversations) JOIN {_SYN} s ON contains(lower(q), phrase)))
+SELECT conv_id, turn, text AS message, coalesce(e, text) AS query_for_search FROM conversations c LEFT JOIN f ON c.text = f.q AND r = 1 WHERE role = 'user'""")
+def _(spark, d):
+    """What a request searches by, beside what the model is told."""
+    asked = _read(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", F.col("text").alias("message"))
+    return retrieve.with_query_for_search(asked, _synonyms(spark))
+
+
 @query("abbrev_lookup", f"SELECT conv_id, turn, coalesce(expansion, w) AS expanded FROM (SELECT conv_id, turn, string_split(text, ' ')[1] AS w FROM conversations) LEFT JOIN {_SYN} s ON lower(w) = phrase")
 def _(spark, d):
     asked = _read(spark, d, "conversations").select("conv_id", "turn", F.get(F.split("text", " "), F.lit(0)).alias("w"))
@@ -256,9 +267,56 @@ def _(spark, d):
     return chat.prompt_change(rows, _prompts(spark), "asked", "now").drop("now")
 
 
-@query("prompt_list", f"SELECT key, name FROM {_PRO}")
+@query("prompt_list", f"SELECT key, name, coalesce(n, 0) AS uses FROM {_PRO} LEFT JOIN (SELECT asked, count(*) AS n FROM ({_KEYED}) GROUP BY 1) ON asked = key")
+def _(spark, d):
+    return chat.list_prompts(_prompts(spark), _keyed(spark, d), "asked")
+
+
+_ENDS = "CASE WHEN turn % 3 = 0 THEN NULL ELSE 'Re: ' || text END"
+
+
+@query("turn_pairs", f"SELECT conv_id, turn, part, CASE part WHEN 0 THEN 'user' ELSE 'assistant' END AS role, CASE part WHEN 0 THEN text ELSE {_ENDS} END AS text FROM (SELECT *, unnest([0, 1]) AS part FROM conversations WHERE {_ENDS} IS NOT NULL)")
+def _(spark, d):
+    """What a turn appends to the log: both rows if it was answered, none otherwise."""
+    rows = _read(spark, d, "conversations")
+    answered = rows.select("conv_id", "turn", F.col("text").alias("message"), F.when(F.col("turn") % 3 != 0, F.concat(F.lit("Re: "), "text")).alias("answer"))
+    return chat.turn_pair(answered, ["conv_id", "turn"])
+
+
+@query("session_ids", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'new-' || sha256(CAST(event_id AS VARCHAR)) ELSE CAST(user_id AS VARCHAR) END AS session_id FROM events")
+def _(spark, d):
+    """Every fourth request comes without a session."""
+    rows = _read(spark, d, "events").select("event_id", F.when(F.col("event_id") % 4 != 0, F.col("user_id").cast("string")).alias("session_id"))
+    return sessions.with_session(rows, ["event_id"])
+
+
+@query("saved_conversations", f"SELECT conv_id, CASE conv_id % 3 WHEN 0 THEN '2025-01-01T00:00:00' ELSE 'unknown' END AS timestamp, CASE conv_id % 3 WHEN 0 THEN '{PROMPTS['user'][0]}' ELSE 'unknown' END AS prompt_name, CAST(CASE conv_id % 3 WHEN 0 THEN count(*) ELSE 0 END AS INT) AS messages, conv_id % 3 = 2 AS error FROM conversations GROUP BY conv_id")
+def _(spark, d):
+    """Whole saved objects, empty ones and broken ones in one listing."""
+    rows = conversations.history_of(_read(spark, d, "conversations"))
+    name, prompt = PROMPTS["user"]
+    saved = conversations.as_object(F.col("history"), F.lit("2025-01-01T00:00:00"), F.lit("local"), F.lit("user"), F.lit(name), F.lit(prompt))
+    third = F.col("conv_id") % 3
+    rows = rows.select("conv_id", F.when(third == 0, saved).when(third == 1, F.lit("{}")).otherwise(F.concat(F.lit("{broken "), saved)).alias("saved"))
+    return conversations.listing(rows, "saved")
+
+
+class Refusing:
+    """Vectors of two numbers that SQL can make too: the length, and the length of the first line; texts of some lengths fail."""
+
+    def get_embeddings(self, texts: list[str]) -> list[list[float] | None]:
+        for t in texts:
+            if len(t) % 11 == 0:
+                raise ValueError(f"{len(t)} characters")
+        return [None if len(t) % 7 == 0 else [float(len(t)), float(len(t.split("\n")[0]))] for t in texts]
+
+
+@query("embedding_errors", """SELECT conv_id, turn, CASE WHEN e IS NULL THEN n END AS first, CASE WHEN e IS NULL THEN CAST(length(string_split(text, chr(10))[1]) AS DOUBLE) END AS second, e AS error
+  FROM (SELECT *, CAST(length(text) AS DOUBLE) AS n, CASE WHEN text IS NULL THEN 'no text' WHEN length(text) % 11 = 0 THEN 'ValueError: ' || length(text) || ' characters' WHEN length(text) % 7 = 0 THEN 'no vector' END AS e FROM conversations)""")
 def _(spark, d):
-    return _prompts(spark).select("key", "name")
+    """Requests of many texts in which some fail: each text has a vector or says why it has none."""
+    rows = embed.embedded(_read(spark, d, "conversations"), "text", Refusing(), retries=0)
+    return rows.select("conv_id", "turn", F.get("embedding", F.lit(0)).alias("first"), F.get("embedding", F.lit(1)).alias("second"), F.col("embedding_error").alias("error"))
 
 
 @query("history_window_10", "SELECT event_id, coalesce(string_agg(e2, ',' ORDER BY t2, i2), '') AS earlier FROM (SELECT a.event_id, b.event_type AS e2, b.ts AS t2, b.event_id AS i2 FROM (SELECT *, row_number() OVER w AS r FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) a LEFT JOIN (SELECT *, row_number() OVER w AS r FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) b ON a.user_id = b.user_id AND b.r BETWEEN a.r - 10 AND a.r - 1) GROUP BY 1")

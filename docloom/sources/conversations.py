@@ -43,15 +43,29 @@ def from_state(json: Column) -> Column:
     return F.from_json(json, schemas.CONVERSATION_STATE)
 
 
+def _listed(saved: Column | None = None) -> list[Column]:
+    """(timestamp, prompt_name, messages, error) of a saved object's fields, with defaults for what is missing."""
+    field = lambda name: F.col(name) if saved is None else saved[name]
+    prompt = field("system_prompt")["name"]
+    return [
+        F.coalesce(field("timestamp"), F.lit("unknown")).alias("timestamp"),
+        F.coalesce(prompt, F.lit("unknown")).alias("prompt_name"),
+        F.when(field("history").isNull(), 0).otherwise(F.size(field("history"))).alias("messages"),
+        field("_broken").isNotNull().alias("error"),
+    ]
+
+
+_SAVED = T.StructType([*schemas.CONVERSATION_OBJECT.fields, T.StructField("_broken", T.StringType())])
+_READ = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}
+
+
+def listing(rows: DataFrame, json: str) -> DataFrame:
+    """rows with (timestamp, prompt_name, messages, error) of the saved object in column `json`; what can't be read has error true."""
+    rows = rows.withColumn("_saved", F.from_json(json, _SAVED, _READ))
+    return rows.select(*[c for c in rows.columns if c not in ("_saved", json)], *_listed(F.col("_saved")))
+
+
 def list_saved(spark: SparkSession, folder: str) -> DataFrame:
     """(path, timestamp, prompt_name, messages, error) for each saved object in a folder; an unreadable file has error true."""
-    schema = T.StructType([*schemas.CONVERSATION_OBJECT.fields])
-    schema.add("_broken", "string")
-    rows = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken").option("pathGlobFilter", "*.json").json(folder)
-    return rows.select(
-        F.col("_metadata.file_path").alias("path"),
-        F.coalesce("timestamp", F.lit("unknown")).alias("timestamp"),
-        F.coalesce("system_prompt.name", F.lit("unknown")).alias("prompt_name"),
-        F.when(F.col("history").isNull(), 0).otherwise(F.size("history")).alias("messages"),
-        F.col("_broken").isNotNull().alias("error"),
-    )
+    rows = spark.read.schema(_SAVED).options(multiLine=True, pathGlobFilter="*.json", **_READ).json(folder)
+    return rows.select(F.col("_metadata.file_path").alias("path"), *_listed())

@@ -256,3 +256,53 @@ def test_backends_and_their_answers(spark):
     assert embed.first_working([Away(), own]) is own and embed.first_working([Away()]) is None
     rows = spark.createDataFrame([('{"data": [{"id": "m"}]}',), ('{"data": []}',), ("broken",), (None,)], "a string")
     assert [r.c for r in rows.select(models.connected("a").alias("c")).collect()] == [True, False, False, False]
+
+
+class Flaky:
+    """Fails twice, then answers; one instance counts within a worker."""
+
+    def __init__(self):
+        self.left = 2
+
+    def get_embedding(self, text):
+        if self.left:
+            self.left -= 1
+            raise TimeoutError
+        return [1.0]
+
+
+def test_embeddings_say_why_they_are_missing(spark):
+    class Server:
+        """Refuses requests of more than four texts, fails for texts with `bad`, has nothing for `none`."""
+
+        def get_embeddings(self, texts):
+            if len(texts) > 4 or any("bad" in t for t in texts):
+                raise ConnectionError("refused")
+            return [None if t == "none" else [float(len(t))] for t in texts]
+
+    texts = ["a", "bb", "bad one", "none", None, "bb", "ccc", "dddd", "eeeee"]
+    got = embed.embedded(spark.createDataFrame(list(enumerate(texts)), "i int, t string"), "t", Server(), retries=0).collect()
+    want = {0: ([1.0], None), 1: ([2.0], None), 2: (None, "ConnectionError: refused"), 3: (None, "no vector"), 4: (None, "no text"), 5: ([2.0], None), 6: ([3.0], None), 7: ([4.0], None), 8: ([5.0], None)}
+    assert {r.i: (r.embedding, r.embedding_error) for r in got} == want and len(got) == len(texts)
+
+
+def test_requests_are_sent_again_and_equal_texts_asked_once(spark):
+    assert embed._request(Flaky(), ["x"], 2) == [([1.0], None)]
+    assert embed._request(Flaky(), ["x"], 1) == [(None, "TimeoutError: ")]
+    asked = []
+
+    class Counting:
+        def get_embeddings(self, texts):
+            asked.extend(texts)
+            return [[float(len(asked))]] * len(texts)
+
+    rows = spark.createDataFrame([("same",)] * 50, "t string").repartition(5)
+    assert {tuple(r.embedding) for r in embed.embedded(rows, "t", Counting()).collect()} == {(1.0,)}
+
+
+def test_a_wrong_number_of_vectors_is_an_error():
+    class Short:
+        def get_embeddings(self, texts):
+            return []
+
+    assert embed._request(Short(), ["x", "y"], 0) == [(None, "ValueError: 0 vectors for 1 texts")] * 2

@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from docloom import schemas
 from docloom.sources import conversations, files, models
+from docloom.operators import sessions
+from docloom.streaming.conversations import conversation_stream, request
 from docloom.streaming.sessions import session_stream
 
 
@@ -132,3 +134,47 @@ def test_missing_paths_leave_the_others(spark, tmp_path):
     got = files.read_texts(spark, [str(tmp_path), str(tmp_path / "missing"), "/nowhere/*.txt"])
     assert [r.filename for r in got.collect()] == ["a.txt"]
     assert files.read_texts(spark, str(tmp_path / "missing")).count() == 0
+
+
+def test_conversation_stream_is_a_plain_loop(spark, tmp_path):
+    def client(body):
+        """Says how many messages it was sent, and the last; refuses some."""
+        said = json.loads(body)["messages"]
+        if said[-1]["content"].endswith("3"):
+            raise TimeoutError("late")
+        return None if said[-1]["content"].endswith("5") else f"{len(said)} {said[-1]['content']}"
+
+    schema, rows = "conv_id string, ts long, seq long, message string", []
+    for part in range(3):
+        new = [(f"c{i % 2}", part, i, f"m{i % 10}") for i in range(part * 14, part * 14 + 14)] + [(None, part, 99, "lost"), ("c0", part, 98, "  ")]
+        rows += [r for r in new if r[0] and r[3].strip()]
+        spark.createDataFrame(new, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = conversation_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), client, "local", "be brief", sent=4, keep=6)
+    stream.writeStream.format("memory").queryName("talks_seen").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    history, want = {}, set()
+    for c, _, i, message in sorted(rows, key=lambda r: r[1:3]):
+        own, answer, error = history.setdefault(c, []), None, None
+        try:
+            answer = client(request(own[-4:], message, "local", "be brief"))
+            error = None if answer else "no answer"
+        except TimeoutError as e:
+            error = f"TimeoutError: {e}"
+        if answer:
+            own += [("user", message), ("assistant", answer)]
+            del own[:-6]
+        want.add((c, i, answer, error, len(own)))
+    assert set(map(tuple, spark.table("talks_seen").collect())) == want
+    assert {w[3] for w in want} == {None, "no answer", "TimeoutError: late"} and max(w[4] for w in want) == 6
+
+
+def test_new_sessions_keep_their_ids_when_a_task_runs_again(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, None), (3, None)], "seq long, session_id string")
+    found = sessions.with_session(rows, ["seq"])
+    first, again = ({r.seq: r.session_id for r in found.collect()} for _ in range(2))
+    assert first == again and first[1] == "a" and len(set(first.values())) == 3
+
+
+def test_messages_without_a_session_are_numbered_too(spark):
+    log = spark.createDataFrame([(None, 1, 2, "user", "b"), (None, 1, 1, "user", "a"), ("s", 1, 1, "user", "c")], "session_id string, ts long, seq long, role string, content string")
+    got = {(r.session_id, r.position, r.content) for r in sessions.messages(log.withColumn("ts", F.timestamp_seconds("ts"))).collect()}
+    assert got == {(None, 1, "a"), (None, 2, "b"), ("s", 1, "c")}
