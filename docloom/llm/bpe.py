@@ -16,8 +16,10 @@ from .vocab import read_ranks, split_pattern, vocabulary_file
 
 #: Text that is worked on at once, distinct pieces of a recursive query, pieces that a worker remembers, tokens of a decoding query.
 CHARS, PIECES, KNOWN, TOKENS = 1 << 22, 1 << 14, 800_000, 1 << 18
-#: Pieces from this many bytes on are contracted in many places at once; rows of all rounds that such a query may keep.
-LONG, KEPT = 256, 1 << 21
+#: Pieces from this many bytes on are encoded by tiles; rows of all rounds that a query may keep.
+LONG, KEPT = 256, 1 << 23
+#: Bytes of a tile (each starts in the middle of the one before), tiles that are encoded together, bytes of wider windows.
+TILE, TILES, WIDE = 64, 8192, (1024, 16384)
 
 #: A word's rows are its tokens by position. Each round joins neighbours with the merge table, takes each word's pair of
 #: least rank (the leftmost of equals, as the number holds rank, then position), contracts it and closes the gap; words
@@ -36,7 +38,7 @@ WITH RECURSIVE s(round, w, pos, tok) AS (
     WHERE s.pos <> b.at + 1)
 SELECT s.w, tok FROM s JOIN (SELECT w, max(round) AS last FROM s GROUP BY w) f ON s.w = f.w AND s.round = f.last ORDER BY s.w, pos"""
 
-#: The same for long pieces, in many places of a word in one round. A pair is contracted if it has the least rank, and is the
+#: The same for stretches of long pieces, in many places of a word in one round. A pair is contracted if it has the least rank, and is the
 #: leftmost of that rank, among all pairs within {reach} tokens, the length of the longest token: whatever is contracted
 #: farther away before it can't grow up to it. Other pairs of that rank (a line of dashes has many) are contracted in the
 #: same round, in a run of overlapping ones each second from the left, if the whole run has the least rank and no pair of
@@ -110,52 +112,127 @@ def _contract(con, sql: str, rows: dict[str, np.ndarray]) -> dict[str, np.ndarra
     return {k: np.asarray(v) for k, v in got.items()}
 
 
-def encode_pieces(pieces: list[bytes], file: str) -> list[bytes]:
-    """The ids of each distinct piece, as the bytes of 32-bit numbers; a piece that is a token itself is that token.
+def _contracted(pieces: list[bytes], con, ranks: dict[bytes, int]) -> list[np.ndarray]:
+    """The ids of each piece, all of them short: as many at once as keep a bounded number of rows over all rounds."""
+    out, at = [], 0
+    while at < len(pieces):
+        to, kept = at, 0
+        while to < len(pieces) and (to == at or to - at < PIECES and kept + len(pieces[to]) ** 2 // 2 <= KEPT):
+            kept += len(pieces[to]) ** 2 // 2
+            to += 1
+        got = _contract(con, ENCODE, _rows(pieces[at:to], ranks))
+        ends = np.searchsorted(got["w"], np.arange(1, to - at))
+        out += np.split(got["tok"].astype(np.int32), ends)
+        at = to
+    return out
+
+
+def _fixpoint(stretch: bytes, con, ranks: dict[bytes, int]) -> np.ndarray:
+    """The ids of one stretch, contracted in many places a round; the query starts again from its last round's rows as often as needed."""
+    rows, before, reach = _rows([stretch], ranks), -1, max(map(len, ranks))
+    while len(rows["tok"]) != before:
+        before = len(rows["tok"])
+        rows = _contract(con, ENCODE_LONG.format(reach=reach, rounds=max(1, KEPT // 4 // before)), rows)
+    return rows["tok"].astype(np.int32)
+
+
+class _Tokens:
+    """The tokens of a stretch of a piece, and where they start in the piece."""
 
-    Long pieces go through a query of their own each, which starts again from its last round's rows as often as needed,
-    so that only a bounded number of rounds is kept at a time.
+    def __init__(self, at: int, ids: np.ndarray, sizes: np.ndarray):
+        starts = at + np.concatenate([[0], np.cumsum(sizes[ids])])
+        self.ids, self.starts, self.end = ids, starts[:-1].tolist(), int(starts[-1])
+        self.place = {x: k for k, x in enumerate(zip(self.starts, ids.tolist(), strict=True))}
+
+    def meets(self, other: _Tokens, since: int) -> tuple[int, int] | None:
+        """The last token from number `since` on that both have, by its numbers here and there."""
+        both = self.place.keys() & other.place.keys()
+        k = max((self.place[x] for x in both), default=-1)
+        return None if k < max(since, 0) else (k, other.place[self.starts[k], int(self.ids[k])])
+
+
+def _encode_long(piece: bytes, con, ranks: dict[bytes, int], sizes: np.ndarray) -> np.ndarray:
+    """The ids of a piece of any length, in memory that doesn't grow with the work of its rounds.
+
+    Overlapping stretches are encoded on their own and put together where both have the same token. That is exact: tokens are
+    the encoding of their text if each two neighbours are that of theirs, as the first contraction across a border would take
+    place between these two alone as well. Neighbours within a stretch are, and a shared token stands in both stretches. Tiles are tried first, all
+    by one query; where two of them share no token (in periodic text their phases may differ) wider windows from a token's
+    start on, at last the whole piece.
     """
+    half, tiles, wide = TILE // 2, {}, {}
+
+    def tile(at: int) -> _Tokens:
+        if at not in tiles:
+            tiles.clear()
+            texts = {s: piece[s : s + TILE] for s in range(at, min(len(piece), at + TILES * half), half)}
+            distinct = list(set(texts.values()))
+            ids = dict(zip(distinct, _contracted(distinct, con, ranks), strict=True))
+            tiles.update((s, ids[t]) for s, t in texts.items())
+        return _Tokens(at, tiles[at], sizes)
+
+    def window(at: int, size: int) -> _Tokens:
+        text = piece[at : at + size]
+        if text not in wide:
+            if len(wide) >= 64:
+                wide.clear()
+            wide[text] = _fixpoint(text, con, ranks)
+        return _Tokens(at, wide[text], sizes)
+
+    def following():
+        """Stretches that reach farther than the present one, by the work they take."""
+        yield tile((now.end - half) // half * half)
+        margin = min(max(map(len, ranks)), (now.end - now.starts[0]) // 2)
+        late = max(k for k, s in enumerate(now.starts) if s <= now.end - margin)
+        for size in WIDE:
+            for k in sorted({max(late, done - 1, 0), max(done - 1, 0)}, reverse=True):
+                if now.starts[k] + size > now.end:
+                    yield window(now.starts[k], size)
+
+    out, now, done = [], tile(0), 0
+    while now.end < len(piece):
+        found = next(((x, m) for x in following() if (m := now.meets(x, done - 1))), None)
+        if found is None:
+            return _fixpoint(piece, con, ranks)
+        then, (here, there) = found
+        out.append(now.ids[done : here + 1])
+        now, done = then, there + 1
+    return np.concatenate([*out, now.ids[done:]])
+
+
+def encode_pieces(pieces: list[bytes], file: str) -> list[bytes]:
+    """The ids of each distinct piece, as the bytes of 32-bit numbers; a piece that is a token itself is that token."""
     con, ranks = _database(file)
     out = [np.int32(ranks[p]).tobytes() if p in ranks else b"" for p in pieces]
     todo = [i for i, p in enumerate(pieces) if p not in ranks]
-    short, reach = [i for i in todo if len(pieces[i]) < LONG], max(map(len, ranks))
-    for at in range(0, len(short), PIECES):
-        part = short[at : at + PIECES]
-        got = _contract(con, ENCODE, _rows([pieces[i] for i in part], ranks))
-        ends, ids = 4 * np.searchsorted(got["w"], np.arange(len(part) + 1)), got["tok"].astype(np.int32).tobytes()
-        for i, a, b in zip(part, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-            out[i] = ids[a:b]
-    for i in todo:
-        if len(pieces[i]) >= LONG:
-            rows, before = _rows([pieces[i]], ranks), -1
-            while len(rows["tok"]) != before:
-                before = len(rows["tok"])
-                rows = _contract(con, ENCODE_LONG.format(reach=reach, rounds=max(1, KEPT // before)), rows)
-            out[i] = rows["tok"].astype(np.int32).tobytes()
+    short, long = [i for i in todo if len(pieces[i]) < LONG], [i for i in todo if len(pieces[i]) >= LONG]
+    for i, ids in zip(short, _contracted([pieces[i] for i in short], con, ranks), strict=True):
+        out[i] = ids.tobytes()
+    if long:
+        sizes = np.zeros(max(ranks.values()) + 1, np.int64)
+        sizes[list(ranks.values())] = [len(t) for t in ranks]
+        for i in long:
+            out[i] = _encode_long(pieces[i], con, ranks, sizes).tobytes()
     return out
 
 
 def decode_ids(lists: list[np.ndarray], file: str) -> list[bytes]:
-    """The bytes of each list of ids."""
+    """The bytes of each list of ids; a query takes TOKENS ids at most, so a long list goes through several."""
     con, _ = _database(file)
-    out, at = [], 0
-    while at < len(lists):
+    cuts = [(i, x[k : k + TOKENS]) for i, x in enumerate(lists) for k in range(0, len(x), TOKENS)]
+    out, at = [[] for _ in lists], 0
+    while at < len(cuts):
         to, n = at, 0
-        while to < len(lists) and (to == at or n + len(lists[to]) <= TOKENS):
-            n += len(lists[to])
+        while to < len(cuts) and (to == at or n + len(cuts[to][1]) <= TOKENS):
+            n += len(cuts[to][1])
             to += 1
-        lens = np.array([len(x) for x in lists[at:to]])
-        d = np.repeat(np.arange(to - at, dtype=np.int32), lens)
-        pos = np.arange(len(d), dtype=np.int64)
-        part = [b""] * (to - at)
-        con.register("ids", pa.table({"d": d, "pos": pos, "tok": np.concatenate([*lists[at:to], np.zeros(0, np.int32)]).astype(np.int32)}))
-        for i, h in con.execute(DECODE).fetchall():
-            part[i] = bytes.fromhex(h)
+        d = np.repeat(np.arange(at, to, dtype=np.int32), [len(x) for _, x in cuts[at:to]])
+        con.register("ids", pa.table({"d": d, "pos": np.arange(len(d), dtype=np.int64), "tok": np.concatenate([x for _, x in cuts[at:to]]).astype(np.int32)}))
+        for k, h in con.execute(DECODE).fetchall():
+            out[cuts[k][0]].append(bytes.fromhex(h))
         con.unregister("ids")
-        out += part
         at = to
-    return out
+    return [b"".join(x) for x in out]
 
 
 class _Memory:
@@ -208,7 +285,7 @@ def encode_documents(docs: DataFrame, file: str) -> DataFrame:
 
     Null and empty texts have no ids. Rows stay in their task, repeated rows and null doc_ids too; other columns are
     not read. Only distinct pieces of a task's text go through the recursive query. A piece of n bytes takes up to n
-    rounds over n rows, but a long one (no space or mark in LONG bytes) is contracted in many places in one round.
+    rounds over n rows; a long one (no space or mark in LONG bytes) is encoded by overlapping tiles, so its length is no limit.
     """
 
     def run(batches):

@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import numpy as np
+
 from docloom.llm import bpe
 from docloom.llm.vocab import encoder, vocabulary_file
 
@@ -54,5 +56,36 @@ def test_long_pieces_equal_the_library(monkeypatch):
     m, e = bpe._memory(FILE), encoder(FILE)
     for t in texts:
         assert m.encode([t])[0].tolist() == e.encode_ordinary(t)
-    monkeypatch.setattr(bpe, "KEPT", 3000)  # the query starts again and again
-    assert bpe.encode_pieces([texts[3].encode()], FILE) == [m.encode([texts[3]])[0].tobytes()]
+    monkeypatch.setattr(bpe, "KEPT", 12000)  # queries take few pieces, and start again and again
+    monkeypatch.setattr(bpe, "TILES", 7)
+    got = bpe.encode_pieces([t.encode() for t in texts[3:14]], FILE)
+    assert [np.frombuffer(x, np.int32).tolist() for x in got] == [e.encode_ordinary(t) for t in texts[3:14]]
+    con, ranks = bpe._database(FILE)
+    assert bpe._fixpoint(texts[3].encode(), con, ranks).tolist() == e.encode_ordinary(texts[3])
+
+
+def test_tiles_that_share_no_token_are_bridged():
+    """Periodic text has other borders in each tile; changes of phase, and stretches of any text between."""
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("etaoinshrdlu") for _ in range(n))
+    texts = [word(k) * (3000 // k) for k in (1, 2, 3, 5, 7, 11, 40, 63, 65, 130)]
+    texts += ["".join(word(rng.randrange(1, 9)) * rng.randrange(1, 60) + word(rng.randrange(200)) for _ in range(8)) for _ in range(6)]
+    texts += ["".join(chr(rng.choice([0x4E00, 0x4E01, 0x4E8C])) for _ in range(2000)), "a" * 5000 + "b" + "a" * 5000]
+    m, e = bpe._memory(FILE), encoder(FILE)
+    for t in texts:
+        assert m.encode([t])[0].tolist() == e.encode_ordinary(t)
+
+
+def test_a_piece_of_megabytes_is_encoded_and_decoded():
+    rng = random.Random(8)
+    e = encoder(FILE)
+    for t in ["".join(rng.choices("etaoinshrdlu", k=1_000_000)) * 3, "-" * 5_000_000]:
+        ids = bpe._memory(FILE).encode([t])[0]
+        assert ids.tolist() == e.encode_ordinary(t) and bpe.decode_ids([ids], FILE) == [t.encode()]
+
+
+def test_many_pieces_just_under_the_long_ones():
+    rng = random.Random(9)
+    texts = ["".join(rng.choices("etaoinshrdlu", k=250)) for _ in range(1000)]
+    got = bpe.encode_pieces([t.encode() for t in texts], FILE)
+    assert [np.frombuffer(x, np.int32).tolist() for x in got] == [encoder(FILE).encode_ordinary(t) for t in texts]
