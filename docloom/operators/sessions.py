@@ -60,3 +60,21 @@ def lookup(log: DataFrame, asked: DataFrame) -> DataFrame:
     counts = log.groupBy("session_id").agg(F.count("*").alias("message_count"))
     found = asked.join(counts, "session_id", "left")
     return found.select("session_id", F.when(F.col("message_count").isNull(), 404).otherwise(200).alias("status"), F.coalesce("message_count", F.lit(0)).alias("message_count"))
+
+
+def visits(log: DataFrame, idle: int = 1800) -> DataFrame:
+    """(session_id, opened, last, message_count, user_messages): a session's stretches without more than `idle` seconds between messages.
+
+    Stretches are found within a session's hours first, and those that touch are then joined, so a session of any length is never
+    gathered: only its rows of one hour, and its stretches, meet in a task. Rows without a ts are left out; those without a session id
+    are a session of their own, of a null id.
+    """
+    one, ts = F.lit(1).cast("long"), F.col("ts")
+    by_user = F.coalesce((F.col("role") == "user").cast("long"), F.lit(0))
+    rows = log.where("ts IS NOT NULL").select("session_id", F.date_trunc("hour", "ts").alias("_hour"), ts.alias("opened"), ts.alias("last"), one.alias("message_count"), by_user.alias("user_messages"))
+    for key in (["session_id", "_hour"], ["session_id"]):
+        order = Window.partitionBy(*key).orderBy("opened", "last")
+        gap = F.col("opened") - F.lag("last").over(order) > F.make_dt_interval(secs=F.lit(idle))
+        rows = rows.withColumn("_new", F.coalesce(gap, F.lit(True)).cast("int")).withColumn("_stretch", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        rows = rows.groupBy(*key, "_stretch").agg(F.min("opened").alias("opened"), F.max("last").alias("last"), F.sum("message_count").alias("message_count"), F.sum("user_messages").alias("user_messages"))
+    return rows.select("session_id", "opened", "last", "message_count", "user_messages")

@@ -389,6 +389,14 @@ def _(spark, d):
     return sessions.history(_log(spark, d), 10).select("session_id", "message_count", F.array_join("messages.content", ",").alias("contents"))
 
 
+@query("session_visits", """SELECT session_id, min(ts) AS opened, max(ts) AS last, count(*) AS message_count, count(*) AS user_messages FROM (
+  SELECT *, sum(CASE WHEN epoch_us(ts) - epoch_us(p) <= 259200000000 THEN 0 ELSE 1 END) OVER (PARTITION BY session_id ORDER BY ts, event_id) AS stretch
+  FROM (SELECT CAST(user_id AS VARCHAR) AS session_id, event_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events)) GROUP BY session_id, stretch""")
+def _(spark, d):
+    """Stretches of a user's events without three days between them."""
+    return sessions.visits(_log(spark, d), 3 * 86400)
+
+
 @query("active_sessions", "SELECT count(DISTINCT user_id) AS active_sessions FROM events")
 def _(spark, d):
     return sessions.active(_log(spark, d))
@@ -527,6 +535,19 @@ def _(spark, d):
     return first.unionByName(store.read().select("filename", "chunk_id", "content", F.lit("appended").alias("step")))
 
 
+@query("store_ingest", CHUNKS_SQL + """ SELECT filename, chunk_id, content, CAST(CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 2 END AS BIGINT) AS version
+  FROM chunks JOIN (SELECT doc_id, 'doc_' || doc_id || '.txt' AS filename FROM documents) USING (filename)""")
+def _(spark, d):
+    """Documents as files, two of three of them longer at first: the second ingest chunks those alone, and a third one finds nothing new."""
+    name = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    store, new = _store(spark, "ingest"), _read(spark, d, "documents").select("doc_id", name.alias("path"), name.alias("filename"), "text")
+    old = new.withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise(F.concat("text", F.lit(" "), "text")))
+    chunks = lambda texts: chunk.chunk_rows(texts, F.col("filename"), F.col("text"))
+    for texts in (old, new, new):
+        store.ingest(texts, chunks)
+    return store.read().join(store.ledger().select("filename", "version"), "filename").select("filename", "chunk_id", "content", "version")
+
+
 @query("completion_response", "SELECT conv_id, turn, text AS content, CASE WHEN turn % 2 = 0 THEN length(text) ELSE 0 END AS total_tokens, 'm' || turn || ',n' AS models, 'm' || turn AS first_model, true AS connected FROM conversations")
 def _(spark, d):
     """Answers of model servers, read back from their JSON."""

@@ -6,6 +6,7 @@ import functools
 import json
 import os
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,11 +24,20 @@ def _matches(spark: SparkSession, path: str) -> bool:
 
 
 def read_texts(spark: SparkSession, paths: list[str] | str, suffixes=SUFFIXES) -> DataFrame:
-    """(path, filename, text) of the text files under paths: whole files, line ends as \\n. Other suffixes, files that aren't valid UTF-8 and missing paths give no row."""
+    """(path, filename, text) of the text files under paths: whole files, line ends as \\n. Other suffixes, files that are empty or not valid UTF-8 and missing paths give no row."""
     found = [p for p in ([paths] if isinstance(paths, str) else paths) if _matches(spark, p)]
     if not found:
         return spark.createDataFrame([], "path string, filename string, text string")
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(found)
+    return _texts(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(found), suffixes)
+
+
+def text_stream(spark: SparkSession, folder: str, suffixes=SUFFIXES, files_at_once: int = 1000) -> DataFrame:
+    """The same rows as a stream of the files that come to a folder. A path is read once; files that change in place are found by reading the folder again (`ChunkStore.ingest`)."""
+    source = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
+    return _texts(source.option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_at_once).load(folder), suffixes)
+
+
+def _texts(raw: DataFrame, suffixes) -> DataFrame:
     good = raw.where(has_suffix(F.col("path"), suffixes)).where("is_valid_utf8(CAST(content AS STRING))")
     return good.select("path", basename(F.col("path")).alias("filename"), F.regexp_replace(F.col("content").cast("string"), "\r\n?", "\n").alias("text"))
 
@@ -40,7 +50,8 @@ class ChunkStore:
     """Chunk rows as data files under one folder, and a log that says which of them are the store.
 
     `_log/<version>.json` is one commit: the data folder it adds, what the new rows replace (nothing, rows of their
-    (filename, chunk_id), or all rows of their filenames), whether all older rows go, and the batch it came from. A commit's
+    (filename, chunk_id), or all rows of their filenames), whether all older rows go, the batch it came from, and whether
+    digests of whole files lie beside its rows. A commit's
     data is written first and counts once its file is there, so a reader never sees half of one, and each write costs what it
     brings. Of two writers one gets a version and the other tries the next one: both commits stay. Replaced names are kept as
     tombstones beside the data; older rows of theirs are left out when reading and gone after `compact`.
@@ -49,7 +60,8 @@ class ChunkStore:
     overwrite elsewhere, as in HDFS. A store that overwrites on rename is good for one writer at a time.
     """
 
-    LOG = "version long, data string, replaces string, clears boolean, batch string"
+    LOG = "version long, data string, replaces string, clears boolean, batch string, ledger boolean"
+    LEDGER = T.StructType([T.StructField("filename", T.StringType()), T.StructField("path", T.StringType()), T.StructField("digest", T.StringType())])
     #: Columns whose values new rows replace, by what a commit says.
     KEYS = {"nothing": [], "chunks": ["filename", "chunk_id"], "files": ["filename"]}
     TRIES = 100
@@ -90,11 +102,11 @@ class ChunkStore:
         finally:
             self._fs.delete(draft, False)
 
-    def _commit(self, replaces: str = "nothing", data: str | None = None, clears: bool = False, batch: str | None = None, read: int | None = None) -> int:
+    def _commit(self, replaces: str = "nothing", data: str | None = None, clears: bool = False, batch: str | None = None, read: int | None = None, ledger: bool = False) -> int:
         """Adds a commit after the newest one; with `read` only if that is still the newest."""
         version = self.version() if read is None else read
         for _ in range(self.TRIES):
-            if self._put(version + 1, {"data": data, "replaces": replaces, "clears": clears, "batch": batch}):
+            if self._put(version + 1, {"data": data, "replaces": replaces, "clears": clears, "batch": batch, "ledger": ledger}):
                 return version + 1
             if read is not None:
                 break
@@ -107,14 +119,48 @@ class ChunkStore:
         layers = [(r, f"{self.folder}/{r.data}") for r in log if r.data]
         if not layers:
             return self.spark.createDataFrame([], schemas.CHUNK)
-        rows = self._read(layers, "rows", schemas.CHUNK)
+        return self._live(layers, self._read(layers, "rows", schemas.CHUNK)).drop("_version")
+
+    def _live(self, layers: list, rows: DataFrame) -> DataFrame:
+        """rows without those that a later commit has replaced."""
         for how, key in self.KEYS.items():
+            if not set(key) <= set(rows.columns):
+                continue
             if gone := [x for x in layers if x[0].replaces == how and key]:
                 kinds = T.StructType([schemas.CHUNK[c] for c in key])
                 cut = self._read(gone, "replaced", kinds).groupBy(*[F.col(c).alias(f"_{c}") for c in key]).agg(F.max("_version").alias("_cut"))
                 same = functools.reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key])
                 rows = rows.join(cut, same, "left").where("_cut IS NULL OR _version >= _cut").drop("_cut", *[f"_{c}" for c in key])
-        return rows.drop("_version")
+        return rows
+
+    def ledger(self) -> DataFrame:
+        """(filename, path, digest, version): the content of each file that `ingest` brought and nothing has replaced or removed since, and the commit it came with."""
+        layers = [(r, f"{self.folder}/{r.data}") for r in self._log() if r.data]
+        if not (kept := [x for x in layers if x[0].ledger]):
+            return self.spark.createDataFrame([], "filename string, path string, digest string, version long")
+        return self._live(layers, self._read(kept, "files", self.LEDGER)).withColumn("version", F.col("_version").cast("long")).drop("_version")
+
+    def ingest(self, texts: DataFrame, chunks: Callable[[DataFrame], DataFrame], batch: str | None = None) -> int | None:
+        """Brings files (path, filename, text) whose content the ledger does not have; returns the commit's version, None if nothing is new.
+
+        Only such files are chunked, by chunks(texts), and theirs replace all older rows of the filename, also if there are none, as
+        for a null text. Rows and digests are one commit, so a run that breaks off has done nothing, and a batch that was committed, or
+        comes again, writes nothing. Of files of one name the last by path counts, and rows without a name or path are left out. Names and digests are what is joined; texts are not shuffled for the comparison.
+        """
+        if batch is not None and batch in self.batches():
+            return None
+        texts = texts.where("filename IS NOT NULL AND path IS NOT NULL").select("path", "filename", "text")
+        found = texts.groupBy("filename").agg(F.max(F.struct("path", F.coalesce(F.sha2("text", 256), F.lit("")).alias("digest"))).alias("_f")).select("filename", "_f.path", "_f.digest")
+        data = f"data/{uuid.uuid4().hex}"
+        found.join(self.ledger().select("filename", "digest"), ["filename", "digest"], "left_anti").select(*self.LEDGER.names).write.parquet(f"{self.folder}/{data}/files")
+        new = self.spark.read.schema(self.LEDGER).parquet(f"{self.folder}/{data}/files")
+        if new.isEmpty():
+            self._fs.delete(self._path(f"{self.folder}/{data}"), True)
+            return None
+        rows = chunks(texts.join(new.select("filename", "path"), ["filename", "path"], "left_semi"))
+        rows.select(*[F.col(f.name).cast(f.dataType) for f in schemas.CHUNK]).write.parquet(f"{self.folder}/{data}/rows")
+        new.select("filename").write.parquet(f"{self.folder}/{data}/replaced")
+        return self._commit("files", data, batch=batch, ledger=True)
 
     def _read(self, layers: list, what: str, schema: T.StructType) -> DataFrame:
         """Rows of commits' folders with their `_version`."""
@@ -155,7 +201,9 @@ class ChunkStore:
     def compact(self) -> int:
         """Rewrites the store as one commit; CommitConflict if another came in between, and nothing has changed then."""
         read = self.version()
-        return self._commit(data=self._written(self.read(read), "nothing"), clears=True, read=read)
+        data = self._written(self.read(read), "nothing")
+        self.ledger().select(*self.LEDGER.names).write.parquet(f"{self.folder}/{data}/files")
+        return self._commit(data=data, clears=True, read=read, ledger=True)
 
     def batches(self) -> set[str]:
         """The batches that commits since the last clearing name."""

@@ -5,9 +5,10 @@ from pyspark.sql import functions as F
 
 from docloom import schemas
 from docloom.sources import conversations, files, models
-from docloom.operators import sessions
+from docloom.operators import chunk, sessions
 from docloom.streaming.conversations import conversation_stream, request
-from docloom.streaming.sessions import session_stream
+from docloom.streaming.ingest import ingest_stream
+from docloom.streaming.sessions import session_stream, visit_stream
 
 
 def chunk_row(name, i, text):
@@ -178,3 +179,88 @@ def test_messages_without_a_session_are_numbered_too(spark):
     log = spark.createDataFrame([(None, 1, 2, "user", "b"), (None, 1, 1, "user", "a"), ("s", 1, 1, "user", "c")], "session_id string, ts long, seq long, role string, content string")
     got = {(r.session_id, r.position, r.content) for r in sessions.messages(log.withColumn("ts", F.timestamp_seconds("ts"))).collect()}
     assert got == {(None, 1, "a"), (None, 2, "b"), ("s", 1, "c")}
+
+
+def chunks_of(texts):
+    return chunk.chunk_rows(texts, F.col("filename"), F.col("text"))
+
+
+def test_ingest_brings_what_is_new_and_nothing_twice(spark, tmp_path):
+    folder, store = tmp_path / "in", files.ChunkStore(spark, str(tmp_path / "store"))
+    folder.mkdir()
+    written = lambda: set((tmp_path / "store").rglob("*"))
+    content = lambda: sorted((r.filename, r.chunk_id) for r in store.read().collect())
+    bring = lambda batch=None: store.ingest(files.read_texts(spark, str(folder)), chunks_of, batch)
+    assert bring() is None and store.version() == 0
+    (folder / "a.txt").write_text("word " * 400)
+    (folder / "b.txt").write_text("b")
+    assert bring("x") == 1 and {f for f, _ in content()} == {"a.txt", "b.txt"} and len(content()) > 3
+    before = written()
+    assert bring("y") is None and written() == before
+    (folder / "a.txt").write_text("short")
+    assert bring("x") is None and written() == before
+    assert bring("z") == 2 and content() == [("a.txt", 0), ("b.txt", 0)]
+    assert {r.filename: r.version for r in store.ledger().collect()} == {"a.txt": 2, "b.txt": 1}
+    gone = spark.createDataFrame([("p/a.txt", "a.txt", None)], "path string, filename string, text string")
+    assert store.ingest(gone, chunks_of) == 3 and content() == [("b.txt", 0)]
+    (folder / "a.txt").unlink()
+    store.compact()
+    assert bring() is None and content() == [("b.txt", 0)]
+    store.remove_files(spark.createDataFrame([("b.txt",)], "filename string"))
+    assert bring() == 6 and content() == [("b.txt", 0)]
+    store.clear()
+    assert bring() == 8
+
+
+def test_ingest_of_nulls_and_equal_names(spark, tmp_path):
+    store = files.ChunkStore(spark, str(tmp_path / "store"))
+    rows = spark.createDataFrame([("p/1/a", "a", "one"), ("p/2/a", "a", "two"), ("p/n", "n", None), (None, "x", "x"), ("p/y", None, "y")], "path string, filename string, text string")
+    assert store.ingest(rows, chunks_of) == 1 and [(r.filename, r.content) for r in store.read().collect()] == [("a", "two")]
+    assert sorted(r.filename for r in store.ledger().collect()) == ["a", "n"] and store.ingest(rows, chunks_of) is None
+
+
+def test_a_stream_of_files_and_a_batch_that_comes_again(spark, tmp_path):
+    import shutil
+
+    folder, store = tmp_path / "in", files.ChunkStore(spark, str(tmp_path / "store"))
+    folder.mkdir()
+    run = lambda cp: ingest_stream(files.text_stream(spark, str(folder), files_at_once=2), store, chunks_of, str(tmp_path / cp), "docs").trigger(availableNow=True).start().awaitTermination()
+    for i in range(5):
+        (folder / f"{i}.txt").write_text(f"text {i}")
+    run("cp")
+    assert sorted(r.content for r in store.read().collect()) == [f"text {i}" for i in range(5)] and store.batches() == {"docs:0", "docs:1", "docs:2"}
+    (folder / "5.txt").write_text("text 5")
+    shutil.copytree(tmp_path / "cp", tmp_path / "cp_before")
+    run("cp")
+    version = store.version()
+    run("cp_before")  # as after a failure between the commit and the checkpoint
+    assert store.version() == version == 4 and store.read().count() == 6
+
+
+def test_visits_split_and_join(spark):
+    rows = [("a", 0), ("a", 1800), ("a", 3601), ("a", 5402), ("b", 7199), ("b", 7201), (None, 5), (None, 6), ("c", None)]
+    log = spark.createDataFrame([(s, t, "user" if t != 6 else None) for s, t in rows], "session_id string, t long, role string").withColumn("ts", F.timestamp_seconds("t"))
+    got = {(r.session_id, int(r.opened.timestamp()), int(r.last.timestamp()), r.message_count, r.user_messages) for r in sessions.visits(log).collect()}
+    assert got == {("a", 0, 1800, 2, 2), ("a", 3601, 3601, 1, 1), ("a", 5402, 5402, 1, 1), ("b", 7199, 7201, 2, 2), (None, 5, 6, 2, 1)}
+    assert sessions.visits(log.limit(0)).count() == 0
+
+
+def test_visits_of_a_stream_close_by_the_clock(spark, tmp_path):
+    """Steps of the clock: stretches close once, late messages join two, those behind the watermark reopen nothing."""
+    schema, seen = "session_id string, ts timestamp, role string", []
+
+    def step(*rows):
+        at = lambda t: f"timestamp_seconds({t})"
+        new = spark.createDataFrame([(s, t) for s, t in rows], "session_id string, t long").selectExpr("session_id", f"{at('t')} AS ts", "'user' AS role")
+        new.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = visit_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), 100, "50 seconds")
+        out = lambda b, n: seen.extend((r.session_id, r.o, r.l, r.message_count) for r in b.selectExpr("*", "unix_seconds(opened) o", "unix_seconds(last) l").collect())
+        stream.writeStream.foreachBatch(out).outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+        return sorted(seen)
+
+    assert step(("a", 1000), ("a", 1050), ("a", 1190), ("b", 1000)) == [("b", 1000, 1000, 1)]  # the watermark is 1140
+    assert step(("a", 1145), (None, 1145), ("b", 1000)) == [("b", 1000, 1000, 1)]  # joins a's stretches; b's is over
+    done = [("a", 1000, 1190, 4), ("b", 1000, 1000, 1)]
+    assert step(("c", 1400)) == done
+    assert step(("a", 1190), ("b", 1300)) == done  # behind 1350
+    assert step(("a", 1400), ("c", 1600)) == sorted([*done, ("a", 1400, 1400, 1), ("c", 1400, 1400, 1)])
