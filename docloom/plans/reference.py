@@ -545,7 +545,7 @@ def _(spark, d):
     chunks = lambda texts: chunk.chunk_rows(texts, F.col("filename"), F.col("text"))
     for texts in (old, new, new):
         store.ingest(texts, chunks)
-    return store.read().join(store.ledger().select("filename", "version"), "filename").select("filename", "chunk_id", "content", "version")
+    return store.read(commits=True).select("filename", "chunk_id", "content", "version")
 
 
 @query("completion_response", "SELECT conv_id, turn, text AS content, CASE WHEN turn % 2 = 0 THEN length(text) ELSE 0 END AS total_tokens, 'm' || turn || ',n' AS models, 'm' || turn AS first_model, true AS connected FROM conversations")

@@ -65,6 +65,8 @@ class ChunkStore:
     #: Columns whose values new rows replace, by what a commit says.
     KEYS = {"nothing": [], "chunks": ["filename", "chunk_id"], "files": ["filename"]}
     TRIES = 100
+    #: Names of new files up to which they are sent to where texts are read; beyond it texts are shuffled to meet them.
+    SENT = 500_000
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -113,13 +115,14 @@ class ChunkStore:
             version += 1
         raise CommitConflict(f"version {version + 1} of {self.folder} is taken")
 
-    def read(self, version: int | None = None) -> DataFrame:
-        """The store's rows, or those of an older version that isn't compacted away; an empty table if nothing was written."""
+    def read(self, version: int | None = None, commits: bool = False) -> DataFrame:
+        """The store's rows, or those of an older version that isn't compacted away; an empty table if nothing was written. With commits each row's `version` too."""
         log = [r for r in self._log() if version is None or r.version <= version]
         layers = [(r, f"{self.folder}/{r.data}") for r in log if r.data]
         if not layers:
-            return self.spark.createDataFrame([], schemas.CHUNK)
-        return self._live(layers, self._read(layers, "rows", schemas.CHUNK)).drop("_version")
+            return self.spark.createDataFrame([], T.StructType([*schemas.CHUNK, *([T.StructField("version", T.LongType())] if commits else [])]))
+        rows = self._live(layers, self._read(layers, "rows", schemas.CHUNK))
+        return rows.select(*schemas.CHUNK.names, *([F.col("_version").cast("long").alias("version")] if commits else []))
 
     def _live(self, layers: list, rows: DataFrame) -> DataFrame:
         """rows without those that a later commit has replaced."""
@@ -154,10 +157,11 @@ class ChunkStore:
         data = f"data/{uuid.uuid4().hex}"
         found.join(self.ledger().select("filename", "digest"), ["filename", "digest"], "left_anti").select(*self.LEDGER.names).write.parquet(f"{self.folder}/{data}/files")
         new = self.spark.read.schema(self.LEDGER).parquet(f"{self.folder}/{data}/files")
-        if new.isEmpty():
+        if not (n := new.count()):
             self._fs.delete(self._path(f"{self.folder}/{data}"), True)
             return None
-        rows = chunks(texts.join(new.select("filename", "path"), ["filename", "path"], "left_semi"))
+        names = new.select("filename", "path")
+        rows = chunks(texts.join(F.broadcast(names) if n <= self.SENT else names, ["filename", "path"], "left_semi"))
         rows.select(*[F.col(f.name).cast(f.dataType) for f in schemas.CHUNK]).write.parquet(f"{self.folder}/{data}/rows")
         new.select("filename").write.parquet(f"{self.folder}/{data}/replaced")
         return self._commit("files", data, batch=batch, ledger=True)

@@ -200,7 +200,7 @@ def test_ingest_brings_what_is_new_and_nothing_twice(spark, tmp_path):
     (folder / "a.txt").write_text("short")
     assert bring("x") is None and written() == before
     assert bring("z") == 2 and content() == [("a.txt", 0), ("b.txt", 0)]
-    assert {r.filename: r.version for r in store.ledger().collect()} == {"a.txt": 2, "b.txt": 1}
+    assert {r.filename: r.version for r in store.ledger().collect()} == {r.filename: r.version for r in store.read(commits=True).collect()} == {"a.txt": 2, "b.txt": 1}
     gone = spark.createDataFrame([("p/a.txt", "a.txt", None)], "path string, filename string, text string")
     assert store.ingest(gone, chunks_of) == 3 and content() == [("b.txt", 0)]
     (folder / "a.txt").unlink()
@@ -212,7 +212,9 @@ def test_ingest_brings_what_is_new_and_nothing_twice(spark, tmp_path):
     assert bring() == 8
 
 
-def test_ingest_of_nulls_and_equal_names(spark, tmp_path):
+@pytest.mark.parametrize("sent", [0, 10])
+def test_ingest_of_nulls_and_equal_names(spark, tmp_path, monkeypatch, sent):
+    monkeypatch.setattr(files.ChunkStore, "SENT", sent)
     store = files.ChunkStore(spark, str(tmp_path / "store"))
     rows = spark.createDataFrame([("p/1/a", "a", "one"), ("p/2/a", "a", "two"), ("p/n", "n", None), (None, "x", "x"), ("p/y", None, "y")], "path string, filename string, text string")
     assert store.ingest(rows, chunks_of) == 1 and [(r.filename, r.content) for r in store.read().collect()] == [("a", "two")]
