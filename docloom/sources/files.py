@@ -121,27 +121,31 @@ class ChunkStore:
         layers = [(r, f"{self.folder}/{r.data}") for r in log if r.data]
         if not layers:
             return self.spark.createDataFrame([], T.StructType([*schemas.CHUNK, *([T.StructField("version", T.LongType())] if commits else [])]))
-        rows = self._live(layers, self._read(layers, "rows", schemas.CHUNK))
+        rows = self._live(layers, layers, "rows", schemas.CHUNK)
         return rows.select(*schemas.CHUNK.names, *([F.col("_version").cast("long").alias("version")] if commits else []))
 
-    def _live(self, layers: list, rows: DataFrame) -> DataFrame:
-        """rows without those that a later commit has replaced."""
-        for how, key in self.KEYS.items():
-            if not set(key) <= set(rows.columns):
-                continue
-            if gone := [x for x in layers if x[0].replaces == how and key]:
-                kinds = T.StructType([schemas.CHUNK[c] for c in key])
-                cut = self._read(gone, "replaced", kinds).groupBy(*[F.col(c).alias(f"_{c}") for c in key]).agg(F.max("_version").alias("_cut"))
-                same = functools.reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key])
-                rows = rows.join(cut, same, "left").where("_cut IS NULL OR _version >= _cut").drop("_cut", *[f"_{c}" for c in key])
-        return rows
+    def _live(self, layers: list, of: list, what: str, schema: T.StructType) -> DataFrame:
+        """Rows of the commits `of` without those that a later commit of layers has replaced; commits with none after them that replaces are read as they are."""
+        last = max([r.version for r, _ in layers if self.KEYS[r.replaces]], default=0)
+        parts = [self._read(new, what, schema)] if (new := [x for x in of if x[0].version >= last]) else []
+        if old := [x for x in of if x[0].version < last]:
+            rows = self._read(old, what, schema)
+            for how, key in self.KEYS.items():
+                gone = [x for x in layers if x[0].replaces == how and key and set(key) <= set(schema.names)]
+                if gone:
+                    kinds = T.StructType([schemas.CHUNK[c] for c in key])
+                    cut = self._read(gone, "replaced", kinds).groupBy(*[F.col(c).alias(f"_{c}") for c in key]).agg(F.max("_version").alias("_cut"))
+                    same = functools.reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key])
+                    rows = rows.join(cut, same, "left").where("_cut IS NULL OR _version >= _cut").drop("_cut", *[f"_{c}" for c in key])
+            parts.append(rows)
+        return functools.reduce(DataFrame.unionByName, parts)
 
     def ledger(self) -> DataFrame:
         """(filename, path, digest, version): the content of each file that `ingest` brought and nothing has replaced or removed since, and the commit it came with."""
         layers = [(r, f"{self.folder}/{r.data}") for r in self._log() if r.data]
         if not (kept := [x for x in layers if x[0].ledger]):
             return self.spark.createDataFrame([], "filename string, path string, digest string, version long")
-        return self._live(layers, self._read(kept, "files", self.LEDGER)).withColumn("version", F.col("_version").cast("long")).drop("_version")
+        return self._live(layers, kept, "files", self.LEDGER).withColumn("version", F.col("_version").cast("long")).drop("_version")
 
     def ingest(self, texts: DataFrame, chunks: Callable[[DataFrame], DataFrame], batch: str | None = None) -> int | None:
         """Brings files (path, filename, text) whose content the ledger does not have; returns the commit's version, None if nothing is new.
