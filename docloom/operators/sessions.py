@@ -1,8 +1,10 @@
 """Sessions as a log of messages (session_id, seq, role, content, ts)."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .pages import PAGE, numbered, paged
+
 
 def with_session(requests: DataFrame, apart: list[str] | None = None) -> DataFrame:
     """requests with a session id: the one they name, known or not, else a new one.
@@ -28,7 +30,7 @@ def active(log: DataFrame) -> DataFrame:
 def history(log: DataFrame, n: int | None = None) -> DataFrame:
     """(session_id, created_at, message_count, messages): messages in order of ts and seq, with n only the newest n.
 
-    Without n a session's messages are one row, as an API returns them; where sessions may grow without bound, give n or take messages().
+    Without n a session's messages are one row, as an API returns them; where sessions may grow without bound, give n, or take messages() or history_pages().
     """
     counts = log.groupBy("session_id").agg(F.min("ts").alias("created_at"), F.count("*").alias("message_count"))
     if n is not None:
@@ -41,18 +43,19 @@ def history(log: DataFrame, n: int | None = None) -> DataFrame:
 def messages(log: DataFrame) -> DataFrame:
     """(session_id, position, role, content, ts): a row for each message, numbered from 1 by ts and seq within its session.
 
-    Numbers are counted within a session's hours, and the counts of earlier hours added, so a session of any length is
-    never gathered: only its rows of one hour, and its hours' counts, meet in a task. Rows without a session id are a session of their own, of
-    a null id.
+    Numbers are counted by hours (`pages.numbered`), so a session of any length is never gathered. Rows without a session id are a
+    session of their own, of a null id.
     """
-    hour = F.coalesce(F.date_trunc("hour", F.col("ts").cast("timestamp")), F.lit("0001-01-01").cast("timestamp"))
-    log, key = log.withColumn("_hour", hour), ["session_id", "_hour"]
-    earlier = Window.partitionBy("session_id").orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
-    before = log.groupBy(*key).agg(F.count("*").alias("_n")).select(*key, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    rows = log.withColumn("_own", F.row_number().over(Window.partitionBy(*key).orderBy("ts", "seq")))
-    before = before.select(F.col("session_id").alias("_id"), F.col("_hour").alias("_at"), "_before")
-    rows = rows.join(before, F.col("session_id").eqNullSafe(F.col("_id")) & (F.col("_hour") == F.col("_at")))
-    return rows.select("session_id", (F.col("_before") + F.col("_own")).alias("position"), "role", "content", "ts")
+    return numbered(log, "session_id", ["ts", "seq"], _hour()).select("session_id", "position", "role", "content", "ts")
+
+
+def history_pages(log: DataFrame, size: int = PAGE) -> DataFrame:
+    """(session_id, page, messages): as history, but on pages of `size` messages, so a session of any length is never one row."""
+    return paged(log, "session_id", ["ts", "seq"], F.struct("ts", "seq", "role", "content"), _hour(), size)
+
+
+def _hour() -> Column:
+    return F.date_trunc("hour", F.col("ts").cast("timestamp"))
 
 
 def lookup(log: DataFrame, asked: DataFrame) -> DataFrame:

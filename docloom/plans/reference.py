@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import as_doubles, norm, normalised, ordered_join, preview, strip
-from ..operators import catalog, chat, chunk, compose, embed, retrieve, rewrite, route, sessions
+from ..operators import catalog, chat, chunk, compose, embed, pages, retrieve, rewrite, route, sessions
 from ..sources import conversations, files, models
 
 QUERIES: dict = {}
@@ -384,6 +384,12 @@ def _(spark, d):
     return sessions.messages(_log(spark, d)).select("session_id", "position", "content")
 
 
+@query("session_pages", """SELECT session_id, page, string_agg(event_type, ',' ORDER BY r) AS contents FROM (
+  SELECT *, (r - 1) // 7 AS page FROM (SELECT CAST(user_id AS VARCHAR) AS session_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events)) GROUP BY 1, 2""")
+def _(spark, d):
+    return sessions.history_pages(_log(spark, d), 7).select("session_id", "page", F.array_join("messages.content", ",").alias("contents"))
+
+
 @query("session_history_newest", "SELECT session_id, n AS message_count, string_agg(event_type, ',' ORDER BY ts, event_id) AS contents FROM (SELECT *, CAST(user_id AS VARCHAR) AS session_id, count(*) OVER (PARTITION BY user_id) AS n, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r <= 10 GROUP BY 1, 2")
 def _(spark, d):
     return sessions.history(_log(spark, d), 10).select("session_id", "message_count", F.array_join("messages.content", ",").alias("contents"))
@@ -499,6 +505,33 @@ def _(spark, d):
     return rows.select("conv_id", saved.alias("saved")).select("conv_id", _flat(history).alias("history"), key.alias("prompt_key"))
 
 
+@query("conversation_pages", f"""SELECT conv_id, page, string_agg(role || '=' || text, '|' ORDER BY r) AS history FROM (
+  SELECT *, (r - 1) // 3 AS page FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations)) GROUP BY 1, 2""")
+def _(spark, d):
+    """Saved in three steps, the last of them twice: each save changes a conversation's last page alone."""
+    kept = conversations.PagedConversations(spark, _shared(spark, "pages"), 3)
+    rows = _read(spark, d, "conversations")
+    for version, some in enumerate(["turn < 2", "turn = 2 OR turn = 3", "turn > 3", "turn > 3"]):
+        kept.save(rows.where(some), min(version, 2))
+    return kept.pages().select("conv_id", "page", _flat(F.col("messages")).alias("history"))
+
+
+@query("conversation_pages_forms", f"""WITH p AS (SELECT conv_id, page, string_agg(role || '=' || text, '|' ORDER BY turn) AS history, to_json(list({_MSG} ORDER BY turn)) AS saved
+  FROM (SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 3 AS page FROM conversations) GROUP BY 1, 2)
+  SELECT conv_id, page, history, saved, history AS history_v2, history AS history_v3 FROM p""")
+def _(spark, d):
+    """A page is a short conversation: each of the three saved forms takes it and gives it back."""
+    rows = _read(spark, d, "conversations")
+    rows = pages.paged(rows, "conv_id", ["turn"], F.struct("role", F.col("text").alias("content")), F.floor(F.col("turn") / pages.RANGE), 3)
+    h, at, n = F.col("messages"), F.lit("2025-01-02T03:04:05").cast("timestamp"), F.lit(0).cast("long")
+    name, prompt = PROMPTS["user"]
+    two = conversations.as_object(h, F.lit("2025-01-01T00:00:00"), F.lit("local"), F.lit("user"), F.lit(name), F.lit(prompt))
+    three = conversations.as_state(h, F.size(h).cast("long"), n, n, at, F.lit("local"), F.lit("user"), at)
+    rows = rows.select("conv_id", "page", conversations.as_array(h).alias("saved"), two.alias("two"), three.alias("three"))
+    back = [conversations.from_array(F.col("saved")), conversations.from_object(F.col("two"))[0], conversations.from_state(F.col("three")).conversation_history]
+    return rows.select("conv_id", "page", "saved", *[_flat(x).alias(c) for x, c in zip(back, ["history", "history_v2", "history_v3"])])
+
+
 @query("conversation_roundtrip_v3", f"SELECT conv_id, {_JOINED} AS history, count(*) AS total_messages, '2025-01-02T03:04:05' AS start_time FROM conversations GROUP BY 1")
 def _(spark, d):
     rows = conversations.history_of(_read(spark, d, "conversations"))
@@ -514,12 +547,16 @@ def _(spark, d):
     return files.upserted(old, old.where("chunk_id % 2 = 0").withColumn("content", F.concat(F.lit("New: "), "content"))).select("filename", "chunk_id", "content")
 
 
-def _store(spark, name):
+def _shared(spark, name):
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder and not spark.sparkContext.master.startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     folder = folder or f"{tempfile.gettempdir()}/docloom"
-    return files.ChunkStore(spark, f"{folder.rstrip('/')}/stores/{name}-{uuid.uuid4().hex}")
+    return f"{folder.rstrip('/')}/stores/{name}-{uuid.uuid4().hex}"
+
+
+def _store(spark, name):
+    return files.ChunkStore(spark, _shared(spark, name))
 
 
 @query("store_roundtrip", CHUNKS_SQL + """, s AS (SELECT filename, chunk_id, CASE WHEN chunk_id % 2 = 0 THEN 'New: ' || content ELSE content END AS content FROM chunks)

@@ -1,14 +1,15 @@
-"""Three JSON forms of a saved conversation, and a folder of them."""
+"""Three JSON forms of a saved conversation, a folder of them, and conversations of any length kept on pages."""
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas
+from ..operators.pages import RANGE, appended, paged
 
 
 def history_of(rows: DataFrame, key: str = "conv_id", order: str = "turn") -> DataFrame:
-    """(key, history: array of role, content in order): a conversation's messages, bounded by what its bot keeps."""
+    """(key, history: array of role, content in order): a conversation's messages, bounded by what its bot keeps. Longer ones go on pages."""
     said = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "role", F.col("text").alias("content"))))
     return rows.groupBy(key).agg(F.transform(said, lambda m: F.struct(m.role.alias("role"), m.content.alias("content"))).alias("history"))
 
@@ -69,3 +70,33 @@ def list_saved(spark: SparkSession, folder: str) -> DataFrame:
     """(path, timestamp, prompt_name, messages, error) for each saved object in a folder; an unreadable file has error true."""
     rows = spark.read.schema(_SAVED).options(multiLine=True, pathGlobFilter="*.json", **_READ).json(folder)
     return rows.select(F.col("_metadata.file_path").alias("path"), *_listed())
+
+
+class PagedConversations:
+    """Conversations of any length under a folder: rows (key, page, messages) of `size` messages, each save a version of its own.
+
+    A save brings the pages that it changes, each key's last and those behind it, and leaves full pages alone, so its cost does not
+    grow with what is stored. The newest version of a page counts. A save reads only versions before its own, so one that failed
+    or runs again under its number gives what it would have given. Of saves under one number the last one stays; numbers are the
+    caller's, as those of a stream's batches.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, size: int, key: str = "conv_id", key_type: str = "long"):
+        self.spark, self.folder, self.size, self.key = spark, folder, size, key
+        self.schema = f"{key} {key_type}, page long, messages array<struct<role:string,content:string>>, version long"
+
+    def pages(self, before: int | None = None) -> DataFrame:
+        """(key, page, messages), of versions under `before` if it is given."""
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
+        if not where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+            return self.spark.createDataFrame([], self.schema).drop("version")
+        found = self.spark.read.schema(self.schema).parquet(self.folder)
+        if before is not None:
+            found = found.where(F.col("version") < before)
+        return found.groupBy(self.key, "page").agg(F.max_by("messages", "version").alias("messages"))
+
+    def save(self, rows: DataFrame, version: int, order: str = "turn") -> None:
+        """Appends rows (key, order, role, text) to their conversations."""
+        cut, said = F.floor(F.col(order) / RANGE), F.struct("role", F.col("text").alias("content"))
+        new = appended(self.pages(version), rows, self.key, [order], said, cut, self.size) if version else paged(rows, self.key, [order], said, cut, self.size)
+        new.write.mode("overwrite").parquet(f"{self.folder}/version={version}")
