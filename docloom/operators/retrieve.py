@@ -17,6 +17,10 @@ QUERIES_AT_ONCE, HELD, GROUP = 8192, 16_384, 128
 PIVOTS, QUERIES_A_PIVOT, SEEDS, LEVEL = 256, 4, 1024, 64
 #: Queries that are scored against a group in one product.
 STEP = 256
+#: Queries up to which rows are read once only, without a look at some of them for thresholds.
+FEW = 64
+#: Hits up to which they are sent to every task of a join, so that what they are joined with isn't shuffled.
+SENT = 100_000
 #: What rounding may take from a bound or a threshold.
 SLACK = 1e-9
 
@@ -106,6 +110,9 @@ class _Best:
             some = which[s : s + STEP]
             sim = _scores(self.asked, some, m, norms)
             self.scored += sim.size
+            new = np.isneginf(self.least[some])
+            if new.any():
+                self.least[some[new]] = _kth(sim[new], self.k) - SLACK
             hit = sim >= self.least[some][:, None] - SLACK
             for q, row in zip(some[hit.any(axis=1)].tolist(), np.flatnonzero(hit.any(axis=1)), strict=True):
                 good = np.flatnonzero(hit[row])
@@ -150,8 +157,8 @@ def _scan(rows: DataFrame, asked: list[_Asked], k: int, counting: bool = False)
     return rows.mapInArrow(run, "scored long, pairs long" if counting else "query_id long, id long, similarity double")
 
 
-def _asked_of(queries: pa.Table, rows: DataFrame, k: int) -> list[_Asked]:
-    """The queries by width, with pivots and first thresholds from SEEDS rows of each width, whichever have the least hash."""
+def _asked_of(queries: pa.Table, rows: DataFrame | None, k: int) -> list[_Asked]:
+    """The queries by width, with pivots and first thresholds from SEEDS rows of each width, whichever have the least hash; without rows neither."""
     column = queries.column("vector").combine_chunks() if queries.num_rows else None
     column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
     out = []
@@ -159,6 +166,9 @@ def _asked_of(queries: pa.Table, rows: DataFrame, k: int) -> list[_Asked]:
         ids, m, norms = _matrix(column, queries.column("query_id").combine_chunks(), width)
         if not len(ids):
             continue
+        if rows is None:
+            out.append(_Asked(width, ids, m, norms, np.empty((0, width)), np.full(len(ids), -np.inf)))
+            continue
         seeds = rows.where(F.size("vector") == width).orderBy(F.xxhash64("id"), "id").limit(SEEDS).toArrow().combine_chunks()
         if not seeds.num_rows:
             continue
@@ -185,14 +195,14 @@ def _vectors(df: DataFrame, key: str) -> DataFrame:
 
 
 def _blocks(queries: DataFrame):
-    """The queries as tables of QUERIES_AT_ONCE rows or so."""
+    """The queries as tables of QUERIES_AT_ONCE rows or so, each with whether it is all of them and they are FEW at most."""
     some = queries.limit(QUERIES_AT_ONCE + 1).toArrow()
     if some.num_rows <= QUERIES_AT_ONCE:
-        yield some
+        yield some, some.num_rows <= FEW
         return
     blocks = queries.count() // QUERIES_AT_ONCE + 1
     for b in range(blocks):
-        yield queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toArrow()
+        yield queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toArrow(), False
 
 
 def _levels(rows: DataFrame):
@@ -205,34 +215,41 @@ def _levels(rows: DataFrame):
         level //= LEVEL
 
 
+def _ready(rows: DataFrame, queries: DataFrame, k: int):
+    """(queries of a block, how many); with pivots and thresholds, unless the queries are few."""
+    for block, few in _blocks(queries):
+        asked = _asked_of(block, None if few else rows, k)
+        for some in _levels(rows) if asked and not few else ():
+            _raised(asked, _scan(some, asked, k), k)
+        yield asked, block.num_rows
+
+
 def top_k_batch(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """rows (id, vector), queries (query_id, vector) -> (query_id, id, similarity, rank), the k best rows of each query.
 
     Rows stay where they are read; queries go out, QUERIES_AT_ONCE at a time. A task groups the rows it holds around
     pivots and leaves out the groups whose angles can't reach a query's threshold; thresholds start from a few rows, are raised by
     a look at a share of the rows where there are many, and rise while a task goes on. What a task hands over lies above them,
-    so the rows to merge grow with the queries, not with the rows. Exact; ties are in order of id. Rows of the
+    so the rows to merge grow with the queries, not with the rows. For up to FEW queries rows are read once and scored
+    without such looks; a task then hands over k rows a query, ties aside. For more queries rows are read several times: those that are
+    costly to make, as by an embedder, belong in a store first. Up to SENT hits carry the hint to be broadcast. Exact; ties are in order of id. Rows of the
     query's own id count like any other. Null, empty and zero vectors and other widths give no hit; k below 1 none.
     """
-    rows, queries = _vectors(rows, "id"), _vectors(queries, "query_id")
+    rows, queries, n = _vectors(rows, "id"), _vectors(queries, "query_id"), 0
     found = rows.sparkSession.createDataFrame([], "query_id long, id long, similarity double")
-    for block in _blocks(queries) if k > 0 else []:
-        asked = _asked_of(block, rows, k)
+    for asked, block in _ready(rows, queries, k) if k > 0 else []:
+        n += block
         if asked:
-            for some in _levels(rows):
-                _raised(asked, _scan(some, asked, k), k)
             found = found.unionByName(_scan(rows, asked, k))
     best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    best = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return F.broadcast(best) if n * k <= SENT else best
 
 
 def scored_share(rows: DataFrame, queries: DataFrame, k: int) -> float:
     """The share of all pairs of a row and a query that top_k_batch scores."""
     rows, scored, pairs = _vectors(rows, "id"), 0, 0
-    for block in _blocks(_vectors(queries, "query_id")):
-        asked = _asked_of(block, rows, k)
-        for some in _levels(rows):
-            _raised(asked, _scan(some, asked, k), k)
+    for asked, _ in _ready(rows, _vectors(queries, "query_id"), k):
         for r in _scan(rows, asked, k, counting=True).collect() if asked else []:
             scored, pairs = scored + r.scored, pairs + r.pairs
     return scored / pairs if pairs else 0.0

@@ -1,5 +1,7 @@
 import math
+import os
 import random
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -226,6 +228,58 @@ def test_batch_top_k_is_exact_and_leaves_groups_out(spark, monkeypatch, small):
     assert 0 < share < 0.5
 
 
+@pytest.mark.parametrize("n", [1, 30, 64, 65])
+def test_few_queries_read_the_rows_once(spark, tmp_path, n):
+    """Each vector is made once; the hits are those of a plain loop, as they are with a look at some rows first."""
+    own, folder = np.random.default_rng(6), str(tmp_path)
+    rows = [(i, v.tolist()) for i, v in enumerate(own.normal(size=(400, 8)))]
+    asked = [(i, v.tolist()) for i, v in enumerate(own.normal(size=(n, 8)))]
+
+    def made(batches):
+        for b in batches:
+            with open(f"{folder}/{uuid.uuid4().hex}-{b.num_rows}", "w"):
+                yield b
+
+    table = spark.createDataFrame(rows, "id long, vector array<double>").repartition(3).mapInArrow(made, "id long, vector array<double>")
+    found = retrieve.top_k_batch(table, spark.createDataFrame(asked, "query_id long, vector array<double>"), 4).collect()
+    got = {(r.query_id, r["rank"]): r.id for r in found}
+    assert got == {(q, k): i for q, best in _best(rows, asked, 4).items() for k, (i, _) in enumerate(best, 1)}
+    read = sum(int(p.name.split("-")[1]) for p in tmp_path.iterdir())
+    assert read == 400 if n <= 64 else read > 400
+
+
+def test_contexts_embed_each_chunk_once(spark, tmp_path, monkeypatch):
+    from docloom.plans import reference
+
+    folder = str(tmp_path)
+
+    class Counting(embed.FakeEmbedder):
+        def get_embedding(self, text):
+            with open(f"{folder}/{os.getpid()}", "ab") as f:
+                f.write(b".")
+            return embed.FakeEmbedder.get_embedding(self, text)
+
+    monkeypatch.setattr(reference.embed, "FakeEmbedder", Counting)
+    data = "/root/testdata/sf0.001"
+    found = reference.QUERIES["fake_embedding_topk"](spark, data).collect()
+    chunks = reference._chunks(spark, data).select("content").collect()
+    asked = spark.read.parquet(f"{data}/benchmark.parquet").where("item_id % 50 = 0").count()
+    calls = sum(p.stat().st_size for p in tmp_path.iterdir())
+    assert len(found) == 3 * asked and len(chunks) <= calls <= len(chunks) + 2 * asked
+
+
+def test_hits_are_sent_to_what_they_are_joined_with(spark):
+    rows = spark.range(1000).select("id", F.array(F.col("id").cast("double"), F.lit(1.0)).alias("vector"), F.lit("c").alias("content"))
+    asked = spark.createDataFrame([(0, [1.0, 0.0])], "query_id long, vector array<double>")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = retrieve.search(rows.withColumn("metadata", F.lit("m")), asked, 3)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_batch_top_k_ties_widths_and_no_rows(spark):
     rows = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(50, 0, -1)] + [(99, [float("nan"), 1.0]), (98, [None, 1.0])], "id long, vector array<double>")
     asked = spark.createDataFrame([(i, [3.0, 0.0]) for i in range(20)] + [(20, [1.0])], "query_id long, vector array<double>")
