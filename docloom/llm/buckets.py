@@ -56,22 +56,62 @@ def stars(linked: np.ndarray, ids: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"src": ids[own], "dst": ids[label[own]]}, dtype="int64")
 
 
-#: Bits of a set's bitmap.
-BITS = 512
+#: Bits of a set's bitmap, by which all sets of a tile are told apart at once, and of the longer one that is looked at before a pair's elements.
+BITS, FINE = 512, 4096
+
+
+def _distinct(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(the sorted elements of each set without repeats, one set after the other; their numbers; where each set begins); no set is empty."""
+    sets = [np.sort(x) for x in sets]
+    sets = [x[np.concatenate([[True], x[1:] != x[:-1]])] for x in sets]
+    size = np.array([len(x) for x in sets])
+    return np.concatenate(sets).astype(np.uint64), size, np.cumsum(size) - size
+
+
+def _fine(flat: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """(sets x FINE / 64): a set's longer bitmap."""
+    bits = np.zeros((len(size), FINE), bool)
+    bits[np.repeat(np.arange(len(size)), size), (flat & np.uint64(FINE - 1)).astype(np.int64)] = True
+    return np.packbits(bits, axis=1).view(np.uint64)
+
+
+def _differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The number of bits in which bitmaps differ: at most the number of elements in which the sets do."""
+    return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+
+
+#: Elements of which two may have the same hash before a pair is left out wrongly.
+SPARE = 4
+
+
+def may_reach(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """Whether sets a[i] and b[i] may reach the Jaccard similarity `least`, by hashes of their elements: bitmaps first, then counts.
+
+    sets: as in similar_stars. Equal elements have equal hashes, so a pair that is left out is not similar, even if SPARE pairs of
+    different elements share a hash; of those that stay a few aren't.
+    """
+    flat, size, starts = _distinct(sets)
+    bits, n = _fine(flat, size), size[a] + size[b]
+    may = _differ(bits[a], bits[b]) <= (n + SPARE) * ((1 - least) / (1 + least))
+    may &= np.minimum(size[a], size[b]) + SPARE >= least * np.maximum(size[a], size[b])
+    for k in np.flatnonzero(may).tolist():
+        x, y = (flat[starts[i] : starts[i] + size[i]] for i in (a[k], b[k]))
+        x, y = (x, y) if len(x) < len(y) else (y, x)
+        common = np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x) + SPARE
+        may[k] = common >= least * (n[k] + SPARE - common)
+    return may
 
 
 def similar_stars(sets: list[np.ndarray], ids: np.ndarray, least: float) -> pd.DataFrame:
     """(src, dst): from each member of a tile to the first one of its component, by Jaccard similarities of `least` or more.
 
     sets: numbers that stand for elements, repeats allowed, none empty. Two sets differ in at least as many elements as
-    their bitmaps differ in bits, which tells most unrelated ones apart without a look at their elements. The others are
-    compared exactly, breadth first: those that a set reaches are expanded in turn, and a tile is done as soon as no set
+    their bitmaps differ in bits, which tells most unrelated ones apart without a look at their elements; large sets fill a
+    short bitmap, so a longer one is looked at next. The others are compared exactly, breadth first: those that a set reaches are expanded in turn, and a tile is done as soon as no set
     is left unreached, so copies of one text take a few comparisons each.
     """
-    sets = [np.sort(x) for x in sets]
-    sets = [x[np.concatenate([[True], x[1:] != x[:-1]])] for x in sets]
-    size = np.array([len(x) for x in sets])
-    flat, starts = np.concatenate(sets).astype(np.uint64), np.cumsum(size) - size
+    flat, size, starts = _distinct(sets)
+    bits = _fine(flat, size)
     signs = np.full((len(sets), BITS), -1, np.float32)
     signs[np.repeat(np.arange(len(sets)), size), (flat & np.uint64(BITS - 1)).astype(np.int64)] = 1
     differ = (BITS - signs @ signs.T) / 2
@@ -86,6 +126,7 @@ def similar_stars(sets: list[np.ndarray], ids: np.ndarray, least: float) -> pd.D
         while todo:
             i = todo.pop()
             near = np.flatnonzero(may[i] & (root < 0))
+            near = near[_differ(bits[near], bits[i]) <= (size[near] + size[i]) * ((1 - least) / (1 + least)) + 1e-6]
             if not len(near):
                 continue
             n = size[near]

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .buckets import jaccard_reaches, similar_stars, tiles
+from .buckets import jaccard_reaches, may_reach, similar_stars, tiles
 from .common import WHITE, sent_if_small, stored, table, whole
 from .components import components
 
@@ -92,7 +92,7 @@ def shingles(line: str) -> tuple[set[str], set[str] | None]:
 
 
 def similar(a: tuple[set[str], set[str] | None], b: tuple[set[str], set[str] | None]) -> bool:
-    """By the long shingles, or by the short ones if both lines have them."""
+    """By the long shingles, or by the short ones if both lines have them. What is meant by similar lines; _similar_pairs tells it of many pairs at once."""
     return jaccard_reaches(a[0], b[0], SIMILAR) or (a[1] is not None and b[1] is not None and jaccard_reaches(a[1], b[1], SIMILAR))
 
 
@@ -109,13 +109,40 @@ def _members(lines: DataFrame) -> DataFrame:
     return lines.select("id", "line").mapInArrow(run, "band long, id long")
 
 
+def _similar_pairs(b: pa.RecordBatch) -> pa.RecordBatch:
+    """(src, dst, a, b) -> (src, dst) of the similar ones; not to many rows, as all their shingles are held."""
+    ids = np.concatenate([b.column(0).to_numpy(), b.column(1).to_numpy()])
+    _, first, at = np.unique(ids, return_index=True, return_inverse=True)
+    lines = pa.concat_arrays([b.column(2), b.column(3)]).take(pa.array(first)).to_pylist()
+    x, y = at[: b.num_rows], at[b.num_rows :]
+    alike, short = _alike(lines, x, y, SHINGLE), np.array([len(t) < SHORT for t in lines], bool)
+    rest = np.flatnonzero(~alike & short[x] & short[y])
+    alike[rest] = _alike(lines, x[rest], y[rest], SHORT_SHINGLE)
+    return b.select([0, 1]).filter(pa.array(alike))
+
+
+def _alike(lines: list[str], x: np.ndarray, y: np.ndarray, width: int) -> np.ndarray:
+    """Whether lines x[i] and y[i] are similar by shingles of `width` characters: their hashes leave most other pairs out, shingles decide the rest."""
+    used, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+    if not len(used):
+        return np.zeros(0, bool)
+    h, starts = _hashes([lines[i] for i in used], width)
+    alike = may_reach(np.split(h, starts[1:]), at[: len(x)], at[len(x) :], SIMILAR)
+    last, cut = -1, set()
+    for k in sorted(np.flatnonzero(alike).tolist(), key=y.__getitem__):
+        if y[k] != last:
+            last, cut = y[k], _cut(lines[y[k]], width)
+        alike[k] = jaccard_reaches(_cut(lines[x[k]], width), cut, SIMILAR)
+    return alike
+
+
 def _verified(pairs: DataFrame) -> DataFrame:
-    """(src, dst, a, b) with similar texts a and b -> (src, dst)."""
+    """(src, dst, a, b) with similar texts a and b -> (src, dst); a line is hashed once for STEP pairs."""
 
     def run(batches):
         for b in batches:
-            keep = [similar(shingles(x.as_py()), shingles(y.as_py())) for x, y in zip(b.column(2), b.column(3), strict=True)]
-            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            for at in range(0, b.num_rows, STEP):
+                yield _similar_pairs(b.slice(at, STEP))
 
     return pairs.select("src", "dst", "a", "b").mapInArrow(run, "src long, dst long")
 

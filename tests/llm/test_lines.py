@@ -2,6 +2,7 @@ import collections
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from docloom.llm import lines
@@ -137,3 +138,39 @@ def test_one_edit_links_lines_of_40_to_100_characters(make):
         rows += [(2 * k, "".join(x)), (2 * k + 1, "".join(y))]
     got = {r.doc_id: r.n_removed for r in lines.line_dedup(make(rows)).collect()}
     assert got == {i: i % 2 for i in range(240)}
+
+
+def _pairs_of(texts, pairs):
+    columns = [[i for i, _ in pairs], [j for _, j in pairs], [texts[i] for i, _ in pairs], [texts[j] for _, j in pairs]]
+    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), *map(pa.array, columns[2:])], ["src", "dst", "a", "b"])
+
+
+def test_pairs_are_judged_as_by_their_shingles(monkeypatch):
+    """Lines of all lengths around the threshold; a line is cut up for few of its pairs, as hashes tell unrelated ones."""
+    rng = random.Random(12)
+    texts = [x for n in (1, 3, 20, 60, 100, 127, 128, 200, 700, 3000) for x in near_copies(rng, 5, n, 1 + n // 250)] + ["", " ", "a" * 5000, "a" * 40, "ab" * 20, "\U0001f600" * 30, "\ud7ff" * 12]
+    pairs = [(i, j) for j in range(len(texts)) for i in range(j)]
+    rng.shuffle(pairs)
+    want = {(i, j) for i, j in pairs if similar(shingles(texts[i]), shingles(texts[j]))}
+    cut, n = lines._cut, []
+    monkeypatch.setattr(lines, "_cut", lambda *a: n.append(1) or cut(*a))
+    got = lines._similar_pairs(_pairs_of(texts, pairs))
+    assert set(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True)) == want
+    assert 20 < len(want) < len(pairs) / 5 and len(n) < len(pairs) / 2
+    assert lines._similar_pairs(_pairs_of(texts, [])).num_rows == 0
+
+
+def test_a_tile_of_long_unrelated_lines_counts_few_elements(monkeypatch):
+    """Long lines fill a short bitmap, by which they all look alike."""
+    from docloom.llm import buckets
+
+    own = np.random.default_rng(7)
+    sets = [own.integers(0, 1 << 62, 700, dtype=np.int64).view(np.uint64) for _ in range(200)]
+    sets += [np.concatenate([x[: 700 - k], own.integers(0, 1 << 62, k, dtype=np.int64).view(np.uint64)]) for x in sets[:20] for k in (60, 100)]
+    counted, plain = [], np.searchsorted
+    monkeypatch.setattr(buckets.np, "searchsorted", lambda a, v, *r, **s: counted.append(len(v)) or plain(a, v, *r, **s))
+    got = buckets.similar_stars(sets, np.arange(240), 0.8)
+    monkeypatch.undo()
+    jaccard = lambda i, j: len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j]))
+    assert {tuple(r) for r in got[["src", "dst"]].to_numpy().tolist()} == {(200 + i, i // 2) for i in range(40) if jaccard(200 + i, i // 2) >= 0.8}
+    assert sum(counted) < 200 * 700
