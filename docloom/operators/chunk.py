@@ -80,6 +80,8 @@ def chunk_rows(docs: DataFrame, filename: Column, text: Column, path: Column | N
     """A chunk row (schemas.CHUNK, embedding null) for each chunk; chunk_id counts from 0."""
     rows = docs.select(filename.alias("filename"), (filename if path is None else path).alias("file_path"), text.alias("t"))
     rows = rows.withColumn("chunks", chunks_of(F.col("t"), size, overlap))
-    rows = rows.select("filename", "file_path", F.size("chunks").alias("total"), F.length("t").alias("file_size"), F.posexplode("chunks").alias("chunk_id", "content"))
+    # Sizes first: else each chunk's row would carry the whole text and all its chunks until they are computed, as to a Python worker.
+    rows = rows.select("filename", "file_path", F.size("chunks").alias("total"), F.length("t").alias("file_size"), "chunks")
+    rows = rows.select("filename", "file_path", "total", "file_size", F.posexplode("chunks").alias("chunk_id", "content"))
     metadata = F.struct("file_path", F.length("content").alias("chunk_size"), F.col("total").alias("total_chunks"), "file_size")
     return rows.select("content", "filename", "chunk_id", metadata.alias("metadata"), F.lit(None).cast("array<double>").alias("embedding"))
