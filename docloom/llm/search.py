@@ -14,18 +14,24 @@ from pyspark.sql import functions as F
 from .common import stored, table
 
 K1, B, TOP = 1.2, 0.75, 10
-#: Words of the texts in a shard, about, and documents at most; documents of a block; texts that are split at once.
-SHARD, SHARD_DOCS, BLOCK, STEP = 1 << 21, 1 << 16, 64, 512
-#: A term's list is long if every LONG-th document of the shard has it. Long lists are kept as columns of a matrix of at most CELLS
-#: cells, the longest ones first. It only decides how a list is read.
-LONG, CELLS = 20, 1 << 23
+#: Words of the texts in a shard, about, and documents at most; documents of a block; texts or hits that are taken at once, and bytes of texts.
+SHARD, SHARD_DOCS, BLOCK, STEP, STEP_BYTES = 1 << 22, 1 << 16, 64, 4096, 1 << 23
+#: A term's list is long in a tile of TILE blocks if every LONG-th document there has it. Long lists are columns of the tile's matrix, up to
+#: CELLS cells in all, the longest ones first. It only decides how a list is read.
+TILE, LONG, CELLS = 8, 12, 1 << 23
 #: Distinct words of the queries that are sent to every task at once (16 bytes each); further queries wait for the next pass.
-QUERY_TERMS = 1 << 21
+QUERY_TERMS = 1 << 22
+#: Terms with their counts that a task adds up before it hands them over.
+HELD_TERMS = 1 << 22
 #: Queries that are scored together.
-TOGETHER = 64
+TOGETHER = 256
+#: What impacts, which lie below 4, are multiplied by, so that with its document a posting is one number; 14 digits stay.
+FIXED = float(1 << 45)
 #: Scores are compared after rounding to this many digits, ties by id.
 DIGITS = 6
 SLACK = 10.0**-DIGITS
+#: Twice what a step of a sum in single precision may lose, as a share of it.
+EPSILON = 2.0**-23
 
 
 def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -35,12 +41,24 @@ def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     real = pc.not_equal(flat, "")
     code = flat.filter(real).dictionary_encode()
     own = own.filter(real).to_numpy()
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w) - (1 << 63) for w in code.dictionary.to_pylist()), np.int64, len(code.dictionary))
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, code.dictionary.to_numpy(zero_copy_only=False)), np.uint64, len(code.dictionary))
+    hashes = (hashes ^ np.uint64(1 << 63)).view(np.int64)
     n = max(1, len(hashes))
     pair, count = np.unique(own.astype(np.int64) * n + code.indices.to_numpy(), return_counts=True)
     return pair // n, hashes[pair % n] if len(hashes) else pair, count
 
 
+def _steps(b: pa.RecordBatch):
+    """A batch of (id, text) in slices of STEP texts or some STEP_BYTES at most, one text at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < b.num_rows:
+        to = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + STEP_BYTES, "right"))
+        to = max(at + 1, min(to, at + STEP))
+        yield b.slice(at, to - at)
+        at = to
+
+
 def _id_text(docs: DataFrame, id_column: str) -> DataFrame:
     return docs.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), F.col("text").cast("string").alias("text"))
 
@@ -50,8 +68,7 @@ def term_rows(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for at in range(0, b.num_rows, STEP):
-                p = b.slice(at, STEP)
+            for p in _steps(b):
                 own, term, count = _words(p.column(1))
                 cuts = pa.array(np.searchsorted(own, np.arange(p.num_rows + 1)).astype(np.int32))
                 lists = [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (term, count.astype(np.int32))]
@@ -71,8 +88,7 @@ def shards(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     def run(batches):
         parts, docs, words = [], 0, 0
         for b in batches:
-            for at in range(0, b.num_rows, STEP):
-                p = b.slice(at, STEP)
+            for p in _steps(b):
                 own, term, count = _words(p.column(1))
                 parts.append((p.column(0).to_numpy(), own + docs, term, count))
                 docs, words = docs + p.num_rows, words + int(count.sum())
@@ -94,7 +110,7 @@ def _shard(parts: list[tuple]) -> pa.RecordBatch:
     starts = (np.cumsum(size) - size)[full]
     top, low = np.full(len(ids), -1), np.full(len(ids), -1)
     if len(starts):
-        top[full] = np.maximum.reduceat(count << 32 | term, starts) & 0xFFFFFFFF
+        top[full] = np.maximum.reduceat(np.minimum(count * np.bincount(term)[term], 0x7FFFFFFF) << 32 | term, starts) & 0xFFFFFFFF
         low[full] = np.minimum.reduceat(term, starts)
     order = np.lexsort((ids, low, top))
     place = np.empty(len(ids), np.int64)
@@ -113,56 +129,131 @@ def _shard(parts: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, ["ids", "lengths", "words", "vocabulary", "df", "doc", "count"])
 
 
+def _lower(bound: np.ndarray, more: float) -> np.ndarray:
+    """What scores are at least that were bounded by `bound`, less than what rounding may tell apart."""
+    return bound / more**2 - 2 * SLACK
+
+
 class Index:
-    """A shard, ready for search: short lists as postings, long lists as columns of a matrix with their maxima in each block."""
+    """A shard, ready for search: TILE blocks at a time the lists that are long there as columns of a matrix, all else as postings.
+
+    Neighbouring documents are of one language, so a tile has few long lists and they hold most of a score; they are multiplied in
+    single precision, which only bounds a score, and what may be a hit is added up again in double precision.
+    """
 
     def __init__(self, ids: np.ndarray, lengths: np.ndarray, vocabulary: np.ndarray, df: np.ndarray, doc: np.ndarray, count: np.ndarray, mean: float):
         self.ids, self.vocabulary, self.df = ids, vocabulary, df
-        self.at, self.doc = np.cumsum(df) - df, doc.astype(np.int64)
-        self.impact = count * (K1 + 1) / (count + (K1 * (1 - B + B * lengths / mean))[self.doc])
-        self.blocks = max(1, -(-len(ids) // BLOCK))
-        self.width = self.blocks * BLOCK
-        long = np.flatnonzero(df * LONG >= len(ids))
-        long = long[np.argsort(-df[long], kind="stable")][: CELLS // self.width]
-        self.column = np.full(len(df), -1)
-        self.column[long] = np.arange(len(long))
-        self.matrix = np.zeros((self.width, len(long)))
-        for k, t in enumerate(long):
-            own = slice(self.at[t], self.at[t] + df[t])
-            self.matrix[self.doc[own], k] = self.impact[own]
-        self.most = self.matrix.reshape(self.blocks, BLOCK, -1).max(axis=1).T.copy()
+        self.width = max(1, -(-len(ids) // BLOCK)) * BLOCK
+        each, doc = TILE * BLOCK, doc.astype(np.int64)
+        impact = count * (K1 + 1) / (count + (K1 * (1 - B + B * lengths / mean))[doc])
+        term, tile = np.repeat(np.arange(len(df)), df), doc // each
+        cut = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (tile[1:] != tile[:-1])]))  # a list's part in a tile
+        size = np.diff(np.append(cut, len(term)))
+        long = np.flatnonzero(size * LONG >= np.minimum(each, len(ids) - tile[cut] * each))
+        long = long[np.argsort(-size[long], kind="stable")][: CELLS // each]
+        dense = np.zeros(len(size), bool)
+        dense[long] = True
+        dense = np.repeat(dense, size)
+        self.size = np.bincount(term[~dense], minlength=len(df))
+        self.at, self.postings = np.cumsum(self.size) - self.size, np.rint(impact[~dense] * FIXED).astype(np.int64) << 16 | doc[~dense]
+        #: A term's row in the queries' matrix, and (first document, rows of its terms, matrix, the same in single precision, maxima of blocks) of each tile.
+        self.row, self.tiles = np.full(len(df), -1), []
+        longs = np.unique(term[dense])
+        self.row[longs] = np.arange(len(longs))
+        row, doc, impact = self.row[term[dense]], doc[dense], impact[dense]
+        order = np.argsort(doc // each, kind="stable")
+        row, doc, impact = row[order], doc[order], impact[order]
+        for first in range(0, self.width, each):
+            own = slice(*np.searchsorted(doc // each, [first // each, first // each + 1]))
+            rows, column = np.unique(row[own], return_inverse=True)
+            matrix = np.zeros((min(each, self.width - first), len(rows)))
+            matrix[doc[own] - first, column] = impact[own]
+            single = matrix.astype(np.float32)
+            self.tiles.append((first, rows, matrix, single, single.reshape(len(single) // BLOCK, BLOCK, len(rows)).max(axis=1)))
+        self.asked, self.single, self.score = np.zeros((TOGETHER, len(longs))), np.zeros((len(longs), TOGETHER), np.float32), np.zeros((TOGETHER, self.width))
         #: Blocks whose long lists were read, and all, over the queries so far.
         self.read, self.all = 0, 0
 
-    def search(self, query: np.ndarray, at: np.ndarray, weights: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query, id, score), by query: documents that can be among a query's best, given that a score below `least` (one per query) can't be.
+    def search(self, query: np.ndarray, at: np.ndarray, weights: np.ndarray, least: np.ndarray, top: int = TOP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, id, score), by query: documents that can be among a query's best `top`, given that a score below `least` (one per query) can't be.
 
-        query, at, weights: the queries' terms as places in the vocabulary. A query's lists stand from short to long. The
-        short ones are read; with the block maxima of the long ones they bound what a document of a block can score. The
-        pivot lies behind the last list that can be left out: a block in which no document's bound reaches the threshold
-        is skipped before its long lists are opened, the others are scored in full.
+        query, at, weights: the queries' terms as places in the vocabulary. The short lists are read; with the block maxima
+        of a tile's long ones they bound what a document of a block can score. The pivot lies behind the last list that can be
+        left out: a tile in which no block's bound reaches the threshold is skipped before its long lists are opened, the
+        others are scored in full. Where a tile gives `top` documents, they raise the threshold for the next ones.
         """
-        column, n = self.column[at], len(least)
-        long = column >= 0
-        w = np.zeros((n, self.matrix.shape[1]))
-        w[query[long], column[long]] = weights[long]
-        query, at, weights = query[~long], at[~long], weights[~long]
-        size = self.df[at]
-        place = np.arange(size.sum()) + np.repeat(self.at[at] - np.cumsum(size) + size, size)
-        score = np.bincount(np.repeat(query * self.width, size) + self.doc[place], np.repeat(weights, size) * self.impact[place], n * self.width)
-        score = score.astype(float, copy=False).reshape(n, self.blocks, BLOCK)
-        reach = np.maximum(least - SLACK, 1e-300)
-        opened = score.max(axis=2) + w @ self.most >= reach[:, None]
-        self.read, self.all = self.read + int(opened.sum()), self.all + opened.size
-        for b in range(self.blocks):
-            rows = np.flatnonzero(opened[:, b])
-            if len(rows):
-                score[rows, b] += w[rows] @ self.matrix[b * BLOCK : (b + 1) * BLOCK].T
-        hit = opened[:, :, None] & (score >= reach[:, None, None])
-        row, block, doc = np.nonzero(hit)
-        score, doc = np.round(score[row, block, doc], DIGITS), block * BLOCK + doc
-        keep = (score > 0) & (score >= least[row])
-        return row[keep], self.ids[doc[keep]], score[keep]
+        found = [self._search(query[a:b], at[a:b], weights[a:b], first, least[first : first + TOGETHER], top) for first, a, b in self._parts(query, len(least))]
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def _parts(self, query: np.ndarray, n: int):
+        cuts = np.searchsorted(query, np.arange(0, n + TOGETHER, TOGETHER))
+        return zip(range(0, n, TOGETHER), cuts[:-1].tolist(), cuts[1:].tolist())
+
+    def _search(self, query: np.ndarray, at: np.ndarray, weights: np.ndarray, base: int, least: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n, query, row = len(least), query - base, self.row[at]
+        long = row >= 0
+        own, score = (query[long], row[long]), self._short(query, at, weights, n)
+        self.asked[own] = self.single[own[::-1]] = weights[long]
+        single = self.single[:, :n]
+        peak = np.maximum.reduceat(score.ravel(), np.arange(0, score.size, BLOCK)).reshape(n, -1)
+        reach, found = np.maximum(least - SLACK, 1e-300), [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for first, rows, _, matrix, most in self.tiles:
+            w, more = single[rows], 1 + EPSILON * (len(rows) + 8)
+            opened = peak[:, first // BLOCK : first // BLOCK + len(most)] + (w.T @ most.T) * more >= reach[:, None]
+            which = np.flatnonzero(opened.any(axis=1))
+            self.read, self.all = self.read + len(which) * len(most), self.all + opened.size
+            if not len(which):
+                continue
+            part = score[which, first : first + len(matrix)]
+            part += ((w[:, which] if len(which) < n else w).T @ matrix.T) * np.float32(more)
+            some = part.max(axis=1) >= reach[which]
+            which, part = which[some], part[some]
+            place = np.flatnonzero(part >= reach[which][:, None])
+            q, doc = np.divmod(place, part.shape[1])
+            found.append((which[q], first + doc, part.ravel()[place]))
+            if len(q) > top * len(which) and part.shape[1] >= top:
+                reach[which] = np.maximum(reach[which], _lower(np.partition(part, part.shape[1] - top, axis=1)[:, part.shape[1] - top], more))
+        q, doc, scores = self._exact(*(np.concatenate(x) for x in zip(*found, strict=True)), reach, top)
+        self.asked[own] = self.single[own[::-1]] = 0
+        keep = (scores > 0) & (scores >= least[q])
+        return q[keep] + base, self.ids[doc[keep]], scores[keep]
+
+    def _exact(self, q: np.ndarray, doc: np.ndarray, most: np.ndarray, reach: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, document, score), by query, of those whose bound `most` reaches what the best `top` of them are sure to have."""
+        keep = most >= reach[q]
+        q, doc, most = q[keep], doc[keep], most[keep]
+        order = np.lexsort((-most, q))
+        q, doc, most = q[order], doc[order], most[order]
+        last = np.searchsorted(q, np.arange(len(reach))) + top - 1
+        full = np.flatnonzero(last < np.searchsorted(q, np.arange(len(reach)), "right"))
+        reach[full] = np.maximum(reach[full], _lower(most[last[full]], 1 + EPSILON * (max(len(t[1]) for t in self.tiles) + 8)))
+        keep = most >= reach[q]
+        q, doc = q[keep], doc[keep]
+        scores = self.score[q, doc]
+        for first, rows, matrix, *_ in self.tiles:
+            own = np.flatnonzero((doc >= first) & (doc < first + len(matrix)))
+            for k in range(0, len(own), STEP):
+                some = own[k : k + STEP]
+                scores[some] += np.einsum("ij,ij->i", matrix[doc[some] - first], self.asked[q[some][:, None], rows])
+        return q, doc, np.round(scores, DIGITS)
+
+    def _short(self, query: np.ndarray, at: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
+        """What each document scores for each query by postings."""
+        size = self.size[at]
+        some = np.flatnonzero(size)
+        query, at, weights, size = query[some], self.at[at[some]], weights[some] / FIXED, size[some]
+        cuts, ends, score = np.searchsorted(query, np.arange(n + 1)).tolist(), np.cumsum(size), self.score[:n]
+        score[:] = 0
+        at = at - ends + size
+        for q, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            if a < b:
+                place = np.repeat(at[a:b], size[a:b])
+                place += np.arange(ends[a] - size[a], ends[b - 1])
+                packed, value = self.postings.take(place), np.repeat(weights[a:b], size[a:b])
+                value *= np.right_shift(packed, 16, out=place)
+                packed &= 0xFFFF
+                score[q] = np.bincount(packed, value, self.width)
+        return score
 
 
 class Best:
@@ -194,14 +285,39 @@ def _flat(column: pa.ChunkedArray) -> np.ndarray:
     return column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
 
 
+def _frequencies(index: DataFrame) -> DataFrame:
+    """(term, df): in how many documents of some of a task's shards a term occurs."""
+
+    def added(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        term, place = np.unique(np.concatenate([t for t, _ in held]), return_inverse=True)
+        return term, np.bincount(place, np.concatenate([n for _, n in held]), len(term)).astype(np.int64)
+
+    def run(batches):
+        held, n = [], 0
+        for b in batches:
+            for k in range(b.num_rows):
+                held.append(tuple(b.column(i)[k].values.to_numpy() for i in (0, 1)))
+                n += len(held[-1][0])
+                if n > HELD_TERMS:
+                    held = [added(held)]
+                    n = len(held[0][0])
+                    if 2 * n > HELD_TERMS:
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], ["term", "df"])
+                        held, n = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in added(held)], ["term", "df"])
+
+    return index.select("vocabulary", "df").coalesce(index.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, "term long, df long")
+
+
 def _asked(docs: DataFrame, queries: DataFrame, index: DataFrame, n: int) -> DataFrame:
-    """(id, terms, weights) of each query with a word that occurs: a word's count times its idf over the whole table."""
+    """(id, common, terms, weights) of each query with a word that occurs: its most common word; a word's count times its idf over the whole table."""
     own = term_rows(queries).select("id", F.explode(F.arrays_zip("terms", "counts")).alias("t"))
     own = own.groupBy("id", F.col("t.terms").alias("term")).agg(F.sum("t.counts").alias("count"))
-    df = index.select(F.explode(F.arrays_zip("vocabulary", "df")).alias("t")).groupBy(F.col("t.vocabulary").alias("term")).agg(F.sum("t.df").alias("df"))
+    df = _frequencies(index).groupBy("term").agg(F.sum("df").alias("df"))
     weight = F.col("count") * F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    found = own.join(df, "term").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("term", weight.alias("weight")))).alias("t"))
-    return found.select("id", F.col("t.term").alias("terms"), F.col("t.weight").alias("weights"))
+    found = own.join(df, "term").groupBy("id").agg(F.max_by("term", F.struct(F.col("count") * F.col("df"), "term")).alias("common"), F.sort_array(F.collect_list(F.struct("term", weight.alias("weight")))).alias("t"))
+    return found.select("id", "common", F.col("t.term").alias("terms"), F.col("t.weight").alias("weights"))
 
 
 def _search(index: DataFrame, asked: pa.Table, mean: float, top: int) -> tuple[DataFrame, object]:
@@ -229,7 +345,7 @@ def _search(index: DataFrame, asked: pa.Table, mean: float, top: int) -> tuple[D
                     here = place[code[part]]
                     known = here >= 0
                     query = np.repeat(np.arange(to - q), np.diff(starts[q : to + 1]))[known]
-                    best.add(q, *shard.search(query, here[known], weights[part][known], best.least(slice(q, to))))
+                    best.add(q, *shard.search(query, here[known], weights[part][known], best.least(slice(q, to)), top))
         yield best.rows(names)
 
     rows = index.select("ids", "lengths", "vocabulary", "df", "doc", "count").where(F.size("vocabulary") > 0)
@@ -255,7 +371,7 @@ def bm25_top(docs: DataFrame, queries: DataFrame, top: int = TOP) -> DataFrame:
     index = index.coalesce(2 * docs.sparkSession.sparkContext.defaultParallelism)
     found = []
     for k in range(passes):
-        block = asked.where(F.pmod(F.xxhash64("id"), F.lit(passes)) == k).toArrow()  # bounded by QUERY_TERMS
+        block = asked.where(F.pmod(F.xxhash64("id"), F.lit(passes)) == k).toArrow().sort_by("common")  # bounded by QUERY_TERMS; queries of one language side by side
         if block.num_rows or not (found or k < passes - 1):
             part, sent = _search(index, block, mean, top)
             found.append(stored(part, "found"))
