@@ -90,7 +90,7 @@ def shards(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
         for b in batches:
             for p in _steps(b):
                 own, term, count = _words(p.column(1))
-                parts.append((p.column(0).to_numpy(), own + docs, term, count))
+                parts.append((p.column(0).to_numpy(), (own + docs).astype(np.int32), term, count.astype(np.int32)))
                 docs, words = docs + p.num_rows, words + int(count.sum())
                 if words >= SHARD or docs > SHARD_DOCS - STEP:
                     yield _shard(parts)
@@ -104,6 +104,7 @@ def shards(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
 
 def _shard(parts: list[tuple]) -> pa.RecordBatch:
     ids, own, term, count = (np.concatenate(x) for x in zip(*parts, strict=True))
+    parts.clear()  # their memory is needed below
     vocabulary, term = np.unique(term, return_inverse=True)
     size = np.bincount(own, minlength=len(ids))
     full = size > 0
@@ -116,13 +117,16 @@ def _shard(parts: list[tuple]) -> pa.RecordBatch:
     place = np.empty(len(ids), np.int64)
     place[order] = np.arange(len(ids))
     lengths = np.bincount(own, count, len(ids)).astype(np.int32)[order]
-    by = np.argsort(term << 20 | place[own])
+    df = np.bincount(term, minlength=len(vocabulary)).astype(np.int32)
+    term <<= 20
+    term |= place[own]
+    by = np.argsort(term)
     columns = [
         pa.array([ids[order]], pa.list_(pa.int64())),
         pa.array([lengths], pa.list_(pa.int32())),
         pa.array([int(count.sum())], pa.int64()),
         pa.array([vocabulary], pa.list_(pa.int64())),
-        pa.array([np.bincount(term, minlength=len(vocabulary)).astype(np.int32)], pa.list_(pa.int32())),
+        pa.array([df], pa.list_(pa.int32())),
         pa.array([place[own][by].astype("<u2").tobytes()], pa.binary()),
         pa.array([count[by].astype("<u4").tobytes()], pa.binary()),
     ]
